@@ -12,7 +12,7 @@ from accesslens.functions.numeric import (
     entropy_bits, haversine_km, ratio, round_dp, sample_std, sample_variance_numerator,
 )
 from accesslens.functions.text import blank_to_null, parse_country, split_list
-from accesslens.operators.scan import SkewConfig, hot_keys, running_totals, skew_join, split_hot, with_context
+from accesslens.operators.scan import SkewConfig, add_salt, hot_keys, running_totals, skew_join, split_hot, with_context
 from accesslens.sources import dims
 from accesslens.sources.readers import add_optional_columns, require_columns
 
@@ -57,7 +57,7 @@ def join_entity_static(events: DataFrame, entities: DataFrame, config: SkewConfi
         KEY, "timezone", "working_hours_start", "working_hours_end",
         blank_to_null(F.col("department")).alias("department"), F.lit(True).alias("_known"),
     )
-    return skew_join(events, static, [KEY], KEY, F.col("event_id"), config, hot)
+    return skew_join(add_salt(events, KEY, "event_id", config, hot), static, [KEY], KEY, config, hot).drop("_salt")
 
 
 def _prepared(events: DataFrame) -> DataFrame:

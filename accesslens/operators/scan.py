@@ -134,28 +134,41 @@ def with_context(df: DataFrame, rank: str, config: SkewConfig, before: int = 0,
     return spread.select(*df.columns, F.col("_at.b").alias("_block"), F.col("_at.copy").alias("_copy"))
 
 
+def hot_by_history(engineered: DataFrame, key: str, config: SkewConfig) -> DataFrame | None:
+    """Hot keys of a table that carries ``history_length``; the filter reaches the scan."""
+    hot = engineered.filter(F.col("history_length") >= config.hot_rows).select(key).distinct()
+    return None if hot.isEmpty() else written(hot, "hot")
+
+
+def add_salt(df: DataFrame, key: str, spread: str, config: SkewConfig, hot: DataFrame | None) -> DataFrame:
+    """``_salt``: which of the reducers of a hot key takes the row; 0 for ordinary keys."""
+    if hot is None:
+        return df
+    marked = df.join(hot.withColumn("_hot", F.lit(True)), key, "left")
+    bucket = F.pmod(F.xxhash64(spread), F.lit(config.salts)).cast("int")
+    return marked.withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(0)).drop("_hot")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     key: str,
-    spread: Column,
     config: SkewConfig,
     hot: DataFrame | None,
     how: str = "left",
 ) -> DataFrame:
-    """Join in which the left rows of hot keys are spread over ``salts`` reducers.
+    """Join in which rows of hot keys, marked by ``add_salt``, are spread over many reducers.
 
     The right side is unique per ``keys``; only its rows for hot keys are copied,
     once per salt. Without hot keys this is a plain join.
     """
     if hot is None:
         return left.join(right, keys, how)
-    marks = hot.withColumn("_hot", F.lit(True))
-    salted_left = left.join(marks, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(config.salts)).cast("int")).otherwise(0)
-    ).drop("_hot")
-    salted_right = right.join(marks, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(config.salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    every = F.sequence(F.lit(0), F.lit(config.salts - 1))
+    copies = (
+        right.join(hot.withColumn("_hot", F.lit(True)), key, "left")
+        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
+        .drop("_hot")
+    )
+    return left.join(copies, [*keys, "_salt"], how)

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows hashed by entity stay in place for joins on (entity, value).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Fused methods beyond HotSpot's limit are never compiled; let Spark split them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
