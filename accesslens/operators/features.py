@@ -84,11 +84,6 @@ def _sum0(value: Column, window) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0).cast("long"))
 
 
-def first_seen_flag(df: DataFrame, part: list[str], value: str) -> Column:
-    """Whether this row is the first of its value within the partition."""
-    return F.row_number().over(Window.partitionBy(*part, value).orderBy(*ORDER)) == 1
-
-
 def _value_counts(df: DataFrame, part: list[str]) -> DataFrame:
     """Earlier rows in the partition with the same value, for each tracked value."""
     return df.select(
@@ -392,3 +387,16 @@ def join_features_to_events(events: DataFrame, features: DataFrame) -> DataFrame
     """Features by event id, for feature tables kept apart from their events."""
     return events.join(features.select("event_id", *schemas.FEATURE_NAMES), "event_id", "left")
 
+
+
+def first_seen_values(events: DataFrame, value: str, skew: SkewConfig | None = None) -> DataFrame:
+    """``first_seen``: whether an event is the first of its entity with this value.
+
+    The first event per (entity, value) comes from a partial aggregate, so a hot
+    pair never meets in one task; hot entities are salted for the join.
+    """
+    skew = skew or SkewConfig()
+    hot = hot_keys(events, KEY, skew)
+    first = events.groupBy(KEY, value).agg(F.min_by("event_id", F.struct("timestamp", "event_id")).alias("_first"))
+    joined = skew_join(add_salt(events, KEY, "event_id", skew, hot), first, [KEY, value], KEY, skew, hot)
+    return joined.withColumn("first_seen", F.col("event_id") == F.col("_first")).drop("_first", "_salt")

@@ -354,6 +354,13 @@ def scan_profile_history(store: Profiles) -> DataFrame:
     return store.core.groupBy(KEY).agg(F.array_sort(F.collect_list(entry)).alias("history"))
 
 
+def previous_version(store: Profiles) -> DataFrame:
+    """The newest and the next older version of each entity that has two."""
+    newest = store.core.groupBy(KEY).agg(F.max("version").alias("version"))
+    older = store.core.select(KEY, F.col("version").alias("_old")).join(newest, KEY).filter(F.col("_old") < F.col("version"))
+    return older.groupBy(KEY, "version").agg(F.max("_old").alias("previous_version"))
+
+
 def list_profiled_entities(store: Profiles) -> DataFrame:
     return store.core.select(KEY).distinct().orderBy(KEY)
 
