@@ -38,7 +38,7 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def norm_zscore(value: Column, mean: Column, std: Column, cap: float = 3.0) -> Column:
     """Distance from the mean in deviations, as a share of ``cap``; 0 without spread."""
     spread = F.when(std > 0, std)
-    return F.coalesce(clamp(F.abs(value - mean) / spread / F.lit(cap)), F.lit(0.0))
+    return F.when(std > 0, clamp(F.abs(value - mean) / spread / F.lit(cap))).otherwise(0.0)
 
 
 def norm_circular(value: Column, reference: Column, period: float, cap_fraction: float = 0.5) -> Column:

@@ -13,6 +13,7 @@ from accesslens.functions.numeric import (
 )
 from accesslens.functions.text import blank_to_null, parse_country, split_list
 from accesslens.operators.scan import SkewConfig, add_salt, hot_keys, running_totals, skew_join, split_hot, with_context
+from accesslens.session import written
 from accesslens.sources import dims
 from accesslens.sources.readers import add_optional_columns, require_columns
 
@@ -206,23 +207,24 @@ def _add_carry(df: DataFrame, carry: DataFrame, keys: list[str], names: list[str
     )
 
 
-def _blocked_value_counts(df: DataFrame) -> DataFrame:
-    df = _value_counts(df, [KEY, "_block"])
+def _blocked_value_counts(rows: DataFrame) -> DataFrame:
+    """Value counts inside the block plus those of earlier blocks; ``rows`` is a written table."""
+    df = _value_counts(rows, [KEY, "_block"])
     for value, name in TRACKED.items():
-        present = df.filter(F.col(value).isNotNull())
+        present = rows.filter(F.col(value).isNotNull())
         per_block = present.groupBy(KEY, value, "_block").agg(F.count("*").alias(name))
         df = _add_carry(df, _carry(per_block, [KEY, value], [name]), [KEY, value], [name])
     return df
 
 
-def _blocked_not_above(df: DataFrame, levels: int) -> DataFrame:
+def _blocked_not_above(df: DataFrame, rows: DataFrame, levels: int) -> DataFrame:
     """``_le`` for blocked entities: inside the block, plus earlier blocks by digit counts.
 
     The second part works on (entity, block, value) counts; a window there spans
     the blocks of one entity and value prefix, never its rows.
     """
     df = _prior_not_above(df, [KEY, "_block"], levels)
-    cells = df.groupBy(KEY, "_block", "_v").agg(F.count("*").alias("_cell"))
+    cells = written(rows.groupBy(KEY, "_block", "_v").agg(F.count("*").alias("_cell")), "cells")
     found = cells.select(KEY, "_block", "_v", F.lit(0).cast("long").alias("_earlier"))
     for level in range(levels):
         prefix, digit = _digit(level)
@@ -257,11 +259,11 @@ def _blocked_older(df: DataFrame, config: FeatureConfig) -> DataFrame:
 
 def _blocked_pass(df: DataFrame, config: FeatureConfig, skew: SkewConfig, levels: int) -> DataFrame:
     """The same quantities for hot entities, in blocks of consecutive events with carried totals."""
-    df = running_totals(df, [F.col(c) for c in ORDER], {"_rn": F.lit(1)}, (KEY,))
-    df = with_context(df, "_rn", skew).drop("_copy").repartition(KEY, "_block")
-    df = _blocked_not_above(_blocked_value_counts(df), levels)
+    rows = running_totals(df, [F.col(c) for c in ORDER], {"_rn": F.lit(1)}, (KEY,))
+    rows = written(with_context(rows, "_rn", skew).drop("_copy").repartition(KEY, "_block"), "blocks")
+    df = written(_blocked_not_above(_blocked_value_counts(rows), rows, levels), "blocks")
     spread = with_context(df.drop("_block"), "_rn", skew, before=config.lookback).repartition(KEY, "_block")
-    df = _lookback(spread, [KEY, "_block"], config).filter(~F.col("_copy")).drop("_copy")
+    df = written(_lookback(spread, [KEY, "_block"], config).filter(~F.col("_copy")).drop("_copy"), "blocks")
     local = _totals(df, [KEY, "_block"])
     names = list(_additive())
     per_block = df.groupBy(KEY, "_block").agg(

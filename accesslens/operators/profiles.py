@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from accesslens.functions.numeric import cosine_gap, ratio, round_dp, sample_std, scaled
 from accesslens.functions.text import blank_to_null, split_list
 from accesslens.operators.scan import SkewConfig, hot_keys, ranked, with_context
+from accesslens.session import written
 
 KEY = "entity_id"
 SHARE_DP = 4
@@ -106,8 +107,8 @@ STATISTICS = (
 )
 
 
-def next_resources(normal: DataFrame, skew: SkewConfig) -> DataFrame:
-    """Each event's resource with the entity's next two, in time order."""
+def resource_steps(normal: DataFrame, skew: SkewConfig) -> DataFrame:
+    """How often an entity goes from one resource to a second and a third (null at the end of its history)."""
     order = ["timestamp", "event_id"]
     rows = normal.select(KEY, "timestamp", "event_id", "resource_accessed")
     hot = hot_keys(rows, KEY, skew)
@@ -116,17 +117,18 @@ def next_resources(normal: DataFrame, skew: SkewConfig) -> DataFrame:
     else:
         part, rows = [KEY, "_block"], with_context(ranked(rows, KEY, order, skew, hot), "_rn", skew, after=2)
     at = Window.partitionBy(*part).orderBy(*order)
-    return rows.select(
+    following = rows.select(
         KEY,
         "_copy",
         F.col("resource_accessed").alias("first"),
         F.lead("resource_accessed", 1).over(at).alias("second"),
         F.lead("resource_accessed", 2).over(at).alias("third"),
-    ).filter(~F.col("_copy")).drop("_copy")
+    ).filter(~F.col("_copy"))
+    return following.groupBy(KEY, "first", "second", "third").agg(F.count("*").alias("uses"))
 
 
 def _probabilities(pairs: DataFrame, kind: str) -> DataFrame:
-    uses = pairs.groupBy(KEY, "from_state", "to_state").agg(F.count("*").alias("uses"))
+    uses = pairs.groupBy(KEY, "from_state", "to_state").agg(F.sum("n").alias("uses"))
     total = F.sum("uses").over(Window.partitionBy(KEY, "from_state"))
     return uses.select(
         KEY, F.lit(kind).alias("kind"), "from_state", "to_state", "uses",
@@ -141,23 +143,21 @@ def command_transitions(normal: DataFrame) -> DataFrame:
         F.slice(commands, 2, F.greatest(F.size(commands), F.lit(1))),
         lambda to, i: F.struct(F.element_at(commands, i + 1).alias("from_state"), to.alias("to_state")),
     )
-    return _probabilities(normal.select(KEY, F.explode(steps).alias("s")).select(KEY, "s.*"), "command")
+    return _probabilities(normal.select(KEY, F.explode(steps).alias("s"), F.lit(1).alias("n")).select(KEY, "s.*", "n"), "command")
 
 
-def resource_transitions(following: DataFrame) -> DataFrame:
-    pairs = following.filter(F.col("second").isNotNull()).select(
-        KEY, F.col("first").alias("from_state"), F.col("second").alias("to_state")
+def resource_transitions(steps: DataFrame) -> DataFrame:
+    pairs = steps.filter(F.col("second").isNotNull()).select(
+        KEY, F.col("first").alias("from_state"), F.col("second").alias("to_state"), F.col("uses").alias("n")
     )
     return _probabilities(pairs, "resource")
 
 
-def common_sequences(following: DataFrame, top: int) -> DataFrame:
+def common_sequences(steps: DataFrame, top: int) -> DataFrame:
     """The most frequent resource trigrams per entity, ties in text order."""
-    uses = following.filter(F.col("third").isNotNull()).groupBy(KEY, "first", "second", "third").agg(
-        F.count("*").alias("uses")
-    )
     best = Window.partitionBy(KEY).orderBy(F.desc("uses"), "first", "second", "third")
-    return uses.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    complete = steps.filter(F.col("third").isNotNull())
+    return complete.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
 def department_index(values: DataFrame, entities: DataFrame, top: int) -> DataFrame:
@@ -255,11 +255,14 @@ def build_profiles(
     config: ProfileConfig | None = None,
     skew: SkewConfig | None = None,
 ) -> Profiles:
-    """Profiles of every known entity, with or without events, from its normal events."""
+    """Profiles of every known entity, with or without events, from its normal events.
+
+    The value table and the resource steps, which several parts need, are written once.
+    """
     config, skew = config or ProfileConfig(), skew or SkewConfig()
     normal = filter_normal(events)
-    values = value_frequency(normal)
-    following = next_resources(normal, skew)
+    values = written(value_frequency(normal), "values")
+    steps = written(resource_steps(normal, skew), "steps")
     index = department_index(values, entities, config.top_department_resources)
     sharing = resource_sharing(values, entities, index)
 
@@ -304,13 +307,16 @@ def build_profiles(
         F.col("sample_count").alias("history_length"),
         *[value.alias(name) for name, value in cold_start_columns(F.col("sample_count"), config).items()],
     )
-    versions = core.select(KEY, "version")
-    transitions = command_transitions(normal).unionByName(resource_transitions(following))
+    versions = entities.select(KEY, F.lit(1).alias("version"))
+    if previous is not None:
+        was = previous.core.select(KEY, F.col("version").alias("was_version"))
+        versions = versions.join(was, KEY, "left").select(KEY, (F.coalesce("was_version", F.lit(0)) + 1).alias("version"))
+    transitions = command_transitions(normal).unionByName(resource_transitions(steps))
     return Profiles(
         core,
         values.join(versions, KEY),
         transitions.join(versions, KEY),
-        common_sequences(following, config.top_sequences).join(versions, KEY),
+        common_sequences(steps, config.top_sequences).join(versions, KEY),
     )
 
 

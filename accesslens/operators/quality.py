@@ -283,14 +283,14 @@ def dq_metrics(
     """Metrics in [0, 1], matrix totals, bins and periods."""
     rates = ("precision", "recall", "f1", "roc_auc", "pr_auc", "false_positive_rate", "false_negative_rate", "top_percentile_precision")
     cells = F.col("true_positive") + F.col("false_positive") + F.col("true_negative") + F.col("false_negative")
-    as_column = labelled if isinstance(labelled, Column) else F.lit(labelled)
+    detection_row = detection_row.withColumn("_labelled", labelled if isinstance(labelled, Column) else F.lit(labelled))
     total = matrix.agg(F.sum("events").alias("events"))
     periods = lambda df, name: violations(
         df.agg(F.count("*").alias("n")), f"concept_drift_{name}_present", {f"no {name} periods": F.col("n") == 0}, "n"
     )
     return together(
         violations(detection_row, "detection_metric_range", _ranges(rates, UNIT), F.lit("detection")),
-        violations(detection_row, "detection_confusion_total", {"counts differ from labelled rows": cells != as_column}, F.lit("detection")),
+        violations(detection_row, "detection_confusion_total", {"counts differ from labelled rows": cells != F.col("_labelled")}, F.lit("detection")),
         violations(class_rows, "classification_per_class_range", _ranges(("precision", "recall", "f1"), UNIT), "class"),
         violations(class_rows, "classification_metric_range", _ranges(("macro_f1", "weighted_f1", "accuracy"), UNIT), "class"),
         violations(total, "classification_confusion_total", {"matrix is empty": F.coalesce("events", F.lit(0)) == 0}, F.lit("matrix")),

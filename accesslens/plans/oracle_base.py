@@ -94,6 +94,8 @@ def query(final: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][0]})" for n in order)
+    if head and final.startswith("WITH "):
+        return f"WITH {head},\n{final[5:]}"
     return f"WITH {head}\n{final}" if head else final
 
 

@@ -100,10 +100,8 @@ class Pipeline:
             early = engineered.filter(F.col("timestamp") < F.lit(FIRST_BUILD).cast("timestamp"))
             pr.sink_profiles_append(pr.build_profiles(early, entities, FIRST_BUILD, skew=self.skew), path)
             before = pr.scan_profiles_latest(pr.scan_store(self.spark, path))
-            second = pr.build_profiles(engineered, entities, SECOND_BUILD, before, skew=self.skew)
-            # The second build reads the store it will join, so it is written aside before it is appended.
-            parts = [self.stage(f"build2_{name}", lambda part=part: part) for name, part in second.parts().items()]
-            pr.sink_profiles_append(pr.Profiles(*parts), path)
+            # ``before`` lists the files of the first version, so appending the second leaves it as it is.
+            pr.sink_profiles_append(pr.build_profiles(engineered, entities, SECOND_BUILD, before, skew=self.skew), path)
 
         return self.once("store", write)
 

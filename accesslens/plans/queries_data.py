@@ -557,8 +557,10 @@ FROM ent e LEFT JOIN (
   SELECT entity_id, count(*) AS n, count(DISTINCT resource_accessed) AS nr, count(DISTINCT device_fingerprint) AS nd,
     count(*) FILTER (isodow(ts) >= 6) AS we, count(*) FILTER (login_result = 'failure') AS fl, sum(session_duration)::BIGINT AS sx, min(us) AS lo, max(us) AS hi
   FROM lab GROUP BY 1) s USING (entity_id)
-LEFT JOIN (SELECT entity_id, resource_accessed AS top_resource FROM (SELECT entity_id, resource_accessed, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, resource_accessed) AS r FROM lab GROUP BY ALL) WHERE r = 1) m USING (entity_id)
-LEFT JOIN (SELECT entity_id, hh AS top_hour FROM (SELECT entity_id, hour(ts) AS hh, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, hour(ts)) AS r FROM lab GROUP BY ALL) WHERE r = 1) k USING (entity_id)
+LEFT JOIN (SELECT entity_id, v AS top_resource FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY c DESC, v) AS r FROM
+  (SELECT entity_id, resource_accessed AS v, count(*) AS c FROM lab GROUP BY 1, 2)) WHERE r = 1) m USING (entity_id)
+LEFT JOIN (SELECT entity_id, v AS top_hour FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY c DESC, v) AS r FROM
+  (SELECT entity_id, hour(ts) AS v, count(*) AS c FROM lab GROUP BY 1, 2)) WHERE r = 1) k USING (entity_id)
 """
 
 

@@ -97,14 +97,14 @@ add("profile_value_frequency", lambda p: pr.value_frequency(_normal(p)), "SELECT
 TR_SQL = "SELECT entity_id, from_state, to_state, uses, probability FROM tr2 WHERE kind = '{}'"
 add("profile_command_transitions", lambda p: pr.command_transitions(_normal(p)).drop("kind"), TR_SQL.format("command"), "tr2")
 add(
-    "profile_resource_transitions", lambda p: pr.resource_transitions(pr.next_resources(_normal(p), p.skew)).drop("kind"),
+    "profile_resource_transitions", lambda p: pr.resource_transitions(pr.resource_steps(_normal(p), p.skew)).drop("kind"),
     TR_SQL.format("resource"), "tr2",
 )
 SEQ_SQL = "SELECT entity_id, a AS first, b AS second, c AS third, uses, rank FROM seq2"
 add("profile_common_sequences", lambda p: p.latest().sequences.drop("version"), SEQ_SQL, "seq2")
 add(
     "topk_trigrams",
-    lambda p: pr.common_sequences(pr.next_resources(_normal(p), replace(p.skew, hot_rows=20, block_rows=16)), 5),
+    lambda p: pr.common_sequences(pr.resource_steps(_normal(p), replace(p.skew, hot_rows=20, block_rows=16)), 5),
     SEQ_SQL, "seq2",
 )
 INDEX_SQL = "SELECT department, resource, uses, rank FROM didx2"
