@@ -61,7 +61,7 @@ def join_entity_static(events: DataFrame, entities: DataFrame, config: SkewConfi
     return skew_join(add_salt(events, KEY, "event_id", config, hot), static, [KEY], KEY, config, hot).drop("_salt")
 
 
-def _prepared(events: DataFrame) -> DataFrame:
+def prepared(events: DataFrame) -> DataFrame:
     keep = [c for c in events.columns if c not in schemas.OPTIONAL_EVENT_COLUMNS]
     return events.select(
         *keep,
@@ -275,7 +275,7 @@ def _blocked_pass(df: DataFrame, config: FeatureConfig, skew: SkewConfig, levels
     return _blocked_older(df.drop("_block"), config)
 
 
-def _feature_columns(config: FeatureConfig) -> dict[str, Column]:
+def feature_columns(config: FeatureConfig) -> dict[str, Column]:
     c = F.col
     h = c("_rn") - 1
     zone = F.coalesce(c("timezone"), F.lit("UTC"))
@@ -362,7 +362,7 @@ def engineer_features(
     low, high = span["low"] or 0, span["high"] or 0
     levels = max(1, -(-max(int(high - low).bit_length(), 1) // DIGIT_BITS))
     hot = hot_keys(events, KEY, skew)
-    rows = _prepared(events).withColumn("_v", F.col("_x") - F.lit(int(low)))
+    rows = prepared(events).withColumn("_v", F.col("_x") - F.lit(int(low)))
     if hot is None:
         raw = _single_pass(rows, entities, config, skew, levels)
     else:
@@ -373,7 +373,7 @@ def engineer_features(
         )
     return raw.select(
         *events.columns,
-        *[value.alias(name) for name, value in _feature_columns(config).items()],
+        *[value.alias(name) for name, value in feature_columns(config).items()],
         "previous_resource",
     )
 
