@@ -81,14 +81,10 @@ def sample_std(n: Column, total: Column, total_sq: Column) -> Column:
 
 def entropy_bits(items: Column) -> Column:
     """Shannon entropy, in bits, of the distribution of an array's values; 0 when empty."""
-    size = F.size(items).cast("double")
-
-    def term(value: Column) -> Column:
-        share = F.size(F.filter(items, lambda other: other == value)).cast("double") / size
-        return -share * F.log2(share)
-
-    terms = F.transform(F.array_sort(F.array_distinct(items)), term)
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+    shares = F.transform(
+        F.array_distinct(items), lambda v: (F.size(items) - F.size(F.array_remove(items, v))) / F.size(items)
+    )
+    return F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
 
 
 def cosine_distance(left: Column, right: Column, dp: int = 4) -> Column:

@@ -20,6 +20,7 @@ from accesslens.sources.readers import add_optional_columns, require_columns
 KEY = "entity_id"
 ORDER = ["_us", "event_id"]
 DIGIT_BITS = 4
+DIGITS = 1 << DIGIT_BITS
 # value column -> name of its prior-occurrence count
 TRACKED = {
     "device_fingerprint": "_n_device",
@@ -97,33 +98,32 @@ def _value_counts(df: DataFrame, part: list[str]) -> DataFrame:
 
 
 def _digit(level: int) -> tuple[Column, Column]:
-    """(value without its lowest ``level``+1 digits, digit ``level``) in base 16."""
+    """(value without its lowest ``level``+1 digits, digit ``level``) in base ``DIGITS``."""
     shift = DIGIT_BITS * level
-    return F.shiftright("_v", shift + DIGIT_BITS), F.shiftright("_v", shift).bitwiseAND(F.lit(15)).cast("int")
+    return F.shiftright("_v", shift + DIGIT_BITS), F.shiftright("_v", shift).bitwiseAND(F.lit(DIGITS - 1)).cast("int")
 
 
-def _below(sums: list[Column], digit: Column, inclusive: bool) -> Column:
-    """Pick, from counts of digits < 1, < 2, ... < 16, the one for this row's digit."""
-    table = F.array(F.lit(0).cast("long"), *sums)
-    return F.element_at(table, digit + (2 if inclusive else 1))
+def _below(sums: list[str], digit: str, inclusive: bool) -> Column:
+    """Pick, from counts of digits < 1, < 2, ... < DIGITS, the one for this row's digit."""
+    return F.expr(f"element_at(array(0L, {', '.join(sums)}), {digit} + {2 if inclusive else 1})")
 
 
 def _prior_not_above(df: DataFrame, part: list[str], levels: int) -> DataFrame:
     """``_le``: earlier rows in the partition whose ``_v`` is at most this row's.
 
-    One pass per base-16 digit: earlier rows that agree on all higher digits and
-    have a smaller digit here (or an equal one, at the lowest digit). Row state is
-    16 counters, so a long history needs neither an array nor a self-join.
+    One pass per digit: earlier rows that agree on all higher digits and have a
+    smaller digit here (or an equal one, at the lowest digit). The state is one
+    counter per digit, so a long history needs neither an array nor a self-join.
     """
     found: Column = F.lit(0).cast("long")
     for level in range(levels):
         prefix, digit = _digit(level)
         df = df.withColumns({f"_p{level}": prefix, f"_d{level}": digit})
     for level in range(levels):
-        keys = part if level == levels - 1 else [*part, f"_p{level}"]
-        window = _prior(keys)
-        sums = [_sum0((F.col(f"_d{level}") < bound).cast("long"), window) for bound in range(1, 17)]
-        df = df.withColumn(f"_c{level}", _below(sums, F.col(f"_d{level}"), level == 0))
+        keys = ", ".join(part if level == levels - 1 else [*part, f"_p{level}"])
+        prior = f"(PARTITION BY {keys} ORDER BY {', '.join(ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        sums = [f"count_if(_d{level} < {bound}) OVER {prior}" for bound in range(1, DIGITS + (level == 0))]
+        df = df.withColumn(f"_c{level}", _below(sums, f"_d{level}", level == 0))
         found = found + F.col(f"_c{level}")
     drop = [f"_{letter}{level}" for level in range(levels) for letter in "pdc"]
     return df.withColumn("_le", found).drop(*drop)
@@ -132,19 +132,26 @@ def _prior_not_above(df: DataFrame, part: list[str], levels: int) -> DataFrame:
 def _lookback(df: DataFrame, part: list[str], config: FeatureConfig) -> DataFrame:
     """Values taken from a bounded number of preceding rows."""
     at = Window.partitionBy(*part).orderBy(*ORDER)
-    recent = _rows(part, -config.moving_average_window, -1)
-    drift = _rows(part, -config.drift_window, -1)
+
+    def back(value: Column | str, rows: int) -> list[Column]:
+        # Offsets are kept per row; a sliding frame would be summed anew for every row.
+        return [F.lag(value, i).over(at) for i in range(1, rows + 1)]
+
+    recent = F.array_compact(F.array(*back("_x", config.moving_average_window)))
+    fresh = F.array_compact(F.array(*back((F.col("_n_resource") == 0).cast("long"), config.drift_window)))
+    used = F.array_compact(F.array(*back("resource_accessed", config.drift_window)))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
     return df.select(
         "*",
         F.lag("_us").over(at).alias("_prev_us"),
         F.lag("geo_location").over(at).alias("_prev_geo"),
         F.lag("_country").over(at).alias("_prev_country"),
         F.lag("resource_accessed").over(at).alias("previous_resource"),
-        _sum0(F.col("_x"), recent).alias("_ma_sum"),
-        F.count("_x").over(recent).alias("_ma_n"),
+        total(recent).alias("_ma_sum"),
+        F.size(recent).cast("long").alias("_ma_n"),
         # A resource is outside the older baseline exactly when its first use lies in the window.
-        _sum0((F.col("_n_resource") == 0).cast("long"), drift).alias("_drift_new"),
-        F.size(F.collect_set("resource_accessed").over(drift)).alias("_drift_all"),
+        total(fresh).alias("_drift_new"),
+        F.size(F.array_distinct(used)).alias("_drift_all"),
     )
 
 
@@ -229,16 +236,16 @@ def _blocked_not_above(df: DataFrame, rows: DataFrame, levels: int) -> DataFrame
     for level in range(levels):
         prefix, digit = _digit(level)
         placed = cells.select(KEY, "_block", prefix.alias("_p"), digit.alias("_d"), "_cell")
-        names = [f"_t{bound}" for bound in range(1, 17)]
+        names = [f"_t{bound}" for bound in range(1, DIGITS + 1)]
         per_block = placed.groupBy(KEY, "_p", "_block").agg(
-            *[F.sum(F.when(F.col("_d") < b, F.col("_cell")).otherwise(0)).alias(f"_t{b}") for b in range(1, 17)]
+            *[F.sum(F.when(F.col("_d") < b, F.col("_cell")).otherwise(0)).alias(f"_t{b}") for b in range(1, DIGITS + 1)]
         )
         carry = _carry(per_block, [KEY, "_p"], names)
         found = (
             found.withColumns({"_p": prefix, "_d": digit})
             .join(carry, [KEY, "_p", "_block"], "left")
             .withColumn(
-                "_earlier", F.col("_earlier") + _below([F.col(f"_b{n}") for n in names], F.col("_d"), level == 0)
+                "_earlier", F.col("_earlier") + _below([f"_b{n}" for n in names], "_d", level == 0)
             )
             .select(KEY, "_block", "_v", "_earlier")
         )
@@ -356,12 +363,13 @@ def engineer_features(
     """
     config, skew = config or FeatureConfig(), skew or SkewConfig()
     events = add_optional_columns(require_columns(events, schemas.REQUIRED_EVENT_COLUMNS, "events"))
-    span = events.agg(
-        F.min("session_duration").alias("low"), F.max("session_duration").alias("high")
-    ).first()
-    low, high = span["low"] or 0, span["high"] or 0
+    counts = events.groupBy(KEY).agg(
+        F.count("*").alias("_rows"), F.min("session_duration").alias("_low"), F.max("session_duration").alias("_high")
+    )
+    span = counts.agg(F.max("_rows"), F.min("_low"), F.max("_high")).first()
+    longest, low, high = (value or 0 for value in span)
     levels = max(1, -(-max(int(high - low).bit_length(), 1) // DIGIT_BITS))
-    hot = hot_keys(events, KEY, skew)
+    hot = hot_keys(events, KEY, skew) if longest > skew.hot_rows else None
     rows = prepared(events).withColumn("_v", F.col("_x") - F.lit(int(low)))
     if hot is None:
         raw = _single_pass(rows, entities, config, skew, levels)

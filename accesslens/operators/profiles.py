@@ -70,8 +70,17 @@ def value_frequency(normal: DataFrame) -> DataFrame:
         .groupBy(KEY, F.col("p.kind").alias("kind"), F.col("p.value").alias("value"))
         .agg(F.count("*").alias("uses"))
     )
-    total = F.sum("uses").over(Window.partitionBy(KEY, "kind"))
-    return uses.withColumn("share", ratio(F.col("uses"), total, SHARE_DP))
+    return with_share(uses, [KEY, "kind"], "share")
+
+
+def with_share(uses: DataFrame, group: list[str], name: str) -> DataFrame:
+    """``uses`` as a share of its group's total.
+
+    The total is joined back instead of windowed, because one entity may have any
+    number of distinct values: partial sums and a skew join have no hot task.
+    """
+    total = uses.groupBy(*group).agg(F.sum("uses").alias("_total"))
+    return uses.join(total, group).withColumn(name, ratio(F.col("uses"), F.col("_total"), SHARE_DP)).drop("_total")
 
 
 def statistical(normal: DataFrame) -> DataFrame:
@@ -129,10 +138,8 @@ def resource_steps(normal: DataFrame, skew: SkewConfig) -> DataFrame:
 
 def _probabilities(pairs: DataFrame, kind: str) -> DataFrame:
     uses = pairs.groupBy(KEY, "from_state", "to_state").agg(F.sum("n").alias("uses"))
-    total = F.sum("uses").over(Window.partitionBy(KEY, "from_state"))
-    return uses.select(
-        KEY, F.lit(kind).alias("kind"), "from_state", "to_state", "uses",
-        ratio(F.col("uses"), total, SHARE_DP).alias("probability"),
+    return with_share(uses, [KEY, "from_state"], "probability").select(
+        KEY, F.lit(kind).alias("kind"), "from_state", "to_state", "uses", "probability"
     )
 
 

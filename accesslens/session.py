@@ -37,6 +37,8 @@ def local_session(cores: str = "8", app: str = "accesslens", **conf: str) -> Spa
         .config("spark.driver.memory", os.environ.get("ACCESSLENS_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.showConsoleProgress", "false")
+        # Capturing the Python call site of every expression costs more than planning it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
