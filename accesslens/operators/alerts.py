@@ -41,7 +41,8 @@ def alert_history_window(
         engineered.select(KEY, "event_id", *columns, (F.col("history_length") + 1).alias("_rn"))
         .join(involved, KEY, "left_semi")
     )
-    blocks = with_context(rows, "_rn", skew, before=events - 1)
+    # Placed by block explicitly: rows already placed by entity would otherwise stay together.
+    blocks = with_context(rows, "_rn", skew, before=events - 1).repartition(KEY, "_block")
     recent = Window.partitionBy(KEY, "_block").orderBy("timestamp", "event_id").rowsBetween(-(events - 1), 0)
     listed = blocks.select("event_id", "_copy", F.collect_list(F.struct(*columns)).over(recent).alias("history"))
     return listed.filter(~F.col("_copy")).drop("_copy").join(wanted.select("event_id"), "event_id", "left_semi")

@@ -71,7 +71,7 @@ def evidence_bundle(
     )
     df = skew_join(flagged, profile, [KEY], KEY, skew, hot)
     df = skew_join(df, profile_drift_trend(store), [KEY], KEY, skew, hot)
-    df = skew_join(df, steps, [KEY, "previous_resource", "resource_accessed"], KEY, skew, hot).drop("_salt")
+    df = skew_join(df, steps, [KEY, "previous_resource", "resource_accessed"], KEY, skew, hot).drop("_slot")
     known = F.coalesce("has_profile", F.lit(False)) & F.col("previous_resource").isNotNull()
     return df.select(
         *[c for c in df.columns if c not in ("probability", "has_profile", "drift_rising", "profile_version_count")],

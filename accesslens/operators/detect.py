@@ -126,7 +126,7 @@ def join_profile(
         KEY, F.col("from_state").alias(previous), F.col("to_state").alias("resource_accessed"),
         F.col("probability").alias("f_transition"),
     )
-    return skew_join(df, steps, [KEY, previous, "resource_accessed"], KEY, skew, hot).drop("_salt")
+    return skew_join(df, steps, [KEY, previous, "resource_accessed"], KEY, skew, hot).drop("_slot")
 
 
 def has_profile() -> Column:

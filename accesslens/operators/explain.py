@@ -63,7 +63,7 @@ def explain_evidence(
     known = F.col("profile_version").isNotNull()
     return df.withColumns(
         {f"f_{kind}": F.when(known, F.coalesce(f"f_{kind}", F.lit(0.0))) for kind in VALUE_KINDS}
-    ).drop("_salt")
+    ).drop("_slot")
 
 
 # ---- attribution ----

@@ -12,7 +12,7 @@ from accesslens.functions.numeric import (
     entropy_bits, haversine_km, ratio, round_dp, sample_std, sample_variance_numerator,
 )
 from accesslens.functions.text import blank_to_null, parse_country, split_list
-from accesslens.operators.scan import SkewConfig, add_salt, hot_keys, running_totals, skew_join, split_hot, with_context
+from accesslens.operators.scan import SkewConfig, add_salt, hot_keys, running_totals, skew_join, slot, split_hot, with_context
 from accesslens.session import written
 from accesslens.sources import dims
 from accesslens.sources.readers import add_optional_columns, require_columns
@@ -59,7 +59,7 @@ def join_entity_static(events: DataFrame, entities: DataFrame, config: SkewConfi
         KEY, "timezone", "working_hours_start", "working_hours_end",
         blank_to_null(F.col("department")).alias("department"), F.lit(True).alias("_known"),
     )
-    return skew_join(add_salt(events, KEY, "event_id", config, hot), static, [KEY], KEY, config, hot).drop("_salt")
+    return skew_join(add_salt(events, KEY, "event_id", config, hot), static, [KEY], KEY, config, hot).drop("_slot")
 
 
 def prepared(events: DataFrame) -> DataFrame:
@@ -206,9 +206,17 @@ def _carry(blocks: DataFrame, keys: list[str], names: list[str], agg=F.sum) -> D
     )
 
 
+def _join_blocks(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on (keys, block) that places rows by block, not by entity."""
+    at = slot(KEY, "_block").alias("_slot")
+    rest = [k for k in keys if k != KEY]
+    right = other.select(at, *[c for c in other.columns if c not in (KEY, "_block")])
+    return df.select("*", at).join(right, ["_slot", *rest], "left").drop("_slot")
+
+
 def _add_carry(df: DataFrame, carry: DataFrame, keys: list[str], names: list[str], combine=None) -> DataFrame:
     combine = combine or (lambda own, earlier: own + earlier)
-    joined = df.join(carry, [*keys, "_block"], "left")
+    joined = _join_blocks(df, carry, keys)
     return joined.withColumns({n: combine(F.col(n), F.coalesce(F.col(f"_b{n}"), F.lit(0))) for n in names}).drop(
         *[f"_b{n}" for n in names]
     )
@@ -242,14 +250,13 @@ def _blocked_not_above(df: DataFrame, rows: DataFrame, levels: int) -> DataFrame
         )
         carry = _carry(per_block, [KEY, "_p"], names)
         found = (
-            found.withColumns({"_p": prefix, "_d": digit})
-            .join(carry, [KEY, "_p", "_block"], "left")
+            _join_blocks(found.withColumns({"_p": prefix, "_d": digit}), carry, [KEY, "_p"])
             .withColumn(
                 "_earlier", F.col("_earlier") + _below([f"_b{n}" for n in names], "_d", level == 0)
             )
             .select(KEY, "_block", "_v", "_earlier")
         )
-    joined = df.join(found, [KEY, "_block", "_v"], "left")
+    joined = _join_blocks(df, found, [KEY, "_v"])
     return joined.withColumn("_le", F.col("_le") + F.col("_earlier")).drop("_earlier")
 
 
@@ -409,4 +416,4 @@ def first_seen_values(events: DataFrame, value: str, skew: SkewConfig | None = N
     hot = hot_keys(events, KEY, skew)
     first = events.groupBy(KEY, value).agg(F.min_by("event_id", F.struct("timestamp", "event_id")).alias("_first"))
     joined = skew_join(add_salt(events, KEY, "event_id", skew, hot), first, [KEY, value], KEY, skew, hot)
-    return joined.withColumn("first_seen", F.col("event_id") == F.col("_first")).drop("_first", "_salt")
+    return joined.withColumn("first_seen", F.col("event_id") == F.col("_first")).drop("_first", "_slot")

@@ -124,7 +124,8 @@ def resource_steps(normal: DataFrame, skew: SkewConfig) -> DataFrame:
     if hot is None:
         part, rows = [KEY], rows.withColumn("_copy", F.lit(False))
     else:
-        part, rows = [KEY, "_block"], with_context(ranked(rows, KEY, order, skew, hot), "_rn", skew, after=2)
+        part = [KEY, "_block"]
+        rows = with_context(ranked(rows, KEY, order, skew, hot), "_rn", skew, after=2).repartition(*part)
     at = Window.partitionBy(*part).orderBy(*order)
     following = rows.select(
         KEY,

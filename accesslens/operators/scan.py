@@ -48,11 +48,11 @@ def running_totals(
     slices = ranged.groupBy(*group, "_slice").agg(*[F.sum(f"_add_{name}").alias(f"_add_{name}") for name in sums])
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *group, "_slice", *[F.coalesce(F.sum(f"_add_{name}").over(before), F.lit(0)).alias(f"_off_{name}") for name in sums]
+        slot(*group, "_slice").alias("_slot"), *[F.coalesce(F.sum(f"_add_{name}").over(before), F.lit(0)).alias(f"_off_{name}") for name in sums]
     )
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(f"_add_{name}").over(inside).alias(f"_in_{name}") for name in sums])
-    return local.join(offsets, [*group, "_slice"]).select(
+    local = ranged.select("*", slot(*group, "_slice").alias("_slot"), *[F.sum(f"_add_{name}").over(inside).alias(f"_in_{name}") for name in sums])
+    return local.join(offsets, "_slot").select(
         *df.columns, *[(F.col(f"_in_{name}") + F.col(f"_off_{name}")).alias(name) for name in sums]
     )
 
@@ -140,13 +140,22 @@ def hot_by_history(engineered: DataFrame, key: str, config: SkewConfig) -> DataF
     return None if hot.isEmpty() else written(hot, "hot")
 
 
+def slot(*parts: Column | str) -> Column:
+    """One column that stands for several, such as a key and its block number.
+
+    Joins that must not fall back to the placement by key alone use it: rows
+    hashed by the key do not count as hashed by its slots.
+    """
+    return F.concat_ws("#", *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
 def add_salt(df: DataFrame, key: str, spread: str, config: SkewConfig, hot: DataFrame | None) -> DataFrame:
-    """``_salt``: which of the reducers of a hot key takes the row; 0 for ordinary keys."""
+    """``_slot``: which of the reducers of a hot key takes the row; one slot for an ordinary key."""
     if hot is None:
         return df
     marked = df.join(hot.withColumn("_hot", F.lit(True)), key, "left")
-    bucket = F.pmod(F.xxhash64(spread), F.lit(config.salts)).cast("int")
-    return marked.withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(0)).drop("_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(config.salts))).otherwise(0)
+    return marked.withColumn("_slot", slot(key, salt)).drop("_hot").repartition("_slot")
 
 
 def skew_join(
@@ -169,6 +178,7 @@ def skew_join(
     copies = (
         right.join(hot.withColumn("_hot", F.lit(True)), key, "left")
         .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn("_slot", slot(key, "_salt"))
+        .drop("_hot", "_salt", key)
     )
-    return left.join(copies, [*keys, "_salt"], how)
+    return left.join(copies, ["_slot", *[k for k in keys if k != key]], how)

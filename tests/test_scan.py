@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ def test_context_copies_edges_only(skewed):
 def test_salted_join_equals_plain_join(spark, skewed):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("zzz", 3)], "key string, v int")
     hot = hot_keys(skewed, "key", SMALL)
-    salted = skew_join(add_salt(skewed, "key", "id", SMALL, hot), right, ["key"], "key", SMALL, hot).drop("_salt")
+    salted = skew_join(add_salt(skewed, "key", "id", SMALL, hot), right, ["key"], "key", SMALL, hot).drop("_slot")
     plain = skewed.join(right, "key", "left")
     assert salted.count() == 3000
     assert plain.exceptAll(salted.select(*plain.columns)).isEmpty()
@@ -65,7 +67,7 @@ def test_salted_join_equals_plain_join(spark, skewed):
 
 def test_salt_spreads_the_hot_key(skewed):
     hot = hot_keys(skewed, "key", SMALL)
-    spread = add_salt(skewed, "key", "id", SMALL, hot).filter(F.col("key") == "hot").groupBy("_salt").count()
+    spread = add_salt(skewed, "key", "id", SMALL, hot).filter(F.col("key") == "hot").groupBy("_slot").count()
     assert spread.count() == 4
 
 
@@ -79,3 +81,27 @@ def test_quantiles_match_interpolation(spark):
 def test_config_is_checked():
     with pytest.raises(ValueError):
         SkewConfig(hot_rows=10, block_rows=20)
+
+
+def test_salted_rows_do_not_stay_placed_by_key(spark, skewed):
+    hot = hot_keys(skewed, "key", SMALL)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        right = skewed.groupBy("key").agg(F.max("x").alias("m"))
+        joined = skew_join(add_salt(skewed.repartition("key"), "key", "id", SMALL, hot), right, ["key"], "key", SMALL, hot)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The side that holds the hot rows is hashed by slot right below the join, not by key.
+    assert re.search(r"Exchange hashpartitioning\(_slot#\d+", plan)
+
+
+def test_hot_rows_are_spread_over_tasks(spark, skewed):
+    hot = hot_keys(skewed, "key", SMALL)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = add_salt(skewed, "key", "id", SMALL, hot).withColumn("p", F.spark_partition_id())
+        assert placed.filter(F.col("key") == "hot").select("p").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
