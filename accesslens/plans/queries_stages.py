@@ -55,7 +55,7 @@ def engineered_now(p: Pipeline, config: fe.FeatureConfig | None = None, skew: Sk
 
 
 add("engineer_features", lambda p: engineered_now(p).select("event_id", *schemas.FEATURE_NAMES), FEATURES_ALL_SQL, "feat")
-# The same features with every entity above 40 events cut into blocks of 16, as for very long histories.
+# The same features with every entity above 60 events cut into blocks of 16, as for very long histories.
 add(
     "engineer_features_blocked",
     lambda p: engineered_now(p, skew=SkewConfig(hot_rows=60, block_rows=16, salts=4)).select("event_id", *schemas.FEATURE_NAMES),

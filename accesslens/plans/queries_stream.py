@@ -13,7 +13,8 @@ from accesslens.plans.registry import add, tagged
 from accesslens.streaming import stateful as st
 
 SLICES = ("2024-01-09", "2024-01-17", "2024-01-25")
-ONE_FILE = st.StreamConfig(files=1)
+# One slice per micro-batch: at least as many files as the largest slice has.
+CONFIG = st.StreamConfig(files=64, late="30 days")
 
 
 def sliced(p: Pipeline, name: str, df: DataFrame) -> str:
@@ -32,15 +33,10 @@ def sliced(p: Pipeline, name: str, df: DataFrame) -> str:
     return p.once(name, write)
 
 
-def _config(p: Pipeline, path: str) -> st.StreamConfig:
-    """One slice per micro-batch: as many files as the largest slice has."""
-    return st.StreamConfig(files=64, late="30 days")
-
-
 def detect_stream(p: Pipeline) -> DataFrame:
     engineered = p.engineered()
     path = sliced(p, "stream_engineered", engineered)
-    return st.stream_detect(st.read_events(p.spark, path, engineered.schema, _config(p, path)), p.latest())
+    return st.stream_detect(st.read_events(p.spark, path, engineered.schema, CONFIG), p.latest(), config=CONFIG)
 
 
 def detected(p: Pipeline) -> DataFrame:
@@ -66,7 +62,7 @@ add(
 def features_stream(p: Pipeline) -> DataFrame:
     events = p.events()
     path = sliced(p, "stream_events", events)
-    return st.stream_features(st.read_events(p.spark, path, events.schema, _config(p, path)), p.entities())
+    return st.stream_features(st.read_events(p.spark, path, events.schema, CONFIG), p.entities(), config=CONFIG)
 
 
 add(
