@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accesslens.llm import quality
 from accesslens.llm.chat import format_chat, read_back
 from accesslens.llm.common import table
 from accesslens.llm.decontam import contained
@@ -31,6 +32,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.held_out_column()
+    model = quality.train(docs, table(spark, sf_dir, "labels"), out)
+    scored = quality.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("_key")
 
@@ -79,6 +88,7 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
