@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accesslens.llm import quality
 from accesslens.llm.chat import format_chat, read_back
+from accesslens.llm.chosen_path import near_duplicates
 from accesslens.llm.common import table
 from accesslens.llm.decontam import contained
 from accesslens.llm.exact_dedup import exact_dedup
@@ -86,6 +87,10 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -93,5 +98,6 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op10_near_dedup": op10_near_dedup,
 }
 SQL = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
