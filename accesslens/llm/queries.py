@@ -13,6 +13,7 @@ from accesslens.llm.decontam import contained
 from accesslens.llm.exact_dedup import exact_dedup
 from accesslens.llm.hilbert import hilbert_shards
 from accesslens.llm.mixing import mix
+from accesslens.llm.suffix_dedup import without_repeats
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,10 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 SQL = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
