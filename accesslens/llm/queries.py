@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import quality
+from accesslens.llm import maxent, quality
 from accesslens.llm.chat import format_chat, read_back
 from accesslens.llm.chosen_path import near_duplicates
 from accesslens.llm.common import table
@@ -83,6 +83,13 @@ FROM h JOIN n USING (item_id) WHERE 10 * shared >= 8 * total
 """
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.held_out_column(7, 2)
+    model, rest = maxent.train(docs, out)
+    return maxent.score(docs, model, rest, out)
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards(table(spark, sf_dir, "documents"), whole_rows=False)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
@@ -102,6 +109,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
