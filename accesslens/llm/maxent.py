@@ -49,7 +49,7 @@ class MaxentConfig:
     classes: int = 32
     bits: int = 14
     head: int = 1 << 18
-    step: int = 4096
+    step: int = 1024
     rate: float = 0.1
     rounds: int = 2
     block: int = 1024

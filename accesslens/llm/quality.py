@@ -35,7 +35,8 @@ from accesslens.llm.common import sized, text_of, written
 
 @dataclass(frozen=True)
 class ConvConfig:
-    """width: bytes a filter sees; chunk, overlap: of the text, in bytes; sample, sample_chunks: bounds of the fit."""
+    """width: bytes a filter sees; chunk, overlap: of the text, in bytes; sample, sample_chunks: bounds of the fit;
+    steps: gradient steps on ``batch`` texts each."""
 
     filters: int = 24
     width: int = 6
@@ -43,7 +44,7 @@ class ConvConfig:
     overlap: int = 128
     sample: int = 2000
     sample_chunks: int = 6
-    epochs: int = 10
+    steps: int = 600
     batch: int = 64
     rate: float = 0.02
     seed: int = 17
@@ -100,11 +101,11 @@ def fit(pieces: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, conf
     }
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     steps = 0
-    for epoch in range(config.epochs):
-        rate = config.rate * (1 - epoch / config.epochs)
+    while steps < config.steps:
         order = rng.permutation(len(pieces))
         for lo in range(0, len(order), config.batch):
             rows = order[lo : lo + config.batch]
+            rate = config.rate * max(0.05, 1 - steps / config.steps)
             n = len(rows)
             x = np.frombuffer(b"".join(c for r in rows for c in pieces[r]), np.uint8).reshape(-1, config.chunk + config.width - 1)
             owner = np.repeat(np.arange(n), [len(pieces[r]) for r in rows])
