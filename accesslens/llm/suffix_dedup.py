@@ -52,7 +52,7 @@ class RepeatConfig:
 
 
 #: Bytes worked on at once; a longer text is cut in overlapping pieces.
-PIECE = 4_000_000
+PIECE = 1_000_000
 HELD: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -61,8 +61,9 @@ def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "made" not in HELD:
         base = 0x9E3779B97F4A7C15
         n = 2 * PIECE + 1024
-        up = np.cumprod(np.concatenate(([1], np.full(n, base, np.uint64))).astype(np.uint64))
-        down = np.cumprod(np.concatenate(([1], np.full(n, pow(base, -1, 2**64), np.uint64))).astype(np.uint64))
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         HELD["made"] = (np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64), up, down)
     return HELD["made"]
 
@@ -83,16 +84,15 @@ def anchors(data: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndar
     return (key & np.uint64((1 << 24) - 1)).astype(np.int64), hashes
 
 
-def runs_of(texts: list[bytes], config: RepeatConfig):
-    """Runs of windows with one anchor: which text, start in it, windows, the anchor's hash, and the run's bytes."""
-    parts, owner, shift = [], [], []
-    for k, text in enumerate(texts):
-        for lo in range(0, max(len(text) - config.length + 1, 0), PIECE):
-            parts.append(text[lo : lo + PIECE + config.length - 1])
-            owner.append(k)
-            shift.append(lo)
-    if not parts:
-        return None
+def cut_up(texts: list[bytes], config: RepeatConfig) -> list[tuple[int, int, bytes]]:
+    """Every text that has a window, in parts of at most ``PIECE`` windows: which text, where the part starts, its bytes."""
+    return [
+        (k, lo, text[lo : lo + PIECE + config.length - 1]) for k, text in enumerate(texts) for lo in range(0, max(len(text) - config.length + 1, 0), PIECE)
+    ]
+
+
+def runs_of(parts: list[bytes], config: RepeatConfig):
+    """Runs of windows with one anchor: which part, start in it, windows, the anchor's hash, place in the joined parts, and these."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     where, hashes = anchors(data, config)
     size = np.array([len(p) for p in parts])
@@ -106,7 +106,7 @@ def runs_of(texts: list[bytes], config: RepeatConfig):
     first = np.flatnonzero(new)
     width = np.diff(np.append(first, len(window)))
     start, whose = window[first], part[first]
-    return np.array(owner)[whose], start - begin[whose] + np.array(shift)[whose], width, hashes[anchor[first]].view(np.int64), start, data.tobytes()
+    return whose, start - begin[whose], width, hashes[anchor[first]].view(np.int64), start, data.tobytes()
 
 
 def removed_windows(texts: list[bytes], places: np.ndarray, widths: np.ndarray, config: RepeatConfig) -> list[tuple[int, int, int]]:
@@ -158,16 +158,16 @@ def occurrences(docs: DataFrame, distinct: DataFrame, config: RepeatConfig) -> D
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, base = part.column("_text").to_pylist(), part.column("_base").to_numpy()
-            for lo, hi in batches(texts, PIECE):
-                found = runs_of(texts[lo:hi], config)
-                if found is None:
-                    continue
-                whose, start, width, anchor, at, data = found
+            cuts = cut_up(texts, config)
+            owner, shift = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+            for lo, hi in batches([c[2] for c in cuts], PIECE + config.length):
+                whose, start, width, anchor, at, data = runs_of([c[2] for c in cuts[lo:hi]], config)
+                start, whose = start + shift[lo:hi][whose], owner[lo:hi][whose]
                 ends = at + width + config.length - 1
                 digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), ends.tolist(), strict=True)])
                 two = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(base[lo:hi][whose]), pa.array(start.astype(np.int64)), pa.array(width.astype(np.int32))],
+                    [pa.array(anchor), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(base[whose]), pa.array(start.astype(np.int64)), pa.array(width.astype(np.int32))],
                     names=["_fp", "_r1", "_r2", "_base", "_start", "_width"],
                 )
 
