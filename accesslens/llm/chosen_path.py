@@ -202,7 +202,8 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         if not many:
             break
-        level = level.join(sized(crowd.select("_node")), "_node", "left_semi").withColumn("_node", child(F.col("_node"), config))
+        # Written, so that deeper levels start from the crowds and not from all classes again.
+        level = written(level.join(sized(crowd.select("_node")), "_node", "left_semi").withColumn("_node", child(F.col("_node"), config)), "crowded")
     return edges
 
 
