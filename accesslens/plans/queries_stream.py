@@ -1,4 +1,4 @@
-"""Queries that replay the event table as a stream, in time slices, and read what the stream wrote."""
+"""Queries that replay the event table as a stream, in slices out of order, and read what the stream wrote."""
 
 from __future__ import annotations
 
@@ -12,23 +12,25 @@ from accesslens.plans.pipeline import Pipeline
 from accesslens.plans.registry import add, tagged
 from accesslens.streaming import stateful as st
 
-SLICES = ("2024-01-09", "2024-01-17", "2024-01-25")
-# One slice per micro-batch: at least as many files as the largest slice has.
-CONFIG = st.StreamConfig(files=64, late="30 days")
+#: Quarters of the time span, in the order they arrive: three of them come late.
+ARRIVAL = (1, 0, 3, 2)
+# Rows may be as late as half of a month of events.
+CONFIG = st.StreamConfig(files=64, late="20 days")
 
 
-def sliced(p: Pipeline, name: str, df: DataFrame) -> str:
-    """All rows of a table as files that arrive in time order, one slice after the other."""
+def sliced(p: Pipeline, name: str, df: DataFrame, arrival: tuple[int, ...] = ARRIVAL) -> str:
+    """All rows of a table as files: quarters of its time span in the order ``arrival``, and the row that ends the stream."""
 
     def write(path: str) -> None:
-        edges = [F.lit(day).cast("timestamp") for day in SLICES]
-        for low, high in zip([None, *edges], [*edges, None]):
-            part = df
-            if low is not None:
-                part = part.filter(F.col("timestamp") >= low)
-            if high is not None:
-                part = part.filter(F.col("timestamp") < high)
-            part.repartitionByRange(F.col("timestamp")).write.mode("append").parquet(path)
+        span = df.agg(F.min(F.unix_micros("timestamp")).alias("low"), F.max(F.unix_micros("timestamp")).alias("high")).first()
+        if span.low is None:
+            df.write.parquet(path)
+            return
+        width = (span.high - span.low) // len(arrival) + 1
+        quarter = (F.unix_micros("timestamp") - span.low) / F.lit(width)
+        for k in arrival:
+            df.filter(F.floor(quarter) == k).repartitionByRange(F.col("timestamp")).write.mode("append").parquet(path)
+        st.closing_row(df, "100 days").coalesce(1).write.mode("append").parquet(path)
 
     return p.once(name, write)
 

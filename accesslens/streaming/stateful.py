@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,57 +25,136 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @dataclass(frozen=True)
 class StreamConfig:
-    """late       how far behind the newest event a row may arrive before it is dropped (and counted)
-    expiry_ms     event time after which the state of a silent entity is cleared
-    files         files per micro-batch; bounds what one entity can bring in one go
+    """late       how far behind the newest event a row may arrive; it waits that long for rows before it
+    expiry_ms     event time after which the state of a silent entity is cleared; None keeps it for good
+    files         files per micro-batch
     """
 
     late: str = "1 day"
-    expiry_ms: int = 90 * 86_400_000
+    expiry_ms: int | None = None
     files: int = 16
 
 
-def _expire_later(handle: StatefulProcessorHandle, newest_ms: int, expiry_ms: int) -> None:
-    """Keep one event-time timer per entity, ``expiry_ms`` after its newest event."""
-    for timer in handle.listTimers():
-        handle.deleteTimer(timer)
-    handle.registerTimer(newest_ms + expiry_ms)
+#: Entity of the row that ends a finite stream (see ``closing_row``); it never appears in an output.
+END_ENTITY = "\x7fend-of-stream"
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One entity's rows of a micro-batch in causal order."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "event_id"], ignore_index=True)
+class InOrder(StatefulProcessor):
+    """Hands each entity's rows to ``advance`` in (timestamp, event_id) order, however they arrive.
 
+    Rows wait in state until the watermark has passed them: then no accepted row can come before them any
+    more, so the result does not depend on arrival order or on how files fall into micro-batches.
+    """
 
-def _newest_ms(batch: pd.DataFrame) -> int:
-    return int(batch["timestamp"].iloc[-1].value // 1_000_000)
-
-
-class PreviousResource(StatefulProcessor):
-    """Adds the entity's preceding resource to each event; state is the last one."""
-
-    def __init__(self, expiry_ms: int) -> None:
+    def __init__(self, expiry_ms: int | None) -> None:
         self.expiry_ms = expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "resource string")
+        self.waiting = handle.getListState("waiting", "low bigint, high bigint, rows binary")
+        self.newest = handle.getValueState("newest", "ms bigint")
+        self.open_state(handle)
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        """Declare the state of the entity."""
+        raise NotImplementedError
+
+    def advance(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """Rows that follow all rows seen before, in order, with what they need from state."""
+        raise NotImplementedError
+
+    def clear_state(self) -> None:
+        """Forget the entity."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows)
+        batch = pd.concat(list(rows), ignore_index=True)
+        chunk = _chunk(batch)
+        self.waiting.appendList([chunk])
+        self.handle.registerTimer(_due(chunk[0]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready, rest = [], []
+        for low, high, data in self.waiting.get():
+            if low > passed * 1000:
+                rest.append((low, high, data))
+                continue
+            rows = pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+            if high > passed * 1000:
+                due = _micros(rows) <= passed * 1000
+                rest.append(_chunk(rows[~due]))
+                rows = rows[due]
+            ready.append(rows)
+        if ready:
+            batch = pd.concat(ready, ignore_index=True).sort_values(["timestamp", "event_id"], ignore_index=True)
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(_due(min(r[0] for r in rest)))
+            else:
+                self.waiting.clear()
+            for part in self._between_silences(batch):
+                yield self.advance(part)
+            newest = int(_micros(batch).iloc[-1] // 1000)
+            self.newest.update((newest,))
+            if self.expiry_ms is not None:
+                self.handle.registerTimer(newest + self.expiry_ms + 1)
+        elif self.expiry_ms is not None and not rest and self.newest.exists() and self.newest.get()[0] + self.expiry_ms < passed:
+            self.newest.clear()
+            self.clear_state()
+
+    def _between_silences(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The ordered rows, cut where the entity was silent for longer than the expiry; its state is cleared there."""
+        if self.expiry_ms is None:
+            yield batch
+            return
+        ms = (_micros(batch) // 1000).to_numpy()
+        before = np.concatenate(([self.newest.get()[0] if self.newest.exists() else ms[0]], ms[:-1]))
+        cuts = np.flatnonzero(ms - before > self.expiry_ms)
+        edges = [0, *cuts[cuts > 0].tolist(), len(batch)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            if low in cuts:
+                self.clear_state()
+            yield batch.iloc[low:high].reset_index(drop=True)
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(rows: pd.DataFrame) -> pd.Series:
+    return rows["timestamp"].astype("datetime64[us]").astype("int64")
+
+
+def _due(us: int) -> int:
+    """The first millisecond at which a watermark has passed ``us``."""
+    return int(-(-us // 1000)) + 1
+
+
+def _chunk(rows: pd.DataFrame) -> tuple[int, int, bytes]:
+    """Rows as a state entry: their time span, and themselves as an Arrow stream."""
+    data, us = pa.Table.from_pandas(rows, preserve_index=False), _micros(rows)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, data.schema) as writer:
+        writer.write_table(data)
+    return int(us.min()), int(us.max()), sink.getvalue().to_pybytes()
+
+
+class PreviousResource(InOrder):
+    """Adds the entity's preceding resource to each event; state is the last one."""
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "resource string")
+
+    def advance(self, batch: pd.DataFrame) -> pd.DataFrame:
         before = self.last.get()[0] if self.last.exists() else None
         resources = batch["resource_accessed"].tolist()
         batch["previous_resource"] = [before, *resources[:-1]]
         self.last.update((resources[-1],))
-        _expire_later(self.handle, _newest_ms(batch), self.expiry_ms)
-        yield batch
+        return batch
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def clear_state(self) -> None:
         self.last.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
 
 
 RAW_FEATURES = {
@@ -87,7 +166,7 @@ RAW_FEATURES = {
 TOTALS = ("_s_ok", "_s_mfa", "_s_city", "_s_res", "_s_x", "_s_xx")
 
 
-class PriorTotals(StatefulProcessor):
+class PriorTotals(InOrder):
     """Adds to each event the raw prior quantities the feature expressions need.
 
     State per entity: totals, the last event, the tail the short windows look at,
@@ -95,11 +174,11 @@ class PriorTotals(StatefulProcessor):
     Within a micro-batch everything is vectorised.
     """
 
-    def __init__(self, config: fe.FeatureConfig, expiry_ms: int) -> None:
-        self.config, self.expiry_ms = config, expiry_ms
+    def __init__(self, config: fe.FeatureConfig, expiry_ms: int | None) -> None:
+        super().__init__(expiry_ms)
+        self.config = config
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         totals = ", ".join(f"{name} bigint" for name in TOTALS)
         self.totals = handle.getValueState(
             "totals", f"n bigint, last_ok bigint, dropped bigint, us bigint, geo string, country string, {totals}"
@@ -113,12 +192,11 @@ class PriorTotals(StatefulProcessor):
     def _occurrences(self, column: str, values: pd.Series) -> np.ndarray:
         """Earlier rows with the same value, before and within this batch."""
         counts = values.groupby(values).cumcount().astype("int64")
-        for value, size in values.value_counts().items():
-            state_key = (f"{column}|{value}",)
-            known = self.seen.getValue(state_key)[0] if self.seen.containsKey(state_key) else 0
-            counts[values == value] += known
-            self.seen.updateValue(state_key, (int(known + size),))
-        return counts.to_numpy()
+        sizes = values.value_counts()
+        known = {v: self.seen.getValue((f"{column}|{v}",))[0] if self.seen.containsKey((f"{column}|{v}",)) else 0 for v in sizes.index}
+        for value, size in sizes.items():
+            self.seen.updateValue((f"{column}|{value}",), (int(known[value] + size),))
+        return (counts + values.map(known).astype("int64")).to_numpy()
 
     def _not_above(self, x: np.ndarray) -> np.ndarray:
         """Earlier durations that are at most this one."""
@@ -126,16 +204,12 @@ class PriorTotals(StatefulProcessor):
         bounds, sizes = np.array(stored[0], dtype="int64"), np.array(stored[1], dtype="int64")
         upto = np.concatenate(([0], np.cumsum(sizes)))
         found = upto[np.searchsorted(bounds, x, side="right")]
-        batch: list[int] = []
-        for i, value in enumerate(x.tolist()):
-            found[i] += bisect.bisect_right(batch, value)
-            bisect.insort(batch, value)
+        found = found + _earlier_not_above(x)
         merged = pd.Series(np.concatenate((sizes, np.ones(len(x), dtype="int64")))).groupby(np.concatenate((bounds, x))).sum()
         self.histogram.update((merged.index.tolist(), merged.tolist()))
         return found
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows)
+    def advance(self, batch: pd.DataFrame) -> pd.DataFrame:
         cfg, m = self.config, len(batch)
         start = self.totals.get() if self.totals.exists() else None
         n, last_ok, dropped = (start[0], start[1], start[2]) if start else (0, 0, 0)
@@ -177,16 +251,30 @@ class PriorTotals(StatefulProcessor):
         keep = cfg.lookback
         self.totals.update((n + m, int(ok_at[-1]), dropped + cut, int(us[-1]), geo[-1], country[-1], *[after[t] for t in TOTALS]))
         self.tail.update((all_x[-keep:], all_r[-keep:], all_f[-keep:], recent[cut:].tolist()))
-        _expire_later(self.handle, _newest_ms(batch), self.expiry_ms)
-        yield batch.assign(**{_shown(name): out[name] for name in RAW_FEATURES})
+        return batch.assign(**{_shown(name): out[name] for name in RAW_FEATURES})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def clear_state(self) -> None:
         for state in (self.totals, self.tail, self.histogram, self.seen):
             state.clear()
-        return iter([])
 
-    def close(self) -> None:
-        pass
+
+def _earlier_not_above(x: np.ndarray) -> np.ndarray:
+    """How many earlier elements are at most each element: merging sorted halves, bottom up."""
+    n = len(x)
+    found = np.zeros(n, np.int64)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), x))] = np.arange(n)
+    order, width = np.arange(n), 1
+    while width < n:
+        block = order // (2 * width)
+        right = (order // width) % 2 == 1
+        by = np.lexsort((rank, block))
+        lefts = np.cumsum(~right[by])
+        first = np.concatenate(([True], block[by][1:] != block[by][:-1]))
+        base = np.maximum.accumulate(np.where(first, lefts - ~right[by], 0))
+        found[by] += np.where(right[by], lefts - base, 0)
+        width *= 2
+    return found
 
 
 def _shown(name: str) -> str:
@@ -205,6 +293,7 @@ def _stateful(rows: DataFrame, processor: StatefulProcessor, columns: dict[str,
         rows.withWatermark("timestamp", config.late)
         .groupBy(KEY)
         .transformWithStateInPandas(processor, _with(rows.schema, columns), "Append", "EventTime")
+        .filter(F.col(KEY) != END_ENTITY)
     )
 
 
@@ -260,10 +349,18 @@ def replay(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows a query dropped because they came after the watermark."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def closing_row(df: DataFrame, after: str = "1 day") -> DataFrame:
+    """One row that ends a finite stream: written last, it moves the watermark past all others (``after`` beyond the
+    configured lateness), and rows that waited come out."""
+    last = df.agg(F.max("timestamp")).first()[0]
+    row = df.limit(1).withColumns({KEY: F.lit(END_ENTITY), "event_id": F.lit(END_ENTITY), "timestamp": F.lit(last) + F.expr(f"INTERVAL {after}")})
+    return row.select(*df.columns)
+
+
+def late_rows(source: DataFrame, output: DataFrame) -> DataFrame:
+    """The side output: rows of a closed stream's source that came after the watermark had passed them.
+
+    Progress reports keep only the newest batches, so rows are compared instead, by entity and event.
+    """
+    keys = [KEY, "event_id"]
+    return source.filter(F.col(KEY) != END_ENTITY).join(output.select(*keys), keys, "left_anti")
