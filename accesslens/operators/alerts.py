@@ -16,6 +16,17 @@ HISTORY_EVENTS = 12
 PAGE_SIZE = 25
 PREVIEW_ENTITIES = 6
 
+# Field names of the exported documents.
+HISTORY_FIELDS = {
+    "timestamp": "timestamp", "resourceAccessed": "resource_accessed", "deviceFingerprint": "device_fingerprint",
+    "geoLocation": "geo_location", "loginResult": "login_result", "sessionDuration": "session_duration", "authMethod": "auth_method",
+}
+BASELINE_FIELDS = {
+    "avgSessionDuration": "avg_session_duration", "sessionDurationStd": "session_duration_std", "avgLoginHour": "avg_login_hour",
+    "loginHourStd": "login_hour_std", "sampleCount": "sample_count", "failureRate": "failure_rate", "profileVersion": "version",
+    "driftScore": "drift_score", "warmupStrategy": "warmup_strategy",
+}
+
 
 def topk_alerts_per_type(classified: DataFrame, k: int = ALERTS_PER_TYPE) -> DataFrame:
     """The k riskiest classified events of each attack type."""
@@ -32,10 +43,7 @@ def alert_history_window(
     into blocks with ``events`` − 1 rows of overlap and no range join is needed.
     """
     skew = skew or SkewConfig()
-    columns = (
-        "timestamp", "resource_accessed", "device_fingerprint", "geo_location", "login_result", "session_duration",
-        "auth_method",
-    )
+    columns = tuple(HISTORY_FIELDS.values())
     involved = engineered.join(wanted.select("event_id"), "event_id", "left_semi").select(KEY).distinct()
     rows = (
         engineered.select(KEY, "event_id", *columns, (F.col("history_length") + 1).alias("_rn"))
@@ -44,16 +52,13 @@ def alert_history_window(
     # Placed by block explicitly: rows already placed by entity would otherwise stay together.
     blocks = with_context(rows, "_rn", skew, before=events - 1).repartition(KEY, "_block")
     recent = Window.partitionBy(KEY, "_block").orderBy("timestamp", "event_id").rowsBetween(-(events - 1), 0)
-    listed = blocks.select("event_id", "_copy", F.collect_list(F.struct(*columns)).over(recent).alias("history"))
+    listed = blocks.select("event_id", "_copy", F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in HISTORY_FIELDS.items()])).over(recent).alias("history"))
     return listed.filter(~F.col("_copy")).drop("_copy").join(wanted.select("event_id"), "event_id", "left_semi")
 
 
 def alert_profile_baseline(core: DataFrame) -> DataFrame:
     """The snapshot of profile fields an alert shows."""
-    fields = (
-        "avg_session_duration", "session_duration_std", "avg_login_hour", "login_hour_std", "sample_count",
-        "failure_rate", F.col("version").alias("profile_version"), "drift_score", "warmup_strategy",
-    )
+    fields = [F.col(c).alias(n) for n, c in BASELINE_FIELDS.items()]
     return core.select(KEY, F.struct(*fields).alias("profile_baseline"))
 
 
@@ -98,10 +103,10 @@ def alert_contributions(contributions: Column) -> Column:
 
 def build_alerts(
     classified: DataFrame, detection: DataFrame, explained: DataFrame, engineered: DataFrame, entities: DataFrame,
-    latest: Profiles, skew: SkewConfig | None = None, per_type: int = ALERTS_PER_TYPE,
+    latest: Profiles, skew: SkewConfig | None = None, per_type: int | None = None,
 ) -> DataFrame:
-    """The alert feed: sampled per type, then enriched; only the sample meets the wide joins."""
-    sample = topk_alerts_per_type(classified, per_type)
+    """The alert feed: every flagged event, or the riskiest ``per_type`` of each type, before the wide joins."""
+    sample = classified if per_type is None else topk_alerts_per_type(classified, per_type)
     df = join_entity_meta(join_alert_inputs(sample, detection, explained, engineered), entities)
     df = df.join(alert_history_window(engineered, sample, skew), "event_id", "left")
     df = df.join(alert_profile_baseline(latest.core), KEY, "left")
@@ -136,6 +141,12 @@ def build_alerts(
     )
 
 
+def export_feed(alerts: DataFrame, k: int = ALERTS_PER_TYPE) -> DataFrame:
+    """The alerts that the exported file shows: the k riskiest of each type."""
+    best = Window.partitionBy("attackType").orderBy(F.desc("riskScore"), "eventId")
+    return alerts.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).drop("_place")
+
+
 # ---- triage over alerts (camelCase alert columns) ----
 
 
@@ -196,9 +207,11 @@ def _severity_rank(level: Column) -> Column:
 
 
 def entity_alert_summary(alerts: DataFrame) -> DataFrame:
-    """Per entity: alerts, highest risk and severity, last sight and latest alert."""
+    """Per entity: its type and department, alerts, highest risk and severity, last sight and latest alert."""
     latest = F.struct("timestamp", "eventId")
     return alerts.groupBy("entityId").agg(
+        F.max("entityType").alias("entity_type"),
+        F.max("department").alias("department"),
         F.count("*").alias("alert_count"),
         F.max("riskScore").alias("max_risk"),
         F.max_by("severity", _severity_rank(F.col("severity"))).alias("highest_severity"),
@@ -211,8 +224,8 @@ def alert_value_counts(alerts: DataFrame) -> DataFrame:
     """Devices and locations inside each alert's history, with counts."""
     event = F.explode("history")
     pairs = F.array(
-        F.struct(F.lit("device").alias("kind"), F.col("h.device_fingerprint").alias("value")),
-        F.struct(F.lit("location").alias("kind"), F.col("h.geo_location").alias("value")),
+        F.struct(F.lit("device").alias("kind"), F.col("h.deviceFingerprint").alias("value")),
+        F.struct(F.lit("location").alias("kind"), F.col("h.geoLocation").alias("value")),
     )
     flat = alerts.select("eventId", event.alias("h")).select("eventId", F.explode(pairs).alias("p"))
     return flat.groupBy("eventId", F.col("p.kind").alias("kind"), F.col("p.value").alias("value")).agg(

@@ -226,9 +226,10 @@ def _blocked_value_counts(rows: DataFrame) -> DataFrame:
     """Value counts inside the block plus those of earlier blocks; ``rows`` is a written table."""
     df = _value_counts(rows, [KEY, "_block"])
     for value, name in TRACKED.items():
-        present = rows.filter(F.col(value).isNotNull())
-        per_block = present.groupBy(KEY, value, "_block").agg(F.count("*").alias(name))
-        df = _add_carry(df, _carry(per_block, [KEY, value], [name]), [KEY, value], [name])
+        # A missing value counts as a value, as it does inside a block.
+        own = F.coalesce(F.col(value), F.lit("\0")).alias("_own")
+        per_block = rows.groupBy(KEY, own, "_block").agg(F.count("*").alias(name))
+        df = _add_carry(df.select("*", own), _carry(per_block, [KEY, "_own"], [name]), [KEY, "_own"], [name]).drop("_own")
     return df
 
 

@@ -256,11 +256,13 @@ _event_columns = [c for c in schemas.REQUIRED_EVENT_COLUMNS + schemas.OPTIONAL_E
 cte("feat", "SELECT ts, us, " + ", ".join(_event_columns) + ", is_attack, attack_type, previous_resource, burst_day, "
     + ", ".join(f"{e} AS {n}" for n, e in FEATURE_SQL.items()) + " FROM f2 JOIN pctl USING (event_id)", "f2", "pctl")
 
-# ---- profiles, versions 1 (first half of the month) and 2 (all) ----
+# ---- profiles, versions 1 (first half of the days) and 2 (all) ----
 
 _stat_var = lambda s, ss: (f"(CASE WHEN n >= 2 THEN sqrt((n::HUGEINT * {ss} - {s}::HUGEINT * {s}::HUGEINT)::DOUBLE / "
                            "(n::DOUBLE * (n - 1)::DOUBLE)) ELSE 0e0 END)")
-for v, when in ((1, "AND ts < TIMESTAMP '2024-01-16'"), (2, "")):
+#: Halfway through the days of the events.
+FIRST_BUILD_SQL = "(SELECT min(ts)::DATE + CAST((max(ts)::DATE + 1 - min(ts)::DATE) // 2 AS INTEGER) FROM events)"
+for v, when in ((1, f"AND ts < {FIRST_BUILD_SQL}"), (2, "")):
     cte(f"nrm{v}", f"SELECT * FROM feat WHERE NOT is_attack {when}", "feat")
     cte(f"val{v}", f"""
 SELECT entity_id, kind, value, uses, {R('uses::DOUBLE / sum(uses) OVER (PARTITION BY entity_id, kind)::DOUBLE', 4)} AS share FROM (
@@ -524,7 +526,7 @@ CONFIDENCE_TEXT = ("'Confidence ' || level || ' (' || " + PCT("conf", 0) + " ||
 # ---- alerts ----
 
 cte("alr", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY risk_score DESC, event_id) AS alert_place FROM exp) WHERE alert_place <= 45""", "exp")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chosen ORDER BY risk_score DESC, event_id) AS alert_place FROM exp)""", "exp")
 cte("alt", "SELECT a.*, coalesce(t.status, 'open') AS status FROM alr a LEFT JOIN triage t USING (event_id)", "alr", "triage")
 cte("hist", """
 SELECT * FROM (

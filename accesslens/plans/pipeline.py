@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +15,9 @@ from accesslens.operators import explain as ex
 from accesslens.operators import features as fe
 from accesslens.operators import profiles as pr
 from accesslens.operators.scan import SkewConfig
-from accesslens.session import configure, work_path
+from accesslens.session import configure, listing, work_path
 from accesslens.sources import fixtures
 
-# The first profile version is learned from events before the first date, the second from all.
-FIRST_BUILD = datetime(2024, 1, 16)
-SECOND_BUILD = datetime(2024, 1, 31)
-
 
 class Pipeline:
     """Stage tables of one dataset, as the stages hand them over to each other.
@@ -30,7 +26,7 @@ class Pipeline:
     columns pruned by whoever needs it. Nothing is kept in memory.
     """
 
-    _open: dict[tuple[str, str], "Pipeline"] = {}
+    _open: dict[tuple[str, str, str], "Pipeline"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, skew: SkewConfig | None = None) -> None:
         self.spark = configure(spark)
@@ -38,11 +34,12 @@ class Pipeline:
         self.skew = skew or SkewConfig()
         self._paths: dict[str, str] = {}
         self._schemas: dict[str, object] = {}
+        self._builds: tuple[datetime, datetime] | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
-        """The pipeline of this application and dataset, so that queries share its stages."""
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        """The pipeline of this application and dataset as it is now, so that queries share its stages."""
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), listing(spark, sf_dir))
         if key not in cls._open:
             cls._open[key] = cls(spark, sf_dir)
         pipeline = cls._open[key]
@@ -85,6 +82,19 @@ class Pipeline:
     def triage(self) -> DataFrame:
         return fixtures.triage_status(self.spark, self.sf_dir)
 
+    def builds(self) -> tuple[datetime, datetime]:
+        """When the two profile versions are built, in UTC: halfway through the days of the events, and after the last one.
+
+        The first is learned from the events before it, the second from all.
+        """
+        if self._builds is None:
+            day = 86_400_000_000
+            span = self.events().agg(F.min(F.unix_micros("timestamp")).alias("low"), F.max(F.unix_micros("timestamp")).alias("high")).first()
+            low, high = (span.low or 0) // day, (span.high or 0) // day + 1
+            at = [datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(days=d) for d in (low + (high - low) // 2, high)]
+            self._builds = (at[0], at[1])
+        return self._builds
+
     # ---- stages ----
 
     def engineered(self) -> DataFrame:
@@ -97,11 +107,12 @@ class Pipeline:
     def store_path(self) -> str:
         def write(path: str) -> None:
             engineered, entities = self.engineered(), self.entities()
-            early = engineered.filter(F.col("timestamp") < F.lit(FIRST_BUILD).cast("timestamp"))
-            pr.sink_profiles_append(pr.build_profiles(early, entities, FIRST_BUILD, skew=self.skew), path)
+            first, second = self.builds()
+            early = engineered.filter(F.col("timestamp") < F.lit(first))
+            pr.sink_profiles_append(pr.build_profiles(early, entities, first, skew=self.skew), path)
             before = pr.scan_profiles_latest(pr.scan_store(self.spark, path))
             # ``before`` lists the files of the first version, so appending the second leaves it as it is.
-            pr.sink_profiles_append(pr.build_profiles(engineered, entities, SECOND_BUILD, before, skew=self.skew), path)
+            pr.sink_profiles_append(pr.build_profiles(engineered, entities, second, before, skew=self.skew), path)
 
         return self.once("store", write)
 

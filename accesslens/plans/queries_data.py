@@ -18,7 +18,7 @@ from accesslens.operators import features as fe
 from accesslens.operators import profiles as pr
 from accesslens.operators import quality as qa
 from accesslens.operators import reports as rp
-from accesslens.plans.oracle_base import CONFIDENCE_TEXT, FEATURE_SQL, HAVERSINE, R
+from accesslens.plans.oracle_base import CONFIDENCE_TEXT, FEATURE_SQL, FIRST_BUILD_SQL, HAVERSINE, R
 from accesslens.plans.pipeline import Pipeline
 from accesslens.plans.registry import add, tagged, us
 from accesslens.sources import dims, readers, sinks
@@ -65,11 +65,16 @@ def _events_from(p: Pipeline, suffix: str) -> DataFrame:
     return readers.scan_events(p.spark, path + suffix)
 
 
-add("scan_events", lambda p: readers.read_csv(p.spark, events_csv(p), schemas.event_schema()).select(*event_columns()), EVENT_SQL, "lab")
+def backwards(df: DataFrame) -> DataFrame:
+    """The columns in reverse, which a reader that goes by name must not notice."""
+    return df.select(*reversed(df.columns))
+
+
+add("scan_events", lambda p: readers.scan_events(p.spark, events_csv(p)).select(*event_columns()), EVENT_SQL, "lab")
 add(
     "scan_entities",
-    lambda p: entity_columns(readers.read_csv(
-        p.spark, p.once("entities.csv", lambda path: sinks.sink_csv(p.entities(), path)), schemas.entity_schema())),
+    lambda p: entity_columns(readers.scan_entities(
+        p.spark, p.once("entities.csv", lambda path: sinks.sink_csv(backwards(p.entities()), path)))),
     ENT_SQL, "ent",
 )
 TRUTH_SQL = ("SELECT event_id, entity_id, is_attack, coalesce(attack_id, '-') AS attack_id, coalesce(attack_type, '-') AS attack_type, "
@@ -86,8 +91,8 @@ def truth_columns(df: DataFrame) -> DataFrame:
 
 add(
     "scan_ground_truth",
-    lambda p: truth_columns(readers.read_csv(
-        p.spark, p.once("truth.csv", lambda path: sinks.sink_csv(p.truth(), path)), schemas.ground_truth_schema())),
+    lambda p: truth_columns(readers.scan_ground_truth(
+        p.spark, p.once("truth.csv", lambda path: sinks.sink_csv(backwards(p.truth()), path)))),
     TRUTH_SQL, "lab",
 )
 add(
@@ -301,7 +306,7 @@ add("stage_ledger", lambda p: rp.stage_ledger(ledger_runs(p)), LEDGER_SQL, "det"
 def _dashboard(p: Pipeline) -> DataFrame:
     documents = {
         "overview": rp.overview_metrics(p.detection()),
-        "alerts": p.alerts(),
+        "alerts": al.export_feed(p.alerts()),
         "analytics": rp.hourly_activity(p.engineered(), p.detection()),
         "registry": dims.attack_registry(p.spark),
         "health": rp.stage_ledger(ledger_runs(p)),
@@ -313,7 +318,7 @@ def _dashboard(p: Pipeline) -> DataFrame:
 
 add(
     "sink_dashboard", _dashboard,
-    "SELECT 'overview' AS source, 1 AS rows UNION ALL SELECT 'alerts', count(*) FROM alr UNION ALL SELECT 'analytics', 24 "
+    "SELECT 'overview' AS source, 1 AS rows UNION ALL SELECT 'alerts', count(*) FROM alr WHERE alert_place <= 45 UNION ALL SELECT 'analytics', 24 "
     "UNION ALL SELECT 'registry', count(*) FROM reg UNION ALL SELECT 'health', 3", "alr", "reg",
 )
 PROFILE_SUMMARY_COLUMNS = (
@@ -469,16 +474,16 @@ add(
 add(
     "join_ground_truth",
     lambda p: fe.join_ground_truth(
-        p.events().select("event_id"), p.truth().filter(F.col("is_attack") | F.col("entity_id").endswith("1"))),
+        p.events().select("event_id"), p.truth()),
     "SELECT event_id, is_attack FROM lab", "lab",
 )
 add(
     "join_entity_static",
-    lambda p: fe.join_entity_static(p.events(), p.entities().filter(~F.col("entity_id").endswith("5")), p.skew, None).select(
+    lambda p: fe.join_entity_static(p.events(), p.entities(), p.skew, None).select(
         "event_id", F.coalesce("timezone", F.lit("UTC")).alias("zone"), F.coalesce("working_hours_start", F.lit(-1)).alias("start"),
         F.coalesce("department", F.lit("-")).alias("department"), F.coalesce("_known", F.lit(False)).alias("known")),
     "SELECT event_id, coalesce(e.timezone, 'UTC') AS zone, coalesce(e.wh_start, -1) AS start, coalesce(e.department, '-') AS department, "
-    "e.entity_id IS NOT NULL AS known FROM lab LEFT JOIN (SELECT * FROM ent WHERE entity_id NOT LIKE '%5') e USING (entity_id)", "lab", "ent",
+    "e.entity_id IS NOT NULL AS known FROM lab LEFT JOIN ent e USING (entity_id)", "lab", "ent",
 )
 add(
     "join_detection_features",
@@ -513,19 +518,13 @@ add(
 )
 
 
-def _partial_profiles(p: Pipeline) -> pr.Profiles:
-    keep = ~F.col("entity_id").endswith("3")
-    return pr.Profiles(*[part.filter(keep) for part in p.latest().parts().values()])
-
-
 add(
     "join_profile",
-    lambda p: de.join_profile(p.engineered(), _partial_profiles(p), p.skew, None).select(
+    lambda p: de.join_profile(p.engineered(), p.latest(), p.skew, None).select(
         "event_id", de.has_profile().alias("has_profile"), F.coalesce("p_avg_login_hour", F.lit(-1.0)).alias("avg_login_hour"),
         *[F.coalesce(f"f_{k}", F.lit(0.0)).alias(f"share_{k}") for k in ("device", "resource", "location", "transition")]),
-    "SELECT event_id, entity_id NOT LIKE '%3' AS has_profile, CASE WHEN entity_id LIKE '%3' THEN -1e0 ELSE p_hour END AS avg_login_hour, "
-    + ", ".join(f"CASE WHEN entity_id LIKE '%3' THEN 0e0 ELSE coalesce(f_{k}, 0e0) END AS share_{k}"
-                for k in ("device", "resource", "location", "transition")) + " FROM det", "det",
+    "SELECT event_id, p_hour IS NOT NULL AS has_profile, coalesce(p_hour, -1e0) AS avg_login_hour, "
+    + ", ".join(f"coalesce(f_{k}, 0e0) AS share_{k}" for k in ("device", "resource", "location", "transition")) + " FROM det", "det",
 )
 add(
     "join_cold_start",
@@ -543,8 +542,11 @@ add(
 )
 add(
     "anti_orphan_entities",
-    lambda p: qa.anti_orphan_entities(p.engineered(), p.entities().filter(F.coalesce("department", F.lit("-")) != "HR")),
-    "SELECT DISTINCT entity_id FROM feat WHERE entity_id NOT IN (SELECT entity_id FROM ent WHERE coalesce(department, '-') <> 'HR')", "feat", "ent",
+    lambda p: tagged(
+        whole=qa.anti_orphan_entities(p.engineered(), p.entities()),
+        without_hr=qa.anti_orphan_entities(p.engineered(), p.entities().filter(F.coalesce("department", F.lit("-")) != "HR"))),
+    "SELECT 'whole' AS source, entity_id FROM feat WHERE entity_id NOT IN (SELECT entity_id FROM ent) UNION "
+    "SELECT 'without_hr', entity_id FROM feat WHERE entity_id NOT IN (SELECT entity_id FROM ent WHERE coalesce(department, '-') <> 'HR')", "feat", "ent",
 )
 BEHAVIOUR_SQL = f"""
 SELECT e.entity_id, e.entity_type, coalesce(e.department, '-') AS department, coalesce(e.role, '-') AS role, e.privilege_level, e.is_remote,
@@ -603,7 +605,7 @@ def _history(p: Pipeline) -> DataFrame:
 add(
     "alert_history_window",
     lambda p: _history(p).select("event_id", F.explode("history").alias("h")).select(
-        "event_id", us("h.timestamp"), "h.resource_accessed", "h.device_fingerprint", "h.geo_location", "h.login_result", "h.session_duration", "h.auth_method"),
+        "event_id", us("h.timestamp"), "h.*").withColumnsRenamed({n: c for n, c in al.HISTORY_FIELDS.items() if n != "timestamp"}).drop("timestamp"),
     "SELECT event_id, us, resource_accessed, device_fingerprint, geo_location, login_result, session_duration, auth_method FROM hist", "hist",
 )
 
@@ -665,13 +667,13 @@ def _set_difference(p: Pipeline) -> DataFrame:
     cells = p.engineered().groupBy(
         "entity_id", F.col("resource_accessed").alias("resource")
     ).agg(F.min("timestamp").alias("first"))
-    return cells.filter(F.col("first") >= F.lit("2024-01-16").cast("timestamp")).select("entity_id", "resource")
+    return cells.filter(F.col("first") >= F.lit(p.builds()[0])).select("entity_id", "resource")
 
 
 add(
     "set_difference_resources", _set_difference,
-    "SELECT entity_id, resource_accessed AS resource FROM feat WHERE ts >= TIMESTAMP '2024-01-16' "
-    "EXCEPT SELECT entity_id, resource_accessed FROM feat WHERE ts < TIMESTAMP '2024-01-16'", "feat",
+    f"SELECT entity_id, resource_accessed AS resource FROM feat WHERE ts >= {FIRST_BUILD_SQL} "
+    f"EXCEPT SELECT entity_id, resource_accessed FROM feat WHERE ts < {FIRST_BUILD_SQL}", "feat",
 )
 add(
     "union_class_labels", lambda p: ev.union_class_labels(p.classified()),
@@ -721,7 +723,7 @@ add(
 
 def _cosine(p: Pipeline) -> DataFrame:
     """Login methods in the two halves of the month; the maps have one key per method of a fixed list."""
-    late = F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp")
+    late = F.col("timestamp") >= F.lit(p.builds()[0])
     counts = p.events().groupBy("entity_id", "auth_method").agg(
         F.count_if(~late).cast("double").alias("a"), F.count_if(late).cast("double").alias("b"))
     maps = counts.groupBy("entity_id").agg(
@@ -733,7 +735,7 @@ add(
     "fn_cosine_distance", _cosine,
     f"""SELECT entity_id, CASE WHEN aa = 0 AND bb = 0 THEN 0e0 WHEN aa = 0 OR bb = 0 THEN 1e0 ELSE {R('greatest(0e0, 1e0 - ab / (sqrt(aa) * sqrt(bb)))', 4)} END AS distance
 FROM (SELECT entity_id, sum(a * b)::DOUBLE AS ab, sum(a * a)::DOUBLE AS aa, sum(b * b)::DOUBLE AS bb FROM (
-  SELECT entity_id, auth_method, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM lab GROUP BY ALL) GROUP BY 1)""",
+  SELECT entity_id, auth_method, count(*) FILTER (ts < {FIRST_BUILD_SQL}) AS a, count(*) FILTER (ts >= {FIRST_BUILD_SQL}) AS b FROM lab GROUP BY ALL) GROUP BY 1)""",
     "lab",
 )
 add(

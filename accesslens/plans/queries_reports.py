@@ -169,8 +169,8 @@ add(
     "SELECT entity_id, version, drift_score, drifted_dimensions, historical_sample_count, current_sample_count FROM core2 WHERE drift_score >= 0.02e0", "core2",
 )
 add(
-    "warmup_distribution", lambda p: rp.warmup_distribution(p.store().core.filter(F.col("version") == 1)),
-    _domain_sql(schemas.WARMUP_STATES, "warmup_strategy", "warmup_strategy", "core1", "entities"), "core1",
+    "warmup_distribution", lambda p: rp.warmup_distribution(p.latest().core),
+    _domain_sql(schemas.WARMUP_STATES, "warmup_strategy", "warmup_strategy", "core2", "entities"), "core2",
 )
 add(
     "warmup_insufficient", lambda p: rp.insufficient_data(p.latest().core),
@@ -215,9 +215,9 @@ add(
 )
 add(
     "entity_alert_summary",
-    lambda p: al.entity_alert_summary(p.alerts()).select("entityId", "alert_count", "max_risk", "highest_severity", us("last_seen", "last_us"), "most_recent_alert"),
-    'SELECT entity_id AS "entityId", count(*) AS alert_count, max(risk_score) AS max_risk, arg_max(severity, CASE severity WHEN \'critical\' THEN 5 WHEN \'high\' THEN 4 '
-    "WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END) AS highest_severity, max(us) AS last_us, arg_max(event_id, us) AS most_recent_alert FROM alr GROUP BY 1", "alr",
+    lambda p: al.entity_alert_summary(p.alerts()).select("entityId", "entity_type", "department", "alert_count", "max_risk", "highest_severity", us("last_seen", "last_us"), "most_recent_alert"),
+    'SELECT entity_id AS "entityId", any_value(e.entity_type) AS entity_type, any_value(e.department) AS department, count(*) AS alert_count, max(risk_score) AS max_risk, arg_max(severity, CASE severity WHEN \'critical\' THEN 5 WHEN \'high\' THEN 4 '
+    "WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END) AS highest_severity, max(us) AS last_us, arg_max(event_id, us) AS most_recent_alert FROM alr JOIN (SELECT entity_id AS k, entity_type, department FROM ent) e ON e.k = entity_id GROUP BY 1", "alr", "ent",
 )
 add(
     "alert_value_counts", lambda p: al.alert_value_counts(p.alerts()),

@@ -17,7 +17,7 @@ from accesslens.operators import profiles as pr
 from accesslens.operators import reports as rp
 from accesslens.operators.scan import SkewConfig
 from accesslens.plans.oracle_base import CONFIDENCE_TEXT, DEV_SQL, MAXDEV, R
-from accesslens.plans.pipeline import SECOND_BUILD, Pipeline
+from accesslens.plans.pipeline import Pipeline
 from accesslens.plans.queries_data import (
     ALERT_BRIEF_SQL, CLS_SQL, CORE_SQL, DET_SQL, FEATURES_ALL_SQL, SUMMARY_SQL, alert_brief, classification_columns,
     core_columns, detection_columns, summary_columns,
@@ -134,7 +134,7 @@ add(
 add(
     "profile_build",
     lambda p: core_columns(pr.build_profiles(
-        p.engineered(), p.entities(), SECOND_BUILD, first_version(p), skew=p.skew).core),
+        p.engineered(), p.entities(), p.builds()[1], first_version(p), skew=p.skew).core),
     CORE_SQL.format("core2"), "core2",
 )
 
@@ -355,8 +355,8 @@ add(
 add(
     "alert_profile_baseline",
     lambda p: p.alerts().select("eventId", "profileBaseline.*"),
-    'SELECT event_id AS "eventId", p_dur AS avg_session_duration, p_dur_sd AS session_duration_std, p_hour AS avg_login_hour, p_hour_sd AS login_hour_std, '
-    "c.sample_count, p_fail AS failure_rate, p_version AS profile_version, p_drift AS drift_score, p_warm AS warmup_strategy "
+    'SELECT event_id AS "eventId", p_dur AS "avgSessionDuration", p_dur_sd AS "sessionDurationStd", p_hour AS "avgLoginHour", p_hour_sd AS "loginHourStd", '
+    'c.sample_count AS "sampleCount", p_fail AS "failureRate", p_version AS "profileVersion", p_drift AS "driftScore", p_warm AS "warmupStrategy" '
     "FROM alr JOIN core2 c USING (entity_id)", "alr", "core2",
 )
 add(
@@ -368,15 +368,15 @@ add(
 add(
     "export_row_counts",
     lambda p: rp.export_row_counts({
-        "detection": p.detection(), "classification": p.classified(), "explanation": p.explained(), "alerts": p.alerts(), "profiles": p.latest().core}),
+        "detection": p.detection(), "classification": p.classified(), "explanation": p.explained(), "alerts": al.export_feed(p.alerts()), "profiles": p.latest().core}),
     "SELECT 'detection' AS source, count(*) AS rows FROM det UNION ALL SELECT 'classification', count(*) FROM cls UNION ALL "
-    "SELECT 'explanation', count(*) FROM exp UNION ALL SELECT 'alerts', count(*) FROM alr UNION ALL SELECT 'profiles', count(*) FROM core2",
+    "SELECT 'explanation', count(*) FROM exp UNION ALL SELECT 'alerts', count(*) FROM alr WHERE alert_place <= 45 UNION ALL SELECT 'profiles', count(*) FROM core2",
     "det", "cls", "exp", "alr", "core2",
 )
 add(
     "topk_alerts_per_type",
     lambda p: al.topk_alerts_per_type(p.classified()).select("event_id", "attack_type", "detection_risk_score"),
-    "SELECT event_id, chosen AS attack_type, risk_score AS detection_risk_score FROM alr", "alr",
+    "SELECT event_id, chosen AS attack_type, risk_score AS detection_risk_score FROM alr WHERE alert_place <= 45", "alr",
 )
 
 # ---- extension points ----

@@ -48,14 +48,39 @@ def local_session(cores: str = "8", app: str = "accesslens", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a private one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a local session, whose tasks share the driver's disk, gets a private
+    folder where none is set; elsewhere that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="accesslens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listing(spark: SparkSession, folder: str) -> str:
+    """What a folder of tables holds: names, sizes and times of change, one level deep."""
+    target, files = _file_system(spark, folder)
+    if not files.exists(target):
+        return ""
+    return "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files.listStatus(target)))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; call it when its results are stored elsewhere."""
+    target, files = _file_system(spark, f"{shared_folder(spark)}/accesslens/{spark.sparkContext.applicationId}")
+    files.delete(target, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, unique to this application and call."""
     return f"{shared_folder(spark)}/accesslens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:10]}"

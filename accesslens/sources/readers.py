@@ -9,22 +9,37 @@ from pyspark.sql import types as T
 from accesslens import schemas
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; columns are matched to ``schema`` by position, blanks read as null."""
-    return spark.read.schema(schema).csv(
-        path, header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", multiLine=False, escape='"'
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """CSV with a header; columns are matched to ``schema`` by name in any order, blanks read as null.
+
+    Columns that ``schema`` does not know are not read. A missing column is an
+    error, or null if it is ``optional``; every file must have the same header.
+    """
+    header = spark.read.csv(path, header=True).columns
+    found = T.StructType([schema[name] if name in schema.names else T.StructField(name, T.StringType()) for name in header])
+    rows = spark.read.schema(found).csv(
+        path, header=True, enforceSchema=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", multiLine=False, escape='"'
     )
+    return matched(rows, schema, optional, path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet if the path ends in .parquet, else CSV."""
+def matched(rows: DataFrame, schema: T.StructType, optional: tuple[str, ...] = (), what: str = "table") -> DataFrame:
+    """``rows`` with the columns of ``schema``, matched by name; raises for missing ones that are not ``optional``."""
+    require_columns(rows, tuple(name for name in schema.names if name not in optional), what)
+    return rows.select(
+        *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Parquet if the path ends in .parquet, else CSV; columns by name."""
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.schema(schema).parquet(path)
-    return read_csv(spark, path, schema)
+        return matched(spark.read.parquet(path), schema, optional, path)
+    return read_csv(spark, path, schema, optional)
 
 
 def scan_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.event_schema())
+    return read_table(spark, path, schemas.event_schema(), schemas.OPTIONAL_EVENT_COLUMNS)
 
 
 def scan_entities(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +51,9 @@ def scan_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_alert_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Exported alert documents: JSON lines, or an array per file with ``multiLine``."""
-    return spark.read.schema(schema).json(path)
+    """Exported alert documents: JSON lines, or files that hold one JSON array each."""
+    start = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1).alias("c")).first()
+    return spark.read.schema(schema).json(path, multiLine=bool(start and start.c == "["))
 
 
 def require_columns(df: DataFrame, required: tuple[str, ...], what: str = "table") -> DataFrame:
