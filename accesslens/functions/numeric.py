@@ -81,10 +81,25 @@ def sample_std(n: Column, total: Column, total_sq: Column) -> Column:
 
 def entropy_bits(items: Column) -> Column:
     """Shannon entropy, in bits, of the distribution of an array's values; 0 when empty."""
-    shares = F.transform(
-        F.array_distinct(items), lambda v: (F.size(items) - F.size(F.array_remove(items, v))) / F.size(items)
-    )
-    return F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
+
+    def of(sorted_items: Column) -> Column:
+        def part(run: Column) -> Column:
+            share = run / F.size(sorted_items)
+            return F.when(run > 0, -share * F.log2(share)).otherwise(0.0)
+
+        def step(acc: Column, v: Column) -> Column:  # equal values stand together
+            same = acc["last"] == v
+            return F.struct(
+                v.alias("last"),
+                F.when(same, acc["run"] + 1).otherwise(1).cast("long").alias("run"),
+                F.when(same, acc["bits"]).otherwise(acc["bits"] + part(acc["run"])).alias("bits"),
+            )
+
+        start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("bits"))
+        return F.aggregate(sorted_items, start, step, lambda acc: acc["bits"] + part(acc["run"]))
+
+    # Through a lambda the array is made once, not at every use.
+    return F.get(F.transform(F.array(F.array_sort(items)), of), 0)
 
 
 def cosine_distance(left: Column, right: Column, dp: int = 4) -> Column:

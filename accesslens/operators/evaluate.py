@@ -60,9 +60,14 @@ def _total(ranked: DataFrame, column: str) -> Column:
     return ranked.select(F.max(column)).scalar()
 
 
+def _some(total: Column, what: str) -> Column:
+    """A divisor that must not be zero; a clear error otherwise."""
+    return F.when(total > 0, total).otherwise(F.raise_error(F.lit(f"the curve is not defined without {what} among the labelled rows")))
+
+
 def roc_curve(ranked: DataFrame) -> DataFrame:
     """(position, threshold, x, y) for every row and the origin at position 0; x and y are unrounded."""
-    positives, negatives = _total(ranked, "tp"), _total(ranked, "fp")
+    positives, negatives = _some(_total(ranked, "tp"), "attacks"), _some(_total(ranked, "fp"), "normal rows")
     rows = ranked.select(
         "position", F.col("risk_score").alias("threshold"),
         (F.col("fp") / negatives).alias("x"), (F.col("tp") / positives).alias("y"),
@@ -78,12 +83,12 @@ def roc_auc(ranked: DataFrame) -> DataFrame:
     strips = F.sum(F.when(F.col("hit") == 0, F.col("tp")).otherwise(0).cast("decimal(38,0)"))
     row = ranked.agg(strips.alias("s"), F.max("tp").alias("p"), F.max("fp").alias("n"))
     return row.select(
-        round_dp(F.col("s").cast("double") / (F.col("p").cast("double") * F.col("n").cast("double")), 6).alias("roc_auc")
+        round_dp(F.col("s").cast("double") / (_some(F.col("p"), "attacks").cast("double") * _some(F.col("n"), "normal rows").cast("double")), 6).alias("roc_auc")
     )
 
 
 def pr_curve(ranked: DataFrame) -> DataFrame:
-    positives = _total(ranked, "tp")
+    positives = _some(_total(ranked, "tp"), "attacks")
     return ranked.select(
         (F.col("position") - 1).alias("position"), F.col("risk_score").alias("threshold"),
         (F.col("tp") / positives).alias("x"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("y"),
@@ -95,7 +100,7 @@ def pr_auc(ranked: DataFrame) -> DataFrame:
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     exact = F.sum(F.when(F.col("hit") == 1, F.floor(precision * F.lit(1e12) + F.lit(0.5)).cast("decimal(38,0)")))
     row = ranked.agg(exact.alias("s"), F.max("tp").alias("p"))
-    return row.select(round_dp(F.col("s").cast("double") / F.lit(1e12) / F.col("p"), 6).alias("pr_auc"))
+    return row.select(round_dp(F.col("s").cast("double") / F.lit(1e12) / _some(F.col("p"), "attacks"), 6).alias("pr_auc"))
 
 
 def curve_downsample(curve: DataFrame, points: int = MAX_CURVE_POINTS) -> DataFrame:
@@ -150,6 +155,11 @@ def _labelled_types(classified: DataFrame) -> DataFrame:
     )
 
 
+def labelled_rows(classified: DataFrame) -> Column:
+    """How many classified rows carry a true type, as a scalar."""
+    return classified.agg(F.count("ground_truth_attack_type")).scalar()
+
+
 def union_class_labels(classified: DataFrame) -> DataFrame:
     """The sorted classes that occur as a label or as a prediction among labelled rows."""
     pairs = _labelled_types(classified)

@@ -140,21 +140,21 @@ def feature_attribution(texts: dict[str, Column] | None = None) -> Column:
     settled = F.when(
         total > 0, F.transform(cents, lambda v, i: v + F.when(i + 1 == largest, left_over).otherwise(0))
     ).otherwise(F.array(*[F.lit(1667).cast("long")] * len(DIMENSIONS)))
-    facts = F.array(
-        *[
-            F.struct(F.lit(name).alias("dimension"), r.alias("raw_deviation"), texts[name].alias("explanation"))
-            for name, r in zip(DIMENSIONS, raw)
+
+    def placed(shares: Column) -> Column:
+        entries = [
+            F.struct(
+                (-F.get(shares, i)).alias("k"), F.lit(i).alias("i"), F.lit(name).alias("dimension"), r.alias("raw_deviation"),
+                ((F.get(shares, i)) / F.lit(100.0)).alias("contribution_percentage"), texts[name].alias("explanation"),
+            )
+            for i, (name, r) in enumerate(zip(DIMENSIONS, raw))
         ]
-    )
-    keyed = F.array_sort(F.transform(settled, lambda v, i: F.struct((-v).alias("k"), i.alias("i"))))
+        return F.array_sort(F.array(*entries))
+
+    # Through a lambda the shares are made once; each sentence is made once, inside its entry.
+    keyed = F.get(F.transform(F.array(settled), placed), 0)
     return F.transform(
-        keyed,
-        lambda e: F.struct(
-            F.element_at(facts, e["i"] + 1)["dimension"].alias("dimension"),
-            F.element_at(facts, e["i"] + 1)["raw_deviation"].alias("raw_deviation"),
-            ((-e["k"]) / F.lit(100.0)).alias("contribution_percentage"),
-            F.element_at(facts, e["i"] + 1)["explanation"].alias("explanation"),
-        ),
+        keyed, lambda e: F.struct(*[e[n].alias(n) for n in ("dimension", "raw_deviation", "contribution_percentage", "explanation")])
     )
 
 

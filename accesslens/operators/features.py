@@ -351,8 +351,8 @@ def feature_columns(config: FeatureConfig) -> dict[str, Column]:
         "rolling_mean_session_duration": ratio(c("_s_x"), h, 2),
         "rolling_std_session_duration": round_dp(std, 2),
         "moving_avg_session_duration": ratio(c("_ma_sum"), c("_ma_n"), 2),
-        "historical_percentile_session_duration": F.when(h == 0, F.lit(50.0)).otherwise(
-            round_dp(F.lit(100.0) * c("_le") / F.when(h > 0, h), 2)
+        "historical_percentile_session_duration": F.when(h == 0, F.lit(50.0)).when(
+            c("_x").isNotNull(), round_dp(F.lit(100.0) * c("_le") / F.when(h > 0, h), 2)  # an unknown duration has no place
         ),
         "history_length": h.cast("int"),
         "new_entity_flag": h == 0,
@@ -396,8 +396,9 @@ def engineer_features(
 
 def join_ground_truth(engineered: DataFrame, truth: DataFrame) -> DataFrame:
     """Attach ``is_attack`` after the features exist; an event without a label counts as normal."""
-    return engineered.join(truth.select("event_id", "is_attack"), "event_id", "left").withColumn(
-        "is_attack", F.coalesce("is_attack", F.lit(False))
+    # Entity and event together: rows that lie by entity stay where they are, and the result still does.
+    return engineered.join(truth.select(KEY, "event_id", "is_attack"), [KEY, "event_id"], "left").select(
+        *[c for c in engineered.columns if c != "is_attack"], F.coalesce("is_attack", F.lit(False)).alias("is_attack")
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from accesslens.functions.numeric import cosine_gap, ratio, round_dp, sample_std, scaled
 from accesslens.functions.text import blank_to_null, split_list
 from accesslens.operators.scan import SkewConfig, hot_keys, ranked, with_context
-from accesslens.session import written
+from accesslens.session import listing, written
 
 KEY = "entity_id"
 SHARE_DP = 4
@@ -202,6 +202,12 @@ def resource_sharing(values: DataFrame, entities: DataFrame, index: DataFrame) -
     )
 
 
+def set_difference_resources(events: DataFrame, since: Column) -> DataFrame:
+    """Recent resources minus baseline: what an entity used at or after ``since`` and never before, one row each."""
+    first = events.groupBy(KEY, F.col("resource_accessed").alias("resource")).agg(F.min("timestamp").alias("first"))
+    return first.filter(F.col("first") >= since).select(KEY, "resource")
+
+
 def frequency_distances(before: DataFrame, now: DataFrame) -> DataFrame:
     """Cosine distance per entity between two value tables, one column per kind."""
     old = before.select(KEY, "kind", "value", scaled(F.col("share"), SHARE_DP).alias("a"))
@@ -345,9 +351,19 @@ STORE_DDL = {
 
 
 def sink_profiles_append(profiles: Profiles, path: str) -> str:
-    """Append a build; earlier versions stay as they are."""
-    for name, part in profiles.parts().items():
-        part.write.mode("append").partitionBy("version").parquet(f"{path}/{name}")
+    """Append a build; earlier versions stay as they are.
+
+    What a part already holds of an (entity, version) is not written again, so
+    a build that broke off or runs twice can be appended again. ``core`` is
+    written last: readers see a version when all its parts are there.
+    """
+    parts = profiles.parts()
+    for name in sorted(parts, key=lambda n: n == "core"):
+        part, target = parts[name], f"{path}/{name}"
+        if listing(part.sparkSession, target):
+            there = part.sparkSession.read.schema(STORE_DDL[name]).parquet(target).select(KEY, "version").distinct()
+            part = part.join(there, [KEY, "version"], "left_anti").select(*part.columns)
+        part.write.mode("append").partitionBy("version").parquet(target)
     return path
 
 
@@ -383,7 +399,7 @@ def profile_drift_trend(store: Profiles) -> DataFrame:
     """Drift and sample counts by version, and whether drift rose from the first to the last."""
     history = scan_profile_history(store)
     trend = F.transform("history", lambda v: v["drift_score"])
-    return history.select(
+    return history.select(  # the trend itself is the feature, one number per build
         KEY,
         F.size("history").alias("profile_version_count"),
         trend.alias("drift_score_trend"),

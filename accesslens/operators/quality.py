@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +59,15 @@ def _problem(df: DataFrame, check: str, messages: list[str], level: str = "error
 
 
 def dq_schema_complete(engineered: DataFrame) -> DataFrame:
-    missing = [n for n in schemas.FEATURE_NAMES if n not in engineered.columns]
-    return _problem(engineered, "schema_completeness", [f"missing feature {n}" for n in missing])
+    """Every registered feature is a column, and holds a value somewhere if there are rows."""
+    present = [n for n in schemas.FEATURE_NAMES if n in engineered.columns]
+    counts = engineered.agg(F.count("*").alias("_rows"), *[F.count(n).alias(n) for n in present])
+    missing = [F.lit(f"missing feature {n}") for n in schemas.FEATURE_NAMES if n not in present]
+    blank = [F.when((F.col("_rows") > 0) & (F.col(n) == 0), F.lit(f"feature {n} has no value")) for n in present]
+    messages = F.explode(F.array_compact(F.array(*missing, *blank)))
+    return counts.select(messages.alias("_m")).select(
+        *[c.alias(name) for name, c in zip(T.StructType.fromDDL(VIOLATION_DDL).names, (F.lit("schema_completeness"), F.lit("error"), F.lit("schema"), F.col("_m")))]
+    )
 
 
 def dq_row_count(engineered: DataFrame, events: DataFrame) -> DataFrame:
@@ -116,19 +123,13 @@ def dq_profile_ranges(core: DataFrame) -> DataFrame:
 
 
 def dq_version_monotonic(core: DataFrame) -> DataFrame:
-    """Versions of an entity are distinct and updated in order.
-
-    The version before is found by an equi-join on version − 1.
-    """
-    before = core.select(KEY, (F.col("version") + 1).alias("version"), F.col("updated_at").alias("before"))
+    """Versions of an entity are distinct and updated in order; numbers may be left out."""
+    ordered = Window.partitionBy(KEY).orderBy("version", "updated_at")
+    before = core.select(KEY, "version", "updated_at", F.lag("updated_at").over(ordered).alias("before"))
     repeated = core.groupBy(KEY, "version").agg(F.count("*").alias("n"))
     return together(
         violations(
-            core.join(before, [KEY, "version"], "left"), "version_monotonicity",
-            {
-                "no earlier version": (F.col("version") > 1) & F.col("before").isNull(),
-                "older than the version before": F.col("updated_at") < F.col("before"),
-            },
+            before, "version_monotonicity", {"older than the version before": F.col("updated_at") < F.col("before")},
             F.concat_ws("/", KEY, "version"),
         ),
         violations(repeated, "version_monotonicity", {"version stored twice": F.col("n") > 1}, F.concat_ws("/", KEY, "version")),
@@ -279,12 +280,13 @@ def dq_chronology(events: DataFrame, start: date, end: date) -> DataFrame:
 def dq_metrics(
     detection_row: DataFrame, class_rows: DataFrame, matrix: DataFrame, segments: DataFrame, warmup: DataFrame,
     calibration: DataFrame, weekly: DataFrame, monthly: DataFrame, updates: DataFrame, labelled: int | Column,
+    classified: int | Column,
 ) -> DataFrame:
     """Metrics in [0, 1], matrix totals, bins and periods."""
     rates = ("precision", "recall", "f1", "roc_auc", "pr_auc", "false_positive_rate", "false_negative_rate", "top_percentile_precision")
     cells = F.col("true_positive") + F.col("false_positive") + F.col("true_negative") + F.col("false_negative")
     detection_row = detection_row.withColumn("_labelled", labelled if isinstance(labelled, Column) else F.lit(labelled))
-    total = matrix.agg(F.sum("events").alias("events"))
+    total = matrix.agg(F.sum("events").alias("events")).withColumn("_classified", classified if isinstance(classified, Column) else F.lit(classified))
     periods = lambda df, name: violations(
         df.agg(F.count("*").alias("n")), f"concept_drift_{name}_present", {f"no {name} periods": F.col("n") == 0}, "n"
     )
@@ -293,8 +295,9 @@ def dq_metrics(
         violations(detection_row, "detection_confusion_total", {"counts differ from labelled rows": cells != F.col("_labelled")}, F.lit("detection")),
         violations(class_rows, "classification_per_class_range", _ranges(("precision", "recall", "f1"), UNIT), "class"),
         violations(class_rows, "classification_metric_range", _ranges(("macro_f1", "weighted_f1", "accuracy"), UNIT), "class"),
-        violations(total, "classification_confusion_total", {"matrix is empty": F.coalesce("events", F.lit(0)) == 0}, F.lit("matrix")),
-        violations(segments, "cold_start_flagged_rate", _ranges(("flagged_rate", "false_positive_rate"), UNIT), "segment_name"),
+        violations(total, "classification_confusion_total", {"matrix differs from labelled rows": F.coalesce("events", F.lit(0)) != F.col("_classified")}, F.lit("matrix")),
+        violations(segments, "cold_start_flagged_rate", _ranges(("flagged_rate",), UNIT), "segment_name"),
+        violations(segments, "cold_start_false_positive_rate", _ranges(("false_positive_rate",), UNIT), "segment_name"),
         violations(warmup, "cold_start_warmup_confidence", _ranges(("avg_historical_confidence",), UNIT), "history_length_range"),
         violations(calibration, "cold_start_calibration_accuracy", _ranges(("empirical_accuracy",), UNIT), "confidence_range"),
         periods(weekly, "weekly"),

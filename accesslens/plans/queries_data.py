@@ -474,7 +474,7 @@ add(
 add(
     "join_ground_truth",
     lambda p: fe.join_ground_truth(
-        p.events().select("event_id"), p.truth()),
+        p.events().select("entity_id", "event_id"), p.truth()).select("event_id", "is_attack"),
     "SELECT event_id, is_attack FROM lab", "lab",
 )
 add(
@@ -662,16 +662,8 @@ add(
 )
 
 
-def _set_difference(p: Pipeline) -> DataFrame:
-    """Resources used after the first profile build and not before, one row each."""
-    cells = p.engineered().groupBy(
-        "entity_id", F.col("resource_accessed").alias("resource")
-    ).agg(F.min("timestamp").alias("first"))
-    return cells.filter(F.col("first") >= F.lit(p.builds()[0])).select("entity_id", "resource")
-
-
 add(
-    "set_difference_resources", _set_difference,
+    "set_difference_resources", lambda p: pr.set_difference_resources(p.engineered(), F.lit(p.builds()[0])),
     f"SELECT entity_id, resource_accessed AS resource FROM feat WHERE ts >= {FIRST_BUILD_SQL} "
     f"EXCEPT SELECT entity_id, resource_accessed FROM feat WHERE ts < {FIRST_BUILD_SQL}", "feat",
 )

@@ -477,8 +477,8 @@ add_check(
 )
 add_check(
     "dq_version_monotonic", lambda p, df: qa.dq_version_monotonic(df), lambda p: p.store().core,
-    lambda df: set_where(df, "entity_id", version=F.when(F.col("version") == 2, 3).otherwise(F.col("version")).cast("int")),
-    [("version_monotonicity", "no earlier version", "core2", ENTITY_SEVEN)], "core2",
+    lambda df: set_where(df, "entity_id", version=F.when(F.col("version") == 2, 1).otherwise(F.col("version")).cast("int")),
+    [("version_monotonicity", "version stored twice", "core2", f"{ENTITY_SEVEN} AND entity_id IN (SELECT entity_id FROM core1)")], "core2", "core1",
 )
 add_check(
     "dq_entity_consistency", lambda p, df: qa.dq_entity_consistency(df, p.entities()), lambda p: p.events().select("event_id", "entity_id", "entity_type"),
@@ -611,7 +611,7 @@ def _metrics_violations(p: Pipeline, detection: DataFrame) -> DataFrame:
         ev.eval_detection(detection), ev.eval_classification(classified), ev.multiclass_confusion(classified),
         rp.cold_start_segments(merged(p)), rp.warmup_curve(merged(p)), rp.calibration_curve(merged(p)),
         rp.period_drift(p.engineered(), "week"), rp.period_drift(p.engineered(), "month"), rp.profile_update_summary(p.store()),
-        p.detection().agg(F.count("is_attack")).scalar(),
+        p.detection().agg(F.count("is_attack")).scalar(), ev.labelled_rows(p.classified()),
     )
 
 
