@@ -68,8 +68,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def sample_variance_numerator(n: Column, total: Column, total_sq: Column) -> Column:
     """n·Σx² − (Σx)² as an exact integer (decimal(38,0), safe beyond 64 bits)."""
-    wide = "decimal(19,0)"
-    return n.cast(wide) * total_sq.cast(wide) - total.cast(wide) * total.cast(wide)
+    short, wide = "decimal(18,0)", "decimal(38,0)"
+    return n.cast(short) * total_sq.cast(wide) - total.cast(wide) * total.cast(wide)
 
 
 def sample_std(n: Column, total: Column, total_sq: Column) -> Column:

@@ -163,7 +163,7 @@ def _additive() -> dict[str, Column]:
         "_s_city": F.coalesce(F.col("geo_location") != F.col("_prev_geo"), F.lit(False)).cast("long"),
         "_s_res": (F.col("_n_resource") == 0).cast("long"),
         "_s_x": F.col("_x"),
-        "_s_xx": F.col("_x") * F.col("_x"),
+        "_s_xx": (F.col("_x") * F.col("_x")).cast("decimal(38,0)"),
     }
 
 

@@ -88,8 +88,8 @@ def statistical(normal: DataFrame) -> DataFrame:
     hour, x = F.col("login_hour").cast("long"), F.col("session_duration").cast("long")
     daily = normal.groupBy(KEY, F.to_date("timestamp").alias("day")).agg(
         F.count("*").alias("n"),
-        F.sum(hour).alias("h"), F.sum(hour * hour).alias("hh"),
-        F.sum(x).alias("x"), F.sum(x * x).alias("xx"),
+        F.sum(hour).alias("h"), F.sum((hour * hour).cast("decimal(38,0)")).alias("hh"),
+        F.sum(x).alias("x"), F.sum((x * x).cast("decimal(38,0)")).alias("xx"),
         F.count_if(F.col("login_result") == "failure").alias("failures"),
         F.count_if(F.col("working_hours_deviation") == 0.0).alias("inside"),
     )
@@ -428,6 +428,7 @@ def behaviour_summary(entities: DataFrame, events: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_event_at"),
         F.max("timestamp").alias("last_event_at"),
     )
+    cells = written(cells, "cells")  # the one pass over the events; all below reads the cells
 
     def mode(column: str, name: str) -> DataFrame:
         counts = cells.groupBy(KEY, column).agg(F.sum("n").alias("n"))
@@ -441,9 +442,9 @@ def behaviour_summary(entities: DataFrame, events: DataFrame) -> DataFrame:
         F.sum("seconds").alias("seconds"), F.min("first_event_at").alias("first_event_at"),
         F.max("last_event_at").alias("last_event_at"),
     )
-    span = events.agg(
+    span = cells.agg(
         F.greatest(
-            F.floor((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / F.lit(86_400_000_000)),
+            F.floor((F.unix_micros(F.max("last_event_at")) - F.unix_micros(F.min("first_event_at"))) / F.lit(86_400_000_000)),
             F.lit(1),
         ).alias("days")
     ).scalar()

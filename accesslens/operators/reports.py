@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accesslens import schemas
-from accesslens.functions.numeric import exact_avg, ratio, round_dp, scaled
+from accesslens.functions.numeric import exact_avg, ratio, round_dp, sample_variance_numerator, scaled
 from accesslens.operators.classify import filter_flagged
 from accesslens.operators.profiles import KEY, Profiles
 from accesslens.operators.scan import quantiles, running_totals
@@ -40,10 +40,11 @@ def over_domain(df: DataFrame, column: str, values: tuple, name: str = "events")
 def moments(value: str, dp_in: int, dp_out: int) -> list[Column]:
     """mean, sample deviation, min and max of a column with ``dp_in`` decimals, from exact sums."""
     units = scaled(F.col(value), dp_in).cast("decimal(19,0)")
-    n = F.count(value).cast("double")
-    total, squares = F.sum(units).cast("double"), F.sum(units * units).cast("double")
+    n, total = F.count(value).cast("double"), F.sum(units).cast("double")
     unit = F.lit(float(10**dp_in))
-    variance = F.greatest(squares - total * total / n, F.lit(0.0)) / F.when(n > 1, n - 1)
+    # The difference of the two large sums is taken before anything is rounded.
+    spread = sample_variance_numerator(F.count(value), F.sum(units), F.sum((units * units).cast("decimal(38,0)"))).cast("double")
+    variance = F.greatest(spread, F.lit(0.0)) / F.when(n > 1, n * (n - 1))
     return [
         round_dp(total / (n * unit), dp_out).alias("mean"),
         round_dp(F.sqrt(variance) / unit, dp_out).alias("std"),

@@ -87,6 +87,18 @@ def test_every_flagged_event_is_an_alert_and_only_the_export_is_cut(pipeline):
     assert history == list(al.HISTORY_FIELDS) and alerts.schema["profileBaseline"].dataType.names == list(al.BASELINE_FIELDS)
 
 
+def test_square_sums_go_beyond_64_bits(spark):
+    entities = spark.createDataFrame(ENTITIES, schemas.entity_schema())
+    long = [3_000_000_000, 2_900_000_000, 3_000_000_000, 2_900_000_000]
+    rows = [event(i, minutes=i, seconds=x) for i, x in enumerate(long)]
+    events = spark.createDataFrame(rows, schemas.event_schema())
+    for skew in (SkewConfig(), SkewConfig(hot_rows=16, block_rows=16)):
+        last = engineer_features(events, entities, skew=skew).filter("event_id = 'e003'").first()
+        assert last.rolling_std_session_duration == pytest.approx(57735026.92, abs=0.01)
+    stats = pr.statistical(engineer_features(events, entities)).first()
+    assert stats.session_duration_std == pytest.approx(57735026.9190, abs=0.001)
+
+
 def test_curves_need_both_classes(spark):
     one = spark.createDataFrame([("e", "x", 1.0, True)], "event_id string, entity_id string, risk_score double, is_attack boolean").withColumn("timestamp", F.current_timestamp())
     with pytest.raises(Exception, match="without normal rows"):
