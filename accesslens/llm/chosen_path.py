@@ -5,7 +5,8 @@ one class. A class has ``tokens`` minwise tokens. In each of ``trees``
 independent trees a node picks one of them, by hash of the path so far, and
 classes with different values go to different children, until a node has at
 most ``small`` classes, which are compared with each other exhaustively on
-one-byte tokens. A larger node compares its classes with one of them and
+one-byte tokens. In a larger node all classes are compared with one of them:
+what is ``close`` to it is gathered with it and leaves the tree, the rest
 branches on; at depth ``depth`` what is still large is compared in tiles.
 
 Comparisons on tokens only gather classes that may belong together: pairs at
@@ -51,6 +52,7 @@ class PathConfig:
     small: int = 64
     depth: int = 6
     loose: float = 0.55
+    close: float = 0.75
     block: int = 2048
     seed: int = 11
 
@@ -196,14 +198,17 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
         found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config, 4 * config.small), "a binary, b binary")
         if many:
             same = F.array(*[(F.substring("_bytes", j, 1) == F.substring("_lead._bytes", j, 1)).cast("int") for j in range(1, config.tokens + 1)])
-            star = level.join(sized(crowd.select("_node", "_lead"), 20_000), "_node").filter(F.aggregate(same, F.lit(0), lambda acc, x: acc + x) >= config.loose * config.tokens)
-            found = found.unionByName(star.select(F.col("_set").alias("a"), F.col("_lead._set").alias("b")).filter("a <> b"))
+            near = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / config.tokens
+            crowded = level.join(sized(crowd.select("_node", "_lead"), 20_000), "_node").select("_node", "_set", "_tokens", "_bytes", F.col("_lead._set").alias("_lead"), near.alias("_near"))
+            crowded = written(crowded, "crowded")
+            star = crowded.filter((F.col("_near") >= config.loose) & (F.col("_set") != F.col("_lead")))
+            found = found.unionByName(star.select(F.col("_set").alias("a"), F.col("_lead").alias("b")))
         found = written(found.distinct(), "near")
         edges = found if edges is None else edges.unionByName(found)
         if not many:
             break
-        # Written, so that deeper levels start from the crowds and not from all classes again.
-        level = written(level.join(sized(crowd.select("_node")), "_node", "left_semi").withColumn("_node", child(F.col("_node"), config)), "crowded")
+        # What is close to the leader is gathered with it and leaves the tree; the rest branches on.
+        level = crowded.filter(F.col("_near") < config.close).select("_set", "_tokens", "_bytes", child(F.col("_node"), config).alias("_node"))
     return edges
 
 
