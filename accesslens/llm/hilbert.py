@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.llm.common import text_of, written
+from accesslens.llm.common import row_key, text_of, written
 from accesslens.operators.scan import running_totals
 
 
@@ -103,7 +103,7 @@ def hilbert_shards(docs: DataFrame, config: HilbertConfig = HilbertConfig(), dim
     text = text_of().cast("binary")
     rows = written(
         docs.select(
-            *[F.struct("*").alias("row")] * whole_rows, F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+            row_key(docs).alias("_key"), F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
             *[c.alias(f"_d_{n}") for n, c in dims.items()],
         ).withColumn("_tag", F.monotonically_increasing_id()),
         "metadata",
@@ -114,10 +114,13 @@ def hilbert_shards(docs: DataFrame, config: HilbertConfig = HilbertConfig(), dim
     ranked = running_totals(placed, order, {"_rank": F.lit(1)}).withColumn("_at", F.col("_rank") - 1)
     shard = F.expr(f"(_at * {config.shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {config.shards - 1}) div {config.shards}")
-    return (
-        ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_at") - first)
-        .select("doc_id", "size", "text_crc32", F.col("_hilbert").alias("hilbert"), "shard", "slot", *["row"] * whole_rows)
-    )
+    placed = ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_at") - first)
+    found = placed.select("_key", "doc_id", "size", "text_crc32", F.col("_hilbert").alias("hilbert"), "shard", "slot")
+    if not whole_rows:
+        return found.drop("_key")
+    # Only narrow rows were sorted. Whole rows move once, one of each kind of equal rows, and meet all its places.
+    once = docs.select(F.struct("*").alias("row"), row_key(docs).alias("_key")).dropDuplicates(["_key"])
+    return once.join(written(found, "places"), "_key").drop("_key")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
