@@ -1,24 +1,23 @@
 """Removal of repeated byte strings with suffix arrays.
 
 Every byte covered by a string of ``length`` bytes that also starts earlier in
-the corpus (documents in order of id) is removed; matches never cross
-documents. Documents with equal bytes meet first: all but the first go whole.
+the corpus (documents in order of id) is removed; matches never cross documents.
 
-Of the others, each window of ``length`` bytes is sent to a shard by the
-smallest hash of the short strings inside it, its anchor. Equal windows have
-equal anchors, so they meet in one shard, and neighbouring windows mostly
-share one, so what moves is runs of windows, not windows. A run that occurs
-again as a whole is settled by its digest; where different runs share an
-anchor, the shard's suffix array, sorted by induction, and its permuted common
-prefixes tell which windows are equal, byte by byte.
+Each window of ``length`` bytes is sent to a shard by the smallest hash of the
+short strings inside it, its anchor. Equal windows have equal anchors, so they
+meet in one shard, and neighbouring windows mostly share one, so what moves is
+runs of windows, not windows. A run that occurs again as a whole is settled by
+its digest, in its own batch already where that holds an earlier one; where
+different runs share an anchor, the shard's suffix array, sorted by induction,
+and its permuted common prefixes tell which windows are equal, byte by byte.
 
-Positions are offsets in the corpus laid end to end, so that "earlier" is one
-number. An anchor with more than ``crowd`` different runs is settled window by
-window instead, which spreads it over all tasks.
+Anchors that a Misra-Gries sketch finds with ``crowd`` runs or more are heavy:
+their runs travel as single windows under their own digests, which spreads
+them over all tasks and leaves one kind per digest.
 
 Defined results: null texts are empty; ids compare as numbers, null last;
-documents with the same id follow their digests; repeated rows count as later
-copies; shorter texts than ``length`` keep all; an empty table gives no rows;
+documents with the same id follow a hash of their text; repeated rows count as
+later copies; shorter texts than ``length`` keep all; an empty table gives no rows;
 extra columns do not matter.
 """
 
@@ -30,23 +29,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.llm.chosen_path import grouped
-from accesslens.llm.common import sized, text_of, written
+from accesslens.llm.common import text_of, written
 from accesslens.llm.induced import common_prefixes, suffix_array
 from accesslens.llm.wordhash import batches, mixed
-from accesslens.operators.scan import running_totals
 
 
 @dataclass(frozen=True)
 class RepeatConfig:
-    """length: bytes of a repeat; seed: bytes of the strings anchors are chosen from; crowd: different runs of an anchor
-    settled by one suffix array; shard: bytes of text per suffix array, about."""
+    """length: bytes of a repeat; seed: bytes of the strings anchors are chosen from; crowd: runs that make an
+    anchor heavy; shard: bytes of text per suffix array, about."""
 
     length: int = 100
-    seed: int = 32
+    seed: int = 16
     crowd: int = 4096
     shard: int = 1_000_000
 
@@ -134,95 +132,134 @@ def removed_windows(texts: list[bytes], places: np.ndarray, widths: np.ndarray,
     return out
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows (doc_id, n_bytes, _sha, _tag), and of each distinct text the first row with its place in the corpus. Both written."""
-    rows = written(
-        docs.select(F.col("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of().cast("binary"), 256).alias("_sha")).withColumn("_tag", F.monotonically_increasing_id()), "texts"
-    )
-    late = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    first = rows.groupBy("_sha").agg(F.min(F.struct(late.alias("o"), "_tag")).alias("_first"), F.min("doc_id").alias("_id"), F.max("n_bytes").alias("n_bytes"))
-    laid = running_totals(first.select("_sha", F.col("_first.o").alias("_o"), F.col("_first._tag").alias("_tag"), "_id", "n_bytes"), [F.col("_o"), F.col("_sha")], {"_end": F.col("n_bytes")})
-    return rows, written(laid.select("_sha", "_tag", "_id", "n_bytes", (F.col("_end") - F.col("n_bytes")).alias("_base")), "distinct")
+LAST = 2**63 - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents by _doc (the id, a null one last) and _t (a hash of the text), with the text's bytes."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(text_of()).alias("_t"), text_of().cast("binary").alias("_text"))
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (_sha, _want, and more) with the text of one document each; equal rows of a table may give one twice."""
-    texts = docs.select(F.col("doc_id").alias("_doc"), text_of().cast("binary").alias("_text")).withColumn("_s", F.sha2("_text", 256))
-    small = sized(wanted)
-    return texts.join(small, F.col("_doc").eqNullSafe(F.col("_want")) & (F.col("_s") == F.col("_sha"))).drop("_doc", "_s", "_want")
+    """``wanted`` (_doc, _t, and more; a written table) with the texts; equal rows of ``docs`` give one each.
+
+    Documents are first looked up in a bitmap of the wanted hashes, of at most 8 MB, so that of the others next
+    to none moves.
+    """
+    bits = 1 << min(26, max(15, (16 * wanted.count()).bit_length()))
+    value = F.pmod(F.col("_t"), F.lit(bits)) + 1
+    bucket, bit = F.bitmap_bucket_number(value), F.bitmap_bit_position(value)
+    maps = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    near = keyed(docs).withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(written(maps, "bitmap")), "_bucket")
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.expr("shiftright(_byte, cast(_bit % 8 as int))").bitwiseAND(F.lit(1)) == 1
+    return near.withColumn("_byte", byte).filter(marked).select("_doc", "_t", "_text").join(wanted, ["_doc", "_t"])
+
 
+def cut(config: RepeatConfig, heavy: np.ndarray, anchors_only: bool = False):
+    """All runs of the texts of a task. A run that the same batch holds earlier is settled (``_open`` false) on the spot.
 
-def occurrences(docs: DataFrame, distinct: DataFrame, config: RepeatConfig) -> DataFrame:
-    """Every run of every distinct text: _fp (its anchor), _r1 and _r2 (its digest), _base, _start, _width. Written."""
+    Runs of a ``heavy`` anchor become single windows under their own hash, which spreads them.
+    """
 
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, base = part.column("_text").to_pylist(), part.column("_base").to_numpy()
+            texts, doc, text_hash = part.column("_text").to_pylist(), part.column("_doc").to_numpy(), part.column("_t").to_numpy()
             cuts = cut_up(texts, config)
             owner, shift = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+            held = []
             for lo, hi in batches([c[2] for c in cuts], PIECE + config.length):
                 whose, start, width, anchor, at, data = runs_of([c[2] for c in cuts[lo:hi]], config)
-                start, whose = start + shift[lo:hi][whose], owner[lo:hi][whose]
+                if anchors_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["_fp"])
+                    continue
+                crowd = np.isin(anchor, heavy)
+                if crowd.any():
+                    n = np.where(crowd, width, 1)
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    crowd, whose, start, at, anchor = (np.repeat(v, n) for v in (crowd, whose, start, at, anchor))
+                    width = np.where(crowd, 1, np.repeat(width, n))
+                    start, at = start + step * crowd, at + step * crowd
                 ends = at + width + config.length - 1
-                digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), ends.tolist(), strict=True)])
-                two = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), pa.array(base[whose]), pa.array(start.astype(np.int64)), pa.array(width.astype(np.int32))],
-                    names=["_fp", "_r1", "_r2", "_base", "_start", "_width"],
-                )
-
-    long = distinct.filter(F.col("n_bytes") >= config.length).select("_sha", F.col("_id").alias("_want"), "_base")
-    return written(with_texts(docs, long).select("_text", "_base").mapInArrow(cut, "_fp long, _r1 long, _r2 long, _base long, _start long, _width int"), "runs")
+                digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]), np.int64)
+                held.append((np.where(crowd, digest, anchor), digest, owner[lo:hi][whose], start + shift[lo:hi][whose], width))
+            if not held:
+                continue
+            anchor, digest, whose, start, width = (np.concatenate(v) for v in zip(*held, strict=True))
+            order = np.lexsort((start, text_hash[whose], doc[whose], digest, anchor))
+            a, r = anchor[order], digest[order]
+            first = np.empty(len(order), bool)
+            first[order] = np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])))
+            # What is settled needs no meeting and goes anywhere.
+            to = np.where(first, anchor, text_hash[whose])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to), pa.array(digest), pa.array(doc[whose]), pa.array(text_hash[whose]), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(first)],
+                names=["_fp", "_r", "_doc", "_t", "_start", "_width", "_open"],
+            )
+
+    return runs
+
+
+def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that are sorted by anchor: later occurrences of a run (``_kinds`` 0), and the first of each run where an anchor has several kinds."""
+    for part in grouped(parts, "_fp", 50_000):
+        fp, r, doc, t, start, width, is_open = (part.column(n).to_numpy() for n in ("_fp", "_r", "_doc", "_t", "_start", "_width", "_open"))
+        order = np.lexsort((start, t, doc, r, fp, ~is_open))
+        fp, r, doc, t, start, width, is_open = (v[order] for v in (fp, r, doc, t, start, width, is_open))
+        own = np.concatenate(([True], (fp[1:] != fp[:-1]) | (is_open[1:] != is_open[:-1])))
+        first = own | np.concatenate(([True], r[1:] != r[:-1]))
+        # The same place may come twice, from repeated rows: it is not later than itself.
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(fp)), 0))
+        same = (doc == doc[lead]) & (t == t[lead]) & (start == start[lead])
+        group = np.cumsum(own) - 1
+        kinds = np.bincount(group, first)[group].astype(np.int32)
+        kinds[~is_open | ~same] = 0
+        out = (~is_open) | (~same) | (first & (kinds > 1))
+        yield pa.RecordBatch.from_arrays([pa.array(v[out]) for v in (fp, doc, t, start, width, kinds)], names=["_fp", "_doc", "_t", "_start", "_width", "_kinds"])
+
+
+def repeats(docs: DataFrame, config: RepeatConfig) -> DataFrame:
+    """Intervals of bytes to remove: _doc, _t, _from, _to; they overlap."""
+    long = keyed(docs).filter(F.octet_length("_text") >= config.length)
+    top = long.mapInArrow(cut(config, np.zeros(0, np.int64), anchors_only=True), "_fp long").agg(F.expr("approx_top_k(_fp, 1024, 8192)").alias("_top"))
+    heavy = np.array([x["item"] for x in top.first()._top or [] if x["count"] >= config.crowd], np.int64)  # at most 1,024
+    runs = long.mapInArrow(cut(config, heavy), "_fp long, _r long, _doc long, _t long, _start int, _width int, _open boolean")
+    judged = runs.repartition("_fp").sortWithinPartitions("_fp").mapInArrow(settle, "_fp long, _doc long, _t long, _start int, _width int, _kinds int")
+    judged = written(judged, "judged")
+    whole = judged.filter("_kinds = 0").select("_doc", "_t", F.col("_start").cast("long").alias("_from"), (F.col("_start") + F.col("_width") + config.length - 1).cast("long").alias("_to"))
+    asked = judged.filter("_kinds > 1").groupBy("_doc", "_t").agg(F.collect_list(F.struct("_fp", "_start", "_width")).alias("_runs"))
+    one = with_texts(docs, written(asked, "open")).dropDuplicates(["_doc", "_t"]).select("_doc", "_t", "_text", F.explode("_runs").alias("_r"))
+    run = F.substring("_text", F.col("_r._start") + 1, F.col("_r._width") + config.length - 1)
+    texts = one.select("_doc", "_t", F.col("_r._fp").alias("_fp"), F.col("_r._start").cast("long").alias("_start"), F.col("_r._width").alias("_width"), run.alias("_run"))
+    found = texts.repartition("_fp").sortWithinPartitions("_fp").mapInArrow(shard_repeats(config), "_doc long, _t long, _from long, _to long")
+    return whole.unionByName(found)
 
 
 def shard_repeats(config: RepeatConfig):
-    """Suffix arrays over the runs of a shard, some anchors at a time: intervals (_base, _from, _to) to remove."""
+    """Suffix arrays over the runs of a shard, some anchors at a time: intervals (_doc, _t, _from, _to) to remove."""
 
     def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(parts, "_fp", 2000):
             group = part.column("_fp").to_numpy()
-            texts, base, start, width = part.column("_run").to_pylist(), part.column("_base").to_numpy(), part.column("_start").to_numpy(), part.column("_width").to_numpy()
+            texts, start, width = part.column("_run").to_pylist(), part.column("_start").to_numpy(), part.column("_width").to_numpy()
+            # One number per place: the rank of the document among those of this batch, then the offset.
+            docs = np.stack([part.column("_doc").to_numpy(), part.column("_t").to_numpy()])
+            _, rank = np.unique(docs, axis=1, return_inverse=True)
+            place = (rank.ravel().astype(np.int64) << 40) + start
             ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
             found, lo, held, seen = [], 0, 0, 0
             for hi in ends:
                 held += sum(len(t) for t in texts[seen:hi])
                 seen = hi
                 if held >= config.shard or hi == ends[-1]:
-                    found += [(lo + run, a, b) for run, a, b in removed_windows(texts[lo:hi], (base + start)[lo:hi], width[lo:hi], config)]
+                    found += [(lo + run, a, b) for run, a, b in removed_windows(texts[lo:hi], place[lo:hi], width[lo:hi], config)]
                     lo, held = hi, 0
             run, a, b = (np.array([f[k] for f in found], np.int64) for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(base[run]), pa.array(start[run] + a), pa.array(start[run] + b - 1 + config.length)], names=["_base", "_from", "_to"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[0][run]), pa.array(docs[1][run]), pa.array(start[run] + a), pa.array(start[run] + b - 1 + config.length)], names=["_doc", "_t", "_from", "_to"])
 
     return settle
 
 
-def repeats(docs: DataFrame, distinct: DataFrame, config: RepeatConfig) -> DataFrame:
-    """Intervals of bytes to remove in the distinct texts: _base, _from, _to; they overlap."""
-    runs = occurrences(docs, distinct, config)
-    place = F.col("_base") + F.col("_start")
-    kinds = runs.groupBy("_fp", "_r1", "_r2").agg(F.min(place).alias("_least"), F.count("*").alias("_times"))
-    mixed_anchor = F.count("*").over(Window.partitionBy("_fp"))
-    repeated = kinds.withColumn("_kinds", mixed_anchor).filter((F.col("_times") > 1) | (F.col("_kinds") > 1))
-    repeated = written(repeated.select(F.col("_fp").alias("_f"), F.col("_r1").alias("_a"), F.col("_r2").alias("_b"), "_least", "_kinds"), "repeated")
-    same = (F.col("_fp") == F.col("_f")) & (F.col("_r1") == F.col("_a")) & (F.col("_r2") == F.col("_b"))
-    judged = written(runs.join(repeated, same).select("_fp", "_base", "_start", "_width", (place > F.col("_least")).alias("_later"), "_kinds"), "judged")
-    whole = judged.filter("_later").select("_base", F.col("_start").alias("_from"), (F.col("_start") + F.col("_width") + config.length - 1).alias("_to"))
-    open_runs = judged.filter(~F.col("_later") & (F.col("_kinds") > 1))
-    asked = open_runs.groupBy("_base").agg(F.collect_list(F.struct("_fp", "_start", "_width", "_kinds")).alias("_runs"))
-    asked = written(asked.join(distinct.select(F.col("_base").alias("_at"), "_sha", F.col("_id").alias("_want")), F.col("_base") == F.col("_at")).drop("_at"), "open")
-    one = with_texts(docs, asked).select("_base", "_text", F.explode("_runs").alias("_r"))
-    run = F.substring("_text", F.col("_r._start").cast("int") + 1, F.col("_r._width") + config.length - 1)
-    texts = written(one.select("_base", F.col("_r._fp").alias("_fp"), F.col("_r._start").alias("_start"), F.col("_r._width").alias("_width"), F.col("_r._kinds").alias("_kinds"), run.alias("_run")), "open_runs")
-    shards = texts.filter(F.col("_kinds") <= config.crowd).drop("_kinds").repartition("_fp").sortWithinPartitions("_fp")
-    found = shards.mapInArrow(shard_repeats(config), "_base long, _from long, _to long")
-    crowds = texts.filter(F.col("_kinds") > config.crowd)
-    windows = crowds.select("_base", "_start", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda k: F.md5(F.substring("_run", k + 1, F.lit(config.length))))).alias("_k", "_window"))
-    windows = windows.select("_base", (F.col("_start") + F.col("_k")).alias("_from"), "_window")
-    least = windows.groupBy("_window").agg(F.min(F.col("_base") + F.col("_from")).alias("_least"))
-    again = windows.join(least, "_window").filter(F.col("_base") + F.col("_from") > F.col("_least")).select("_base", "_from", (F.col("_from") + config.length).alias("_to"))
-    return whole.unionByName(found).unionByName(again)
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping or touching intervals as one."""
     order = np.argsort(starts, kind="stable")
@@ -233,31 +270,36 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def without_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), texts: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also the remaining bytes, ``kept``."""
-    rows, distinct = distinct_texts(docs)
-    cuts = repeats(docs, distinct, config).groupBy("_base").agg(F.collect_list(F.struct("_from", "_to")).alias("_cuts"))
-    touched = written(cuts.join(distinct.select(F.col("_base").alias("_at"), "_sha", F.col("_id").alias("_want")), F.col("_base") == F.col("_at")).drop("_at"), "cuts")
+    rows = written(
+        docs.select(
+            F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(text_of()).alias("_t"),
+            F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of().cast("binary"), 256).alias("_sha"),
+        ).withColumn("_tag", F.monotonically_increasing_id()), "texts",
+    )
+    cuts = repeats(docs, config).groupBy("_doc", "_t").agg(F.collect_list(F.struct("_from", "_to")).alias("_cuts"))
 
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trim(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for sha, text, spans in zip(part.column("_sha").to_pylist(), part.column("_text"), part.column("_cuts"), strict=True):
+            out = []
+            for doc, t, text, spans in zip(part.column("_doc").to_pylist(), part.column("_t").to_pylist(), part.column("_text"), part.column("_cuts"), strict=True):
                 flat = spans.values.flatten()
                 lo, hi = merged(flat[0].to_numpy(), flat[1].to_numpy())
                 data = text.as_py()
                 kept = b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True))
-                yield pa.RecordBatch.from_pylist(
-                    [{"_s": sha, "_gone": int((hi - lo).sum()), "_spans": len(lo), "_kept_sha": hashlib.sha256(kept).hexdigest(), "kept": kept if texts else None}], schema
-                )
-
-    schema = pa.schema([("_s", pa.string()), ("_gone", pa.int64()), ("_spans", pa.int64()), ("_kept_sha", pa.string()), ("kept", pa.binary())])
-    cleaned = written(with_texts(docs, touched).mapInArrow(cut, "_s string, _gone long, _spans long, _kept_sha string, kept binary").dropDuplicates(["_s"]), "cleaned")
-    first = distinct.select(F.col("_tag").alias("_first"))
-    marked = rows.join(first, F.col("_tag") == F.col("_first"), "left").join(cleaned, F.col("_sha") == F.col("_s"), "left")
-    copy = F.col("_first").isNull() & (F.col("n_bytes") >= config.length)
+                out.append({"_doc": doc, "_t": t, "_gone": int((hi - lo).sum()), "_spans": len(lo), "_kept_sha": hashlib.sha256(kept).hexdigest(), "kept": kept if texts else None})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("_doc", pa.int64()), ("_t", pa.int64()), ("_gone", pa.int64()), ("_spans", pa.int64()), ("_kept_sha", pa.string()), ("kept", pa.binary())])
+    trimmed = with_texts(docs, written(cuts, "cuts")).mapInArrow(trim, "_doc long, _t long, _gone long, _spans long, _kept_sha string, kept binary")
+    cleaned = written(trimmed, "cleaned").dropDuplicates(["_doc", "_t"])
+    again = rows.groupBy("_doc", "_t").agg(F.min("_tag").alias("_first"), F.count("*").alias("_times")).filter("_times > 1").drop("_times")
+    marked = rows.join(again, ["_doc", "_t"], "left").join(cleaned, ["_doc", "_t"], "left")
+    # All but the first of equal rows go whole.
+    copy = (F.col("_tag") > F.coalesce("_first", "_tag")) & (F.col("n_bytes") >= config.length)
+    own = F.col("_gone").isNotNull()
     empty = hashlib.sha256(b"").hexdigest()
-    own = F.col("_first").isNotNull() & F.col("_s").isNotNull()
-    out = marked.select(
+    return marked.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).when(own, F.col("_gone")).otherwise(0).cast("long").alias("n_removed"),
         F.when(copy, 1).when(own, F.col("_spans")).otherwise(0).cast("long").alias("n_spans"), F.when(copy, empty).when(own, F.col("_kept_sha")).otherwise(F.col("_sha")).alias("kept_sha256"),
         *[F.when(copy, F.lit(b"")).when(own, F.col("kept")).alias("kept")] * texts,
     )
-    return out
