@@ -75,7 +75,7 @@ def join_alert_inputs(
         "consecutive_failures", "geo_velocity_kmh", "auth_method", "sensitive_resource_access",
     )
     return (
-        classified.join(detection.select("event_id", *schemas.DEVIATION_COLUMNS), "event_id", "left")
+        classified.join(detection.select(KEY, "event_id", *schemas.DEVIATION_COLUMNS), [KEY, "event_id"], "left")
         .join(
             explained.select(
                 "event_id", "confidence_level", "contributions", "confidence_narrative", "actions",
@@ -86,7 +86,7 @@ def join_alert_inputs(
             "event_id",
             "left",
         )
-        .join(engineered.select("event_id", *feature_columns), "event_id", "left")
+        .join(engineered.select(KEY, "event_id", *feature_columns), [KEY, "event_id"], "left")
     )
 
 

@@ -43,13 +43,18 @@ class ClassifyConfig:
     unknown_floor: float = UNKNOWN_SCORE_FLOOR
 
 
+#: Both, so that tables that lie by entity are joined where they lie.
+KEYS = ("entity_id", "event_id")
+
+
 def filter_flagged(detection: DataFrame) -> DataFrame:
     return detection.filter(F.col("verdict") != "normal")
 
 
 def join_detection_features(detection: DataFrame, engineered: DataFrame) -> DataFrame:
-    features = engineered.select(*schemas.CLASSIFY_FEATURE_COLUMNS, "previous_resource")
-    return detection.select(*schemas.CLASSIFY_DETECTION_COLUMNS).join(features, "event_id", "left")
+    own = [c for c in schemas.CLASSIFY_FEATURE_COLUMNS if c not in KEYS]
+    features = engineered.select(*KEYS, *own, "previous_resource")
+    return detection.select(*schemas.CLASSIFY_DETECTION_COLUMNS).join(features, list(KEYS), "left")
 
 
 def evidence_bundle(
@@ -248,8 +253,8 @@ def mitre_map(df: DataFrame, severity_name: str = "severity") -> DataFrame:
 
 def attach_truth(df: DataFrame, truth: DataFrame) -> DataFrame:
     """The labelled type, after the decision."""
-    labels = truth.select("event_id", F.col("attack_type").alias("ground_truth_attack_type"))
-    return df.join(labels, "event_id", "left")
+    labels = truth.select(*KEYS, F.col("attack_type").alias("ground_truth_attack_type"))
+    return df.join(labels, list(KEYS), "left")
 
 
 def classify(evidence: DataFrame, truth: DataFrame | None = None, config: ClassifyConfig | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from accesslens import schemas
 from accesslens.functions.numeric import round_dp
 from accesslens.functions.text import LIST_JOINER, fixed, percent, render_actions
-from accesslens.operators.classify import chosen_score, runner_up_score
+from accesslens.operators.classify import KEYS, chosen_score, runner_up_score
 from accesslens.operators.profiles import KEY, VALUE_KINDS, Profiles, profile_drift_trend
 from accesslens.operators.scan import SkewConfig, add_salt, hot_by_history, skew_join
 from accesslens.schemas import DIMENSIONS
@@ -34,10 +34,10 @@ RISK_COLUMNS = ("risk_indicator_component",)
 
 def join_explain_inputs(classified: DataFrame, detection: DataFrame, engineered: DataFrame) -> DataFrame:
     """Classification with the deviations of its detection row and the features of its event."""
-    own = set(classified.columns) - {"event_id"}
-    deviations = detection.select("event_id", *schemas.DEVIATION_COLUMNS, *RISK_COLUMNS)
-    features = engineered.select(*[c for c in schemas.EXPLAIN_FEATURE_COLUMNS if c not in own])
-    return classified.join(deviations, "event_id", "left").join(features, "event_id", "left")
+    own = set(classified.columns) | set(KEYS)
+    deviations = detection.select(*KEYS, *schemas.DEVIATION_COLUMNS, *RISK_COLUMNS)
+    features = engineered.select(*KEYS, *[c for c in schemas.EXPLAIN_FEATURE_COLUMNS if c not in own])
+    return classified.join(deviations, list(KEYS), "left").join(features, list(KEYS), "left")
 
 
 def explain_evidence(

@@ -296,7 +296,7 @@ def risk_histogram(detection: DataFrame) -> DataFrame:
 
 
 def semi_flagged_events(engineered: DataFrame, detection: DataFrame) -> DataFrame:
-    return engineered.join(filter_flagged(detection).select("event_id"), "event_id", "left_semi")
+    return engineered.join(filter_flagged(detection).select(KEY, "event_id"), [KEY, "event_id"], "left_semi")
 
 
 def hourly_activity(engineered: DataFrame, detection: DataFrame) -> DataFrame:
@@ -313,6 +313,30 @@ def topk_values(df: DataFrame, column: str, k: int = TOP_N) -> DataFrame:
     return counts_by(df, column).orderBy(F.desc("events"), column).limit(k)
 
 
+def analytics_document(detection: DataFrame, classified: DataFrame, engineered: DataFrame) -> DataFrame:
+    """The dashboard's analytics as one row of six lists, each of a fixed or short length, in their display order."""
+    flagged = semi_flagged_events(engineered, detection)
+
+    def listed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+        place = F.struct(*[(-F.col(c[1:])).alias(f"o{i}") if c[0] == "-" else F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+        fields = [F.col(key).cast("string").alias("label"), *[F.col(c) for c in df.columns if c.endswith("events")]]
+        rows = F.sort_array(F.collect_list(F.struct(place.alias("place"), F.struct(*fields).alias("entry"))))
+        return df.agg(F.transform(rows, lambda r: r["entry"]).alias(name))
+
+    parts = [
+        listed(attack_distribution(classified), "attackDistribution", "attack_type", "-events", "attack_type"),
+        listed(severity_distribution(detection), "severityDistribution", "severity", "-events", "severity"),
+        listed(risk_histogram(detection), "riskDistribution", "label", "bin"),
+        listed(hourly_activity(engineered, detection), "hourlyActivity", "login_hour", "login_hour"),
+        listed(topk_values(flagged, "resource_accessed"), "topResources", "resource_accessed", "-events", "resource_accessed"),
+        listed(topk_values(flagged, "geo_location"), "geoDistribution", "geo_location", "-events", "geo_location"),
+    ]
+    document = parts[0]
+    for part in parts[1:]:  # one row each
+        document = document.select("*", *[part.select(name).scalar().alias(name) for name in part.columns])
+    return document
+
+
 def topk_highest_risk(explained: DataFrame, k: int = TOP_SUMMARIES) -> DataFrame:
     return explained.orderBy(F.desc("risk_score"), "event_id").limit(k)
 
@@ -322,8 +346,8 @@ def topk_highest_risk(explained: DataFrame, k: int = TOP_SUMMARIES) -> DataFrame
 
 def join_cold_start(detection: DataFrame, engineered: DataFrame) -> DataFrame:
     """Detection with the feature columns of the same event; the feature side names the entity type."""
-    features = engineered.select("event_id", "entity_type", "new_entity_flag", "fingerprint_mismatch", "history_length")
-    return detection.withColumnRenamed("entity_type", "entity_type_detection").join(features, "event_id")
+    features = engineered.select(KEY, "event_id", "entity_type", "new_entity_flag", "fingerprint_mismatch", "history_length")
+    return detection.withColumnRenamed("entity_type", "entity_type_detection").join(features, [KEY, "event_id"])
 
 
 SEGMENTS = ("New Users", "New Service Accounts", "New Devices (fingerprint novel)", "Established Baseline")

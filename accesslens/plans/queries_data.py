@@ -307,7 +307,7 @@ def _dashboard(p: Pipeline) -> DataFrame:
     documents = {
         "overview": rp.overview_metrics(p.detection()),
         "alerts": al.export_feed(p.alerts()),
-        "analytics": rp.hourly_activity(p.engineered(), p.detection()),
+        "analytics": rp.analytics_document(p.detection(), p.classified(), p.engineered()),
         "registry": dims.attack_registry(p.spark),
         "health": rp.stage_ledger(ledger_runs(p)),
     }
@@ -318,7 +318,7 @@ def _dashboard(p: Pipeline) -> DataFrame:
 
 add(
     "sink_dashboard", _dashboard,
-    "SELECT 'overview' AS source, 1 AS rows UNION ALL SELECT 'alerts', count(*) FROM alr WHERE alert_place <= 45 UNION ALL SELECT 'analytics', 24 "
+    "SELECT 'overview' AS source, 1 AS rows UNION ALL SELECT 'alerts', count(*) FROM alr WHERE alert_place <= 45 UNION ALL SELECT 'analytics', 1 "
     "UNION ALL SELECT 'registry', count(*) FROM reg UNION ALL SELECT 'health', 3", "alr", "reg",
 )
 PROFILE_SUMMARY_COLUMNS = (

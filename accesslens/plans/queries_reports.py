@@ -299,6 +299,36 @@ add("distinct_attack_types", lambda p: al.distinct_attack_types(p.alerts()), 'SE
 _flagged = "SELECT {0}, count(*) AS events FROM det WHERE verdict <> 'normal' GROUP BY 1 ORDER BY events DESC, {0} LIMIT 10"
 for _name, _column in (("topk_resources", "resource_accessed"), ("topk_locations", "geo_location")):
     add(_name, lambda p, c=_column: rp.topk_values(rp.semi_flagged_events(p.engineered(), p.detection()), c), _flagged.format(_column), "det")
+
+
+def _analytics(p: Pipeline) -> DataFrame:
+    """The analytics document taken apart again: one row per list entry, with its place."""
+    document, parts = rp.analytics_document(p.detection(), p.classified(), p.engineered()), None
+    for name in document.columns:
+        rows = document.select(F.lit(name).alias("part"), F.posexplode(name).alias("place", "e"))
+        fields = document.schema[name].dataType.elementType.names
+        total = F.col("e.total_events") if "total_events" in fields else F.col("e.events")
+        rows = rows.select("part", "place", "e.label", total.alias("events"), (F.col("e.anomalous_events") if "anomalous_events" in fields else F.lit(0).cast("long")).alias("anomalous"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
+_count_list = "SELECT '{}' AS part, row_number() OVER (ORDER BY n DESC, v) - 1 AS place, v AS label, n AS events, 0 AS anomalous FROM ({})"
+add(
+    "dashboard_analytics", _analytics,
+    " UNION ALL ".join([
+        _count_list.format("attackDistribution", "SELECT chosen AS v, count(*) AS n FROM cls GROUP BY 1"),
+        _count_list.format("severityDistribution", "SELECT severity AS v, count(*) AS n FROM det WHERE verdict <> 'normal' GROUP BY 1"),
+        "SELECT 'riskDistribution', b - 1, ((b - 1) * 10)::VARCHAR || '-' || (b * 10)::VARCHAR, (SELECT count(*) FROM det WHERE (risk_score > (b - 1) * 10 AND risk_score <= b * 10) "
+        "OR (b = 1 AND risk_score = 0)), 0 FROM range(1, 11) t(b)",
+        "SELECT 'hourlyActivity', h, h::VARCHAR, (SELECT count(*) FROM det WHERE login_hour = h), (SELECT count(*) FROM det WHERE login_hour = h AND verdict <> 'normal') FROM range(24) t(h)",
+        *[
+            _count_list.format(name, f"SELECT {column} AS v, count(*) AS n FROM det WHERE verdict <> 'normal' GROUP BY 1 ORDER BY n DESC, v LIMIT 10")
+            for name, column in (("topResources", "resource_accessed"), ("geoDistribution", "geo_location"))
+        ],
+    ]),
+    "det", "cls",
+)
 add(
     "topk_highest_risk", lambda p: rp.topk_highest_risk(p.explained()).select("event_id", "risk_score", "attack_type"),
     "SELECT event_id, risk_score, chosen AS attack_type FROM exp ORDER BY risk_score DESC, event_id LIMIT 25", "exp",

@@ -263,7 +263,7 @@ add(
 )
 add(
     "attach_truth",
-    lambda p: cl.attach_truth(p.classified().select("event_id", "attack_type"), p.truth()).select(
+    lambda p: cl.attach_truth(p.classified().select("entity_id", "event_id", "attack_type"), p.truth()).select(
         "event_id", "attack_type", F.coalesce("ground_truth_attack_type", F.lit("-")).alias("truth")),
     "SELECT event_id, chosen AS attack_type, coalesce(attack_type, '-') AS truth FROM cls", "cls",
 )
