@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import words
+from llm_rows import words
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose, row, shingles
+from llm_rows import prose, row, shingles
 
 from accesslens.llm import induced
 from accesslens.llm.chosen_path import PathConfig, linked_sets, near_duplicates, one_of_each

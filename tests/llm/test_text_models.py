@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose, row, words
+from llm_rows import prose, row, words
 from pyspark.sql import functions as F
 
 from accesslens.llm import maxent, pii, quality
