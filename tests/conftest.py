@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from accesslens.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,4 +19,6 @@ def spark():
 def pipeline(spark):
     from accesslens.plans.pipeline import Pipeline
 
+    from cross_check import SMALL
+
     return Pipeline.of(spark, SMALL)

@@ -5,8 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SMALL
-from cross_check import compare, duck
+from accesslens.plans import registry
+from cross_check import SMALL, compare, duck
 
 CORE = (
     "engineer_features", "profile_build", "profile_drift", "profile_value_frequency", "detect", "detect_salted", "classify",
@@ -15,7 +15,7 @@ CORE = (
     "detection_stability", "period_drift", "paginate_alerts", "entity_sample_to_budget", "dq_report", "dq_distribution_sums",
     "scan_events", "sink_analyst_summary", "union_injected", "behaviour_summary", "ext_scoring_strategy", "stream_detect", "stream_features",
 )
-NAMES = tuple(entry.queries()) if os.environ.get("ACCESSLENS_ALL") else CORE
+NAMES = tuple(registry.SQL) if os.environ.get("ACCESSLENS_ALL") else CORE
 
 
 @pytest.fixture(scope="module")
@@ -31,9 +31,10 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.columns == ["entityId", "alert_count", "max_risk", "highest_severity", "last_seen", "most_recent_alert"]
+    assert df.columns == ["entityId", "entity_type", "department", "alert_count", "max_risk", "highest_severity", "last_seen", "most_recent_alert"]
     assert df.count() > 0
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.PLANS) == set(registry.SQL)
+    assert set(registry.PLANS) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
