@@ -8,7 +8,7 @@ short strings inside it, its anchor. Equal windows have equal anchors, so they
 meet in one shard, and neighbouring windows mostly share one, so what moves is
 runs of windows, not windows. A run that occurs again as a whole is settled by
 its digest, in its own batch already where that holds an earlier one; where
-different runs share an anchor, the shard's suffix array, sorted by induction,
+different runs share an anchor and what stands on one side of it, the shard's suffix array, sorted by induction,
 and its permuted common prefixes tell which windows are equal, byte by byte.
 
 Anchors that a Misra-Gries sketch finds with ``crowd`` runs or more are heavy:
@@ -66,8 +66,8 @@ def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return HELD["made"]
 
 
-def anchors(data: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``data``: where its anchor is; and the hashes of all short strings."""
+def anchors(data: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of ``data``: where its anchor is; the hashes of all short strings; and the running sums that hash any string."""
     random, up, down = powers()
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(random[data] * up[: len(data)], dtype=np.uint64)))
     hashes = mixed((total[config.seed :] - total[: -config.seed]) * down[: len(data) - config.seed + 1])
@@ -79,7 +79,21 @@ def anchors(data: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndar
         reach *= 2
     if span > reach:
         key = np.minimum(key[: len(key) - (span - reach)], key[span - reach :])
-    return (key & np.uint64((1 << 24) - 1)).astype(np.int64), hashes
+    return (key & np.uint64((1 << 24) - 1)).astype(np.int64), hashes, total
+
+
+def sides(total: np.ndarray, anchor: np.ndarray, start: np.ndarray, end: np.ndarray, config: RepeatConfig) -> np.ndarray:
+    """Hashes of what stands left and right of each run's anchor, 32 bits each, 0 where the run does not reach that far.
+
+    A window is the anchor's string and ``length - seed`` bytes around it, at least half of them on one side: runs
+    that share a window share a side.
+    """
+    down, reach = powers()[2], (config.length - config.seed) // 2
+    packed = np.zeros(len(anchor), np.uint64)
+    for low, inside, shift in ((anchor - reach, anchor - reach >= start, 32), (anchor + config.seed, anchor + config.seed + reach <= end, 0)):
+        at = low[inside]
+        packed[inside] |= ((mixed((total[at + reach] - total[at]) * down[at]) >> np.uint64(32)) | np.uint64(1)) << np.uint64(shift)
+    return packed.view(np.int64)
 
 
 def cut_up(texts: list[bytes], config: RepeatConfig) -> list[tuple[int, int, bytes]]:
@@ -90,9 +104,9 @@ def cut_up(texts: list[bytes], config: RepeatConfig) -> list[tuple[int, int, byt
 
 
 def runs_of(parts: list[bytes], config: RepeatConfig):
-    """Runs of windows with one anchor: which part, start in it, windows, the anchor's hash, place in the joined parts, and these."""
+    """Runs of windows with one anchor: which part, start in it, windows, the anchor's hash and sides, place in the joined parts, and these."""
     data = np.frombuffer(b"".join(parts), np.uint8)
-    where, hashes = anchors(data, config)
+    where, hashes, total = anchors(data, config)
     size = np.array([len(p) for p in parts])
     begin = np.cumsum(size) - size
     count = size - config.length + 1
@@ -104,7 +118,8 @@ def runs_of(parts: list[bytes], config: RepeatConfig):
     first = np.flatnonzero(new)
     width = np.diff(np.append(first, len(window)))
     start, whose = window[first], part[first]
-    return whose, start - begin[whose], width, hashes[anchor[first]].view(np.int64), start, data.tobytes()
+    at = anchor[first]
+    return whose, start - begin[whose], width, hashes[at].view(np.int64), sides(total, at, start, start + width + config.length - 1, config), start, data.tobytes()
 
 
 def removed_windows(texts: list[bytes], places: np.ndarray, widths: np.ndarray, config: RepeatConfig) -> list[tuple[int, int, int]]:
@@ -169,7 +184,7 @@ def cut(config: RepeatConfig, heavy: np.ndarray, anchors_only: bool = False):
             owner, shift = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
             held = []
             for lo, hi in batches([c[2] for c in cuts], PIECE + config.length):
-                whose, start, width, anchor, at, data = runs_of([c[2] for c in cuts[lo:hi]], config)
+                whose, start, width, anchor, side, at, data = runs_of([c[2] for c in cuts[lo:hi]], config)
                 if anchors_only:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["_fp"])
                     continue
@@ -177,15 +192,15 @@ def cut(config: RepeatConfig, heavy: np.ndarray, anchors_only: bool = False):
                 if crowd.any():
                     n = np.where(crowd, width, 1)
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    crowd, whose, start, at, anchor = (np.repeat(v, n) for v in (crowd, whose, start, at, anchor))
+                    crowd, whose, start, at, anchor, side = (np.repeat(v, n) for v in (crowd, whose, start, at, anchor, side))
                     width = np.where(crowd, 1, np.repeat(width, n))
                     start, at = start + step * crowd, at + step * crowd
                 ends = at + width + config.length - 1
                 digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]), np.int64)
-                held.append((np.where(crowd, digest, anchor), digest, owner[lo:hi][whose], start + shift[lo:hi][whose], width))
+                held.append((np.where(crowd, digest, anchor), digest, owner[lo:hi][whose], start + shift[lo:hi][whose], width, side))
             if not held:
                 continue
-            anchor, digest, whose, start, width = (np.concatenate(v) for v in zip(*held, strict=True))
+            anchor, digest, whose, start, width, side = (np.concatenate(v) for v in zip(*held, strict=True))
             order = np.lexsort((start, text_hash[whose], doc[whose], digest, anchor))
             a, r = anchor[order], digest[order]
             first = np.empty(len(order), bool)
@@ -193,8 +208,8 @@ def cut(config: RepeatConfig, heavy: np.ndarray, anchors_only: bool = False):
             # What is settled needs no meeting and goes anywhere.
             to = np.where(first, anchor, text_hash[whose])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to), pa.array(digest), pa.array(doc[whose]), pa.array(text_hash[whose]), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(first)],
-                names=["_fp", "_r", "_doc", "_t", "_start", "_width", "_open"],
+                [pa.array(to), pa.array(digest), pa.array(doc[whose]), pa.array(text_hash[whose]), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(side), pa.array(first)],
+                names=["_fp", "_r", "_doc", "_t", "_start", "_width", "_side", "_open"],
             )
 
     return runs
@@ -203,9 +218,9 @@ def cut(config: RepeatConfig, heavy: np.ndarray, anchors_only: bool = False):
 def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs that are sorted by anchor: later occurrences of a run (``_kinds`` 0), and the first of each run where an anchor has several kinds."""
     for part in grouped(parts, "_fp", 50_000):
-        fp, r, doc, t, start, width, is_open = (part.column(n).to_numpy() for n in ("_fp", "_r", "_doc", "_t", "_start", "_width", "_open"))
+        fp, r, doc, t, start, width, side, is_open = (part.column(n).to_numpy() for n in ("_fp", "_r", "_doc", "_t", "_start", "_width", "_side", "_open"))
         order = np.lexsort((start, t, doc, r, fp, ~is_open))
-        fp, r, doc, t, start, width, is_open = (v[order] for v in (fp, r, doc, t, start, width, is_open))
+        fp, r, doc, t, start, width, side, is_open = (v[order] for v in (fp, r, doc, t, start, width, side, is_open))
         own = np.concatenate(([True], (fp[1:] != fp[:-1]) | (is_open[1:] != is_open[:-1])))
         first = own | np.concatenate(([True], r[1:] != r[:-1]))
         # The same place may come twice, from repeated rows: it is not later than itself.
@@ -214,7 +229,14 @@ def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(own) - 1
         kinds = np.bincount(group, first)[group].astype(np.int32)
         kinds[~is_open | ~same] = 0
-        out = (~is_open) | (~same) | (first & (kinds > 1))
+        several = np.flatnonzero(first & (kinds > 1))
+        # Of different runs only those that share a side with another can share a window.
+        near = np.zeros(len(several), bool)
+        for own_side in (side[several].view(np.uint64) >> np.uint64(32), side[several].view(np.uint64) & np.uint64(0xFFFFFFFF)):
+            _, which, n = np.unique(mixed(fp[several].view(np.uint64)) + own_side, return_inverse=True, return_counts=True)
+            near |= (own_side > 0) & (n[which] > 1)
+        out = (~is_open) | (~same)
+        out[several[near]] = True
         yield pa.RecordBatch.from_arrays([pa.array(v[out]) for v in (fp, doc, t, start, width, kinds)], names=["_fp", "_doc", "_t", "_start", "_width", "_kinds"])
 
 
@@ -223,7 +245,7 @@ def repeats(docs: DataFrame, config: RepeatConfig) -> DataFrame:
     long = keyed(docs).filter(F.octet_length("_text") >= config.length)
     top = long.mapInArrow(cut(config, np.zeros(0, np.int64), anchors_only=True), "_fp long").agg(F.expr("approx_top_k(_fp, 1024, 8192)").alias("_top"))
     heavy = np.array([x["item"] for x in top.first()._top or [] if x["count"] >= config.crowd], np.int64)  # at most 1,024
-    runs = long.mapInArrow(cut(config, heavy), "_fp long, _r long, _doc long, _t long, _start int, _width int, _open boolean")
+    runs = long.mapInArrow(cut(config, heavy), "_fp long, _r long, _doc long, _t long, _start int, _width int, _side long, _open boolean")
     judged = runs.repartition("_fp").sortWithinPartitions("_fp").mapInArrow(settle, "_fp long, _doc long, _t long, _start int, _width int, _kinds int")
     judged = written(judged, "judged")
     whole = judged.filter("_kinds = 0").select("_doc", "_t", F.col("_start").cast("long").alias("_from"), (F.col("_start") + F.col("_width") + config.length - 1).cast("long").alias("_to"))
