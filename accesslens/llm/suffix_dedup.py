@@ -202,9 +202,12 @@ def cut(config: RepeatConfig, heavy: np.ndarray, anchors_only: bool = False):
                 continue
             anchor, digest, whose, start, width, side = (np.concatenate(v) for v in zip(*held, strict=True))
             order = np.lexsort((start, text_hash[whose], doc[whose], digest, anchor))
-            a, r = anchor[order], digest[order]
-            first = np.empty(len(order), bool)
-            first[order] = np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])))
+            anchor, digest, whose, start, width, side = (v[order] for v in (anchor, digest, whose, start, width, side))
+            first = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])))
+            # The same place comes again from repeated rows: it is not later than itself, and its lead stands for it.
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            again = ~first & (doc[whose] == doc[whose[lead]]) & (text_hash[whose] == text_hash[whose[lead]]) & (start == start[lead])
+            anchor, digest, whose, start, width, side, first = (v[~again] for v in (anchor, digest, whose, start, width, side, first))
             # What is settled needs no meeting and goes anywhere.
             to = np.where(first, anchor, text_hash[whose])
             yield pa.RecordBatch.from_arrays(
