@@ -7,7 +7,9 @@ classes with different values go to different children, until a node has at
 most ``small`` classes, which are compared with each other exhaustively on
 one-byte tokens. In a larger node all classes are compared with one of them:
 what is ``close`` to it is gathered with it and leaves the tree, the rest
-branches on; at depth ``depth`` what is still large is compared in tiles.
+branches on, from depth ``single`` on by two tokens at once. What is still
+large at depth ``depth`` is compared in pairs of blocks, so that all its pairs
+meet.
 
 Comparisons on tokens only gather classes that may belong together: pairs at
 ``loose`` or more, kept as a spanning forest, not as all pairs. Inside each
@@ -15,9 +17,13 @@ gathered group links are then decided by the exact intersection of the full
 sets. A group too large for one task is compared in pairs of blocks, so that
 every pair meets. Classes linked in a chain are one component.
 
-A pair of similarity s meets in a tree that is d deep with probability s^d, so
-``trees`` 12 miss a pair at 0.85 with 1e-10 at depth 1, 1e-5 at depth 3 and
-3e-3 at depth 6, which only crowds of more than ``small`` similar classes reach.
+A pair of similarity s stays together in a tree down to depth d <= ``single``
+with probability s^d. Below, a pair that is together goes on in two children
+and is lost only if both part it, for good with probability q at most, where
+q = (1 - s + s q)^2, at any depth: 0.031 for 0.85, 0.063 for 0.80. So trees miss
+a pair at 0.85 with 1e-10 at depth 1 and 2e-5 at depth 3 and below, at 0.80 with
+4e-9 and 4e-4 (``trees`` 12). A crowd that shares a fraction f of its tokens
+grows by 2 f a level in rows and shrinks by f in each node.
 
 Defined results: null and blank texts have no shingles, are linked with
 nothing and stay; fewer words than ``width`` make one shingle; the smallest
@@ -33,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.llm.common import sized, text_of, written
@@ -43,14 +49,16 @@ from accesslens.llm.wordhash import batches, shingles, words_of
 
 @dataclass(frozen=True)
 class PathConfig:
-    """percent: similarity of a link, in hundredths; width: words of a shingle; block: classes compared in one task at most."""
+    """percent: similarity of a link, in hundredths; width: words of a shingle; single: depth from which nodes branch by two tokens;
+    block: classes compared in one task at most."""
 
     percent: int = 85
     width: int = 5
     tokens: int = 64
     trees: int = 12
     small: int = 64
-    depth: int = 6
+    single: int = 3
+    depth: int = 16
     loose: float = 0.55
     close: float = 0.75
     block: int = 2048
@@ -105,12 +113,22 @@ def classes(rows: DataFrame) -> DataFrame:
     return written(named, "classes")
 
 
-def child(node, config: PathConfig):
-    """The child of a node that a class goes to: the node picks a token, the token's value the child."""
+def child(node, config: PathConfig, second: bool = False):
+    """The child of a node that a class goes to: the node picks a token, the token's value the child; ``second``: by another token."""
     pick = F.pmod(F.xxhash64(node, F.lit(config.seed)), F.lit(config.tokens)).cast("int")
+    if second:
+        step = 1 + F.pmod(F.xxhash64(node, F.lit(config.seed + 1)), F.lit(config.tokens - 1)).cast("int")
+        pick = F.pmod(pick + step, F.lit(config.tokens)).cast("int")
     return F.xxhash64(node, pick, F.substring("_tokens", pick * 4 + 1, F.lit(4)))
 
 
+def meetings(key: Column, rows: Column, block: int) -> Column:
+    """The pairs of blocks that a class of a crowd of ``rows`` is in: every two blocks, of half ``block`` each, meet once."""
+    blocks = F.ceil(rows / max(1, block // 2)).cast("int")
+    mine = F.pmod(key, blocks).cast("int")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of rows of one-byte tokens."""
     return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
@@ -153,16 +171,16 @@ def grouped(parts: Iterator[pa.RecordBatch], key: str, enough: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def node_edges(config: PathConfig, span: int):
-    """Compare all rows of a node with each other, ``span`` at most; one edge to a leader per gathered row."""
+def node_edges(config: PathConfig):
+    """Compare all rows of a node with each other; one edge to a leader per gathered row."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(parts, "_node", 20_000):
             node = part.column("_node").to_numpy()
             tokens = np.frombuffer(b"".join(part.column("_bytes").to_pylist()), np.uint8).reshape(len(node), -1)
             a, b = [], []
-            for k in range(1, span):
-                i = np.flatnonzero(node[:-k] == node[k:]) if k < len(node) else ()
+            for k in range(1, len(node)):
+                i = np.flatnonzero(node[:-k] == node[k:])
                 if not len(i):
                     break
                 near = i[similar(tokens[i], tokens[i + k]) >= config.loose]
@@ -193,9 +211,9 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
         leaf = few.select("_node", "_set", "_bytes")
         many = not crowd.isEmpty()
         if many and depth == config.depth:
-            tile = F.pmod(F.xxhash64("_set", "_node"), F.ceil(F.col("_m") / config.small))
-            leaf = leaf.unionByName(level.join(sized(crowd.select("_node", "_m")), "_node").select(F.xxhash64("_node", tile).alias("_node"), "_set", "_bytes"))
-        found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config, 4 * config.small), "a binary, b binary")
+            dealt = level.join(sized(crowd.select("_node", "_m")), "_node").withColumn("_pair", F.explode(meetings(F.xxhash64("_set", "_node"), F.col("_m"), config.block)))
+            leaf = leaf.unionByName(dealt.select(F.xxhash64("_node", "_pair").alias("_node"), "_set", "_bytes"))
+        found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config), "a binary, b binary")
         if many:
             same = F.array(*[(F.substring("_bytes", j, 1) == F.substring("_lead._bytes", j, 1)).cast("int") for j in range(1, config.tokens + 1)])
             near = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / config.tokens
@@ -208,7 +226,9 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
         if not many:
             break
         # What is close to the leader is gathered with it and leaves the tree; the rest branches on.
-        level = crowded.filter(F.col("_near") < config.close).select("_set", "_tokens", "_bytes", child(F.col("_node"), config).alias("_node"))
+        node = F.col("_node")
+        to = F.explode(F.array(child(node, config), child(node, config, second=True))) if depth >= config.single else child(node, config)
+        level = crowded.filter(F.col("_near") < config.close).select("_set", "_tokens", "_bytes", to.alias("_node"))
     return edges
 
 
