@@ -12,8 +12,11 @@ from accesslens.llm.common import table
 from accesslens.llm.decontam import contained
 from accesslens.llm.exact_dedup import exact_dedup
 from accesslens.llm.hilbert import hilbert_shards
+from accesslens.llm.lexical import search
 from accesslens.llm.mixing import mix
+from accesslens.llm.phrases import collocations
 from accesslens.llm.suffix_dedup import without_repeats
+from accesslens.llm.vectors import top_k
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +119,67 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+     s AS (SELECT lang, k, ws, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k)),
+     g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+     x AS (SELECT lang, k, phrase, a, ws, unnest(generate_series(1, k - 1)) AS cut FROM c),
+     y AS (SELECT x.lang, x.k, x.phrase, x.a, cut, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * x.a * x.a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+           FROM x JOIN g AS l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[:cut], ' ')
+                  JOIN g AS r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[cut + 1:], ' ')),
+     b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM y),
+     e AS (SELECT lang, phrase, max(f) AS most
+           FROM (SELECT lang, a AS f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+     z AS (SELECT b.lang, b.phrase, a, l, r, n, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+           FROM b JOIN n ON n.lang = b.lang LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase
+           WHERE nth = 1 AND coalesce(most, 0) * 100 < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+"""
+
+
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.e, x.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM v AS q JOIN v AS x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+TERMS_SQL = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {TERMS_SQL} FROM documents) GROUP BY ALL),
+     b AS (SELECT item_id, {TERMS_SQL} FROM benchmark),
+     t AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+     a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM t),
+     m AS (SELECT doc_id, 75 + (25 * n * docs) // length AS m FROM t, a),
+     w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM d, a GROUP BY term, docs),
+     s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM b JOIN d USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+     r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -127,5 +191,8 @@ QUERIES = {
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_vector_search": op12_vector_search,
+    "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
+SQL = {"op4_exact_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op11_phrases": OP11_SQL, "op12_vector_search": OP12_SQL, "op13_lexical_search": OP13_SQL}

@@ -34,10 +34,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a byte array in lower case, with their starts and ends."""
+def hash_words(data: np.ndarray, of_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a byte array in lower case, with their starts and ends.
+
+    ``of_word``: which of the 256 bytes words consist of; all but the blank ones unless given.
+    """
     lower, blank, random = constants()
-    inside = ~blank[data]
+    inside = ~blank[data] if of_word is None else of_word[data]
     edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
