@@ -1,15 +1,19 @@
 """Near-duplicate detection by chosen-path set similarity join.
 
 A document is the set of its word shingles; documents with the same set are
-one class. A class has ``tokens`` minwise tokens. In each of ``trees``
+one class. A class has ``tokens`` minwise tokens. In each of several
 independent trees a node picks one of them, by hash of the path so far, and
 classes with different values go to different children, until a node has at
 most ``small`` classes, which are compared with each other exhaustively on
-one-byte tokens. In a larger node all classes are compared with one of them:
-what is ``close`` to it is gathered with it and leaves the tree, the rest
-branches on, from depth ``single`` on by two tokens at once. What is still
-large at depth ``depth`` is compared in pairs of blocks, so that all its pairs
-meet.
+one-byte tokens. A share 1/s - 1 of the nodes picks two tokens, so that a class
+has 1/s children on average, where s is the similarity of a link: a crowd
+that shares a fraction f < s of its tokens then has (f/s)^d as many rows at
+depth d, and nodes that shrink by f a level. What is still large at depth
+``depth`` is compared in pairs of blocks, so that all its pairs meet.
+
+In a large node all classes are also compared with one of them: what is
+``loose`` or more like it is gathered with it, and what is ``close`` leaves the
+tree, as what is like it is gathered too.
 
 Comparisons on tokens only gather classes that may belong together: pairs at
 ``loose`` or more, kept as a spanning forest, not as all pairs. Inside each
@@ -17,13 +21,18 @@ gathered group links are then decided by the exact intersection of the full
 sets. A group too large for one task is compared in pairs of blocks, so that
 every pair meets. Classes linked in a chain are one component.
 
-A pair of similarity s stays together in a tree down to depth d <= ``single``
-with probability s^d. Below, a pair that is together goes on in two children
-and is lost only if both part it, for good with probability q at most, where
-q = (1 - s + s q)^2, at any depth: 0.031 for 0.85, 0.063 for 0.80. So trees miss
-a pair at 0.85 with 1e-10 at depth 1 and 2e-5 at depth 3 and below, at 0.80 with
-4e-9 and 4e-4 (``trees`` 12). A crowd that shares a fraction f of its tokens
-grows by 2 f a level in rows and shrinks by f in each node.
+A pair of similarity s survives in a tree to depth d with the probability of
+``survival``: a branching process with one child on average that is together.
+``trees_of`` takes as many trees as bring the chance that all of them part a
+pair at s to ``miss`` at the deepest level; nodes that are small earlier miss
+less (at 0.80: 0.41 survive to depth 8, 0.27 to depth 16, so 20 trees miss 3e-5
+and 2e-3). Two things come on top. Trees share the tokens, so a pair whose
+tokens differ more than its sets is missed more often. And a pair is lost in a
+tree where one of it is ``close`` to the leader and the other not even
+``loose``; at 0.80 13 of 64 tokens of a pair differ on average, as many as lie
+between the two bounds, so this needs a pair whose differing tokens are all
+the leader's on one side. What both cost together is measured on crowds in
+tests/llm/test_crowds.py.
 
 Defined results: null and blank texts have no shingles, are linked with
 nothing and stay; fewer words than ``width`` make one shingle; the smallest
@@ -34,6 +43,7 @@ same result; an empty table gives no rows; extra columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,22 +59,35 @@ from accesslens.llm.wordhash import batches, shingles, words_of
 
 @dataclass(frozen=True)
 class PathConfig:
-    """percent: similarity of a link, in hundredths; width: words of a shingle; single: depth from which nodes branch by two tokens;
-    block: classes compared in one task at most."""
+    """percent: similarity of a link, in hundredths; width: words of a shingle; small: classes of a node that are compared exhaustively;
+    miss: chance that all trees part a pair at ``percent`` before ``depth``; block: classes compared in one task at most."""
 
     percent: int = 85
     width: int = 5
     tokens: int = 64
-    trees: int = 12
     small: int = 64
-    single: int = 3
     depth: int = 16
-    loose: float = 0.55
-    close: float = 0.75
+    miss: float = 0.002
+    loose: float = 0.50
+    close: float = 0.70
     block: int = 2048
     seed: int = 11
 
 
+def survival(percent: int, depth: int) -> float:
+    """The chance that a pair at ``percent`` is together in some node of a tree at ``depth``."""
+    s, lost = percent / 100, 0.0
+    second = 1 / s - 1
+    for _ in range(depth):
+        apart = 1 - s + s * lost
+        lost = (1 - second) * apart + second * apart * apart
+    return 1 - lost
+
+
+def trees_of(config: PathConfig) -> int:
+    return math.ceil(math.log(config.miss) / math.log(1 - survival(config.percent, config.depth)))
+
+
 def minwise(sets: list[np.ndarray], config: PathConfig) -> np.ndarray:
     """The minwise tokens (rows: sets, columns: hash functions) of sets that are not empty."""
     factors = np.random.default_rng(config.seed).integers(0, 2**63, config.tokens, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,13 +136,24 @@ def classes(rows: DataFrame) -> DataFrame:
     return written(named, "classes")
 
 
-def child(node, config: PathConfig, second: bool = False):
-    """The child of a node that a class goes to: the node picks a token, the token's value the child; ``second``: by another token."""
-    pick = F.pmod(F.xxhash64(node, F.lit(config.seed)), F.lit(config.tokens)).cast("int")
-    if second:
-        step = 1 + F.pmod(F.xxhash64(node, F.lit(config.seed + 1)), F.lit(config.tokens - 1)).cast("int")
-        pick = F.pmod(pick + step, F.lit(config.tokens)).cast("int")
-    return F.xxhash64(node, pick, F.substring("_tokens", pick * 4 + 1, F.lit(4)))
+def pick(node: Column, config: PathConfig, nth: int = 0) -> Column:
+    """The token that a node chooses; ``nth`` 1: another one."""
+    first = F.pmod(F.xxhash64(node, F.lit(config.seed)), F.lit(config.tokens)).cast("int")
+    if not nth:
+        return first
+    step = 1 + F.pmod(F.xxhash64(node, F.lit(config.seed + 1)), F.lit(config.tokens - 1)).cast("int")
+    return F.pmod(first + step, F.lit(config.tokens)).cast("int")
+
+
+def children(node: Column, config: PathConfig) -> Column:
+    """The children of a node that a class goes to, one for each token that the node chooses: two in a share 1/s - 1 of the nodes, else one."""
+
+    def child(token: Column) -> Column:
+        return F.xxhash64(node, token, F.substring("_tokens", token * 4 + 1, F.lit(4)))
+
+    million = 1_000_000
+    two = F.pmod(F.xxhash64(node, F.lit(config.seed + 2)), F.lit(million)) < int(million * (100 / config.percent - 1))
+    return F.when(two, F.array(child(pick(node, config)), child(pick(node, config, 1)))).otherwise(F.array(child(pick(node, config))))
 
 
 def meetings(key: Column, rows: Column, block: int) -> Column:
@@ -200,25 +234,29 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
     """Edges (a, b) between classes that may be linked, from all trees. Written."""
     low = F.array(*[F.substring("_tokens", 4 * j + 4, 1) for j in range(config.tokens)])
     rows = written(sets.select("_set", "_tokens", F.aggregate(low, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)).alias("_bytes")), "tokens")
-    trees = F.explode(F.array(*[F.lit(t) for t in range(config.trees)])).alias("_tree")
-    level = rows.select("*", trees).withColumn("_node", child(F.xxhash64("_tree"), config)).drop("_tree")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(trees_of(config) - 1))).alias("_tree")
+    level = rows.select("_set", "_tokens", trees).select("_set", F.explode(children(F.xxhash64("_tree"), config)).alias("_node"))
     edges = None
     for depth in range(1, config.depth + 1):
-        sizes = level.groupBy("_node").agg(F.count("*").alias("_m"), F.min(F.struct(F.xxhash64("_node", "_set").alias("h"), "_set", "_bytes")).alias("_lead"))
-        busy = written(sizes.filter("_m > 1"), "nodes")
-        few = level.join(busy.filter(F.col("_m") <= config.small).select("_node"), "_node", "left_semi")
-        crowd = busy.filter(F.col("_m") > config.small)
-        leaf = few.select("_node", "_set", "_bytes")
-        many = not crowd.isEmpty()
+        # Narrow rows find the nodes with several classes; most classes are alone in theirs.
+        own = F.xxhash64("_node", "_set")
+        busy = written(level.groupBy("_node").agg(F.count("*").alias("_m"), F.min(own).alias("_h")).filter("_m > 1"), "nodes")
+        met = level.join(busy, "_node")
+        if depth == 1:
+            met = written(met, "met").join(rows, "_set")
+        met = written(met.select("_node", "_m", "_h", "_set", "_tokens", "_bytes"), "met")
+        many = (busy.agg(F.max("_m")).first()[0] or 0) > config.small
+        leaf = met.filter(F.col("_m") <= config.small).select("_node", "_set", "_bytes")
+        crowd = met.filter(F.col("_m") > config.small)
         if many and depth == config.depth:
-            dealt = level.join(sized(crowd.select("_node", "_m")), "_node").withColumn("_pair", F.explode(meetings(F.xxhash64("_set", "_node"), F.col("_m"), config.block)))
+            dealt = crowd.withColumn("_pair", F.explode(meetings(F.xxhash64("_set", "_node"), F.col("_m"), config.block)))
             leaf = leaf.unionByName(dealt.select(F.xxhash64("_node", "_pair").alias("_node"), "_set", "_bytes"))
         found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config), "a binary, b binary")
         if many:
-            same = F.array(*[(F.substring("_bytes", j, 1) == F.substring("_lead._bytes", j, 1)).cast("int") for j in range(1, config.tokens + 1)])
+            lead = crowd.filter(own == F.col("_h")).select("_node", F.col("_set").alias("_lead"), F.col("_bytes").alias("_lead_bytes"))
+            same = F.array(*[(F.substring("_bytes", j, 1) == F.substring("_lead_bytes", j, 1)).cast("int") for j in range(1, config.tokens + 1)])
             near = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / config.tokens
-            crowded = level.join(sized(crowd.select("_node", "_lead"), 20_000), "_node").select("_node", "_set", "_tokens", "_bytes", F.col("_lead._set").alias("_lead"), near.alias("_near"))
-            crowded = written(crowded, "crowded")
+            crowded = written(crowd.join(lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_lead", near.alias("_near")), "crowded")
             star = crowded.filter((F.col("_near") >= config.loose) & (F.col("_set") != F.col("_lead")))
             found = found.unionByName(star.select(F.col("_set").alias("a"), F.col("_lead").alias("b")))
         found = written(found.distinct(), "near")
@@ -226,9 +264,8 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
         if not many:
             break
         # What is close to the leader is gathered with it and leaves the tree; the rest branches on.
-        node = F.col("_node")
-        to = F.explode(F.array(child(node, config), child(node, config, second=True))) if depth >= config.single else child(node, config)
-        level = crowded.filter(F.col("_near") < config.close).select("_set", "_tokens", "_bytes", to.alias("_node"))
+        rest = crowded.filter(F.col("_near") < config.close)
+        level = rest.select("_set", "_tokens", "_bytes", F.explode(children(F.col("_node"), config)).alias("_node"))
     return edges
 
 
