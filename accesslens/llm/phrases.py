@@ -54,8 +54,8 @@ class PhraseConfig:
     least: int = 10
     within: int = 50
     top: int = 2000
-    budget: int = 2_000_000
-    held: int = 4_000_000
+    budget: int = 500_000
+    held: int = 3_000_000
     most_bits: int = 1 << 27
 
 
@@ -276,7 +276,7 @@ def frequent_suffixes(docs: DataFrame, k: int, seed: int, before: np.ndarray, gr
             yield from out()
 
     def subtrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(parts, "_group", 500_000):
+        for part in grouped(parts, "_group", 200_000):
             words, counts = summed([part.column(n).to_numpy() for n in names], part.column("_c").to_numpy(), exact=True)
             keep = counts >= config.least
             if keep.any():
