@@ -40,9 +40,12 @@ from pyspark.sql import functions as F
 
 from accesslens.llm.chosen_path import grouped
 from accesslens.llm.common import text_of, written
-from accesslens.llm.wordhash import PIECE, batches, hash_words, mixed, pieces
+from accesslens.llm.wordhash import batches, hash_words, mixed, pieces
 from accesslens.operators.scan import running_totals
 
+#: Bytes read at once; what a task holds meanwhile is some fifty times as much.
+PIECE = 1_000_000
+
 
 @dataclass(frozen=True)
 class PhraseConfig:
@@ -55,7 +58,7 @@ class PhraseConfig:
     within: int = 50
     top: int = 2000
     budget: int = 500_000
-    held: int = 3_000_000
+    held: int = 1_000_000
     most_bits: int = 1 << 27
 
 
@@ -75,8 +78,8 @@ def scanned(texts: list[bytes], langs: np.ndarray, seed: int, carry: int) -> Ite
     words before it, with index -1.
     """
     of_word, ends = byte_classes()
-    for lo, hi in batches(texts):
-        parts = pieces(texts[lo]) if hi == lo + 1 and len(texts[lo]) > PIECE else [b"\n".join(texts[lo:hi])]
+    for lo, hi in batches(texts, PIECE):
+        parts = pieces(texts[lo], PIECE) if hi == lo + 1 and len(texts[lo]) > PIECE else [b"\n".join(texts[lo:hi])]
         bounds = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
         before = b""
         for part in parts:
@@ -150,7 +153,7 @@ def count_words(docs: DataFrame, config: PhraseConfig) -> tuple[DataFrame, int]:
                             held[k] = [int(marks[seen[at]]), low[starts[at] : stops[at]], c]
                         else:
                             known[2] += c
-                    if len(held) > config.held // 8:
+                    if len(held) > config.held // 4:
                         yield out()
                         held.clear()
             if held:

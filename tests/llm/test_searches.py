@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from llm_rows import UP
 
-from accesslens.llm import lexical, phrases, vectors, wordhash
+from accesslens.llm import lexical, phrases, vectors
 from accesslens.llm.lexical import LexicalConfig
 from accesslens.llm.phrases import PhraseConfig, collocations
 from accesslens.llm.vectors import SearchConfig, top_k
@@ -64,8 +64,6 @@ def test_phrases_run_on_across_the_parts_of_a_long_text(monkeypatch):
 
     def found(size):
         monkeypatch.setattr(phrases, "PIECE", size)
-        monkeypatch.setattr(wordhash, "PIECE", size)
-        monkeypatch.setattr(phrases, "pieces", lambda t: wordhash.pieces(t, size))
         out = Counter()
         for _, _, _, key, opens, seen in phrases.scanned([text], langs, 1, 3):
             for k in (1, 2, 3):
