@@ -11,9 +11,9 @@ that shares a fraction f < s of its tokens then has (f/s)^d as many rows at
 depth d, and nodes that shrink by f a level. What is still large at depth
 ``depth`` is compared in pairs of blocks, so that all its pairs meet.
 
-In a large node all classes are also compared with one of them: what is
-``loose`` or more like it is gathered with it, and what is ``close`` leaves the
-tree, as what is like it is gathered too.
+In a large node all classes are also compared with some ``leaders`` of it: what
+is ``loose`` or more like one is gathered with it, and what is ``close`` leaves
+the tree, as what is like it is gathered too.
 
 Comparisons on tokens only gather classes that may belong together: pairs at
 ``loose`` or more, kept as a spanning forest, not as all pairs. Inside each
@@ -28,7 +28,7 @@ pair at s to ``miss`` at the deepest level; nodes that are small earlier miss
 less (at 0.80: 0.41 survive to depth 8, 0.27 to depth 16, so 20 trees miss 3e-5
 and 2e-3). Two things come on top. Trees share the tokens, so a pair whose
 tokens differ more than its sets is missed more often. And a pair is lost in a
-tree where one of it is ``close`` to the leader and the other not even
+tree where one of it is ``close`` to a leader and the other not even
 ``loose``; at 0.80 13 of 64 tokens of a pair differ on average, as many as lie
 between the two bounds, so this needs a pair whose differing tokens are all
 the leader's on one side. What both cost together is measured on crowds in
@@ -46,6 +46,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,14 @@ from accesslens.llm.wordhash import batches, shingles, words_of
 @dataclass(frozen=True)
 class PathConfig:
     """percent: similarity of a link, in hundredths; width: words of a shingle; small: classes of a node that are compared exhaustively;
-    miss: chance that all trees part a pair at ``percent`` before ``depth``; block: classes compared in one task at most."""
+    leaders: classes of a larger node that all its classes are compared with; miss: chance that all trees part a pair at ``percent``
+    before ``depth``; block: classes compared in one task at most."""
 
     percent: int = 85
     width: int = 5
     tokens: int = 64
     small: int = 64
+    leaders: int = 4
     depth: int = 16
     miss: float = 0.002
     loose: float = 0.50
@@ -230,21 +233,70 @@ def node_edges(config: PathConfig):
     return compare
 
 
+def nearest_leaders(config: PathConfig):
+    """Adds to the classes of crowded nodes how near the nearest leader is, and the leaders to be gathered with.
+
+    Of leaders that belong together anyway one is enough; a leader names all others that it belongs with.
+    """
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            own = np.frombuffer(b"".join(part.column("_bytes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            leads = part.column("_leads")
+            count = leads.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            names, tokens = leads.flatten().flatten()
+            names = names.to_pylist()
+            tokens = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8).reshape(len(names), -1)
+            first = np.cumsum(count) - count
+            most = int(count.max())
+            # A row's leaders in columns; those that a node lacks repeat its first and are never chosen.
+            at = first[:, None] + np.where(np.arange(most) < count[:, None], np.arange(most), 0)
+            there = np.arange(most) < count[:, None]
+            near = np.stack([similar(own, tokens[at[:, k]]) for k in range(most)], axis=1)
+            sets = part.column("_set").to_pylist()
+            self_ = np.array([[names[j] == s for j in row] for row, s in zip(at.tolist(), sets, strict=True)], bool) & there
+            together = np.tile(np.arange(most), (part.num_rows, 1))
+            for _ in range(most):
+                for a in range(most):
+                    for b in range(a):
+                        joined = there[:, a] & (similar(tokens[at[:, a]], tokens[at[:, b]]) >= config.loose)
+                        low = np.minimum(together[:, a], together[:, b])
+                        together[joined, a] = low[joined]
+                        together[joined, b] = low[joined]
+            leader = self_.any(axis=1)
+            good = there & ~self_ & (near >= config.loose)
+            chosen = good.copy()
+            for a in range(most):
+                for b in range(a):
+                    chosen[:, a] &= leader | ~(good[:, b] & (together[:, a] == together[:, b]))
+            gathered_with = [[names[j] for j in row[pick]] for row, pick in zip(at, chosen, strict=True)]
+            near[~there] = -1
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_node"), part.column("_set"), part.column("_tokens"), part.column("_bytes"), pa.array(near.max(axis=1)), pa.array(gathered_with, pa.list_(pa.binary()))],
+                names=["_node", "_set", "_tokens", "_bytes", "_near", "_with"],
+            )
+
+    return compare
+
+
 def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
     """Edges (a, b) between classes that may be linked, from all trees. Written."""
     low = F.array(*[F.substring("_tokens", 4 * j + 4, 1) for j in range(config.tokens)])
     rows = written(sets.select("_set", "_tokens", F.aggregate(low, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)).alias("_bytes")), "tokens")
     trees = F.explode(F.sequence(F.lit(0), F.lit(trees_of(config) - 1))).alias("_tree")
     level = rows.select("_set", "_tokens", trees).select("_set", F.explode(children(F.xxhash64("_tree"), config)).alias("_node"))
+    # The leaders of a node are the classes with the least value of one of some hashes.
+    own = {f"_h{k}": F.xxhash64("_node", "_set", F.lit(k)) for k in range(config.leaders)}
     edges = None
     for depth in range(1, config.depth + 1):
         # Narrow rows find the nodes with several classes; most classes are alone in theirs.
-        own = F.xxhash64("_node", "_set")
-        busy = written(level.groupBy("_node").agg(F.count("*").alias("_m"), F.min(own).alias("_h")).filter("_m > 1"), "nodes")
+        busy = written(level.groupBy("_node").agg(F.count("*").alias("_m"), *[F.min(h).alias(name) for name, h in own.items()]).filter("_m > 1"), "nodes")
         met = level.join(busy, "_node")
         if depth == 1:
             met = written(met, "met").join(rows, "_set")
-        met = written(met.select("_node", "_m", "_h", "_set", "_tokens", "_bytes"), "met")
+        met = written(met.select("_node", "_m", *own, "_set", "_tokens", "_bytes"), "met")
         many = (busy.agg(F.max("_m")).first()[0] or 0) > config.small
         leaf = met.filter(F.col("_m") <= config.small).select("_node", "_set", "_bytes")
         crowd = met.filter(F.col("_m") > config.small)
@@ -253,17 +305,16 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
             leaf = leaf.unionByName(dealt.select(F.xxhash64("_node", "_pair").alias("_node"), "_set", "_bytes"))
         found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config), "a binary, b binary")
         if many:
-            lead = crowd.filter(own == F.col("_h")).select("_node", F.col("_set").alias("_lead"), F.col("_bytes").alias("_lead_bytes"))
-            same = F.array(*[(F.substring("_bytes", j, 1) == F.substring("_lead_bytes", j, 1)).cast("int") for j in range(1, config.tokens + 1)])
-            near = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / config.tokens
-            crowded = written(crowd.join(lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_lead", near.alias("_near")), "crowded")
-            star = crowded.filter((F.col("_near") >= config.loose) & (F.col("_set") != F.col("_lead")))
-            found = found.unionByName(star.select(F.col("_set").alias("a"), F.col("_lead").alias("b")))
+            is_lead = reduce(lambda a, b: a | b, [h == F.col(name) for name, h in own.items()])
+            lead = crowd.filter(is_lead).groupBy("_node").agg(F.collect_list(F.struct("_set", "_bytes")).alias("_leads"))
+            facing = crowd.join(lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_leads")
+            crowded = written(facing.mapInArrow(nearest_leaders(config), "_node long, _set binary, _tokens binary, _bytes binary, _near double, _with array<binary>"), "crowded")
+            found = found.unionByName(crowded.select(F.col("_set").alias("a"), F.explode("_with").alias("b")))
         found = written(found.distinct(), "near")
         edges = found if edges is None else edges.unionByName(found)
         if not many:
             break
-        # What is close to the leader is gathered with it and leaves the tree; the rest branches on.
+        # What is close to a leader is gathered with it and leaves the tree; the rest branches on.
         rest = crowded.filter(F.col("_near") < config.close)
         level = rest.select("_set", "_tokens", "_bytes", F.explode(children(F.col("_node"), config)).alias("_node"))
     return edges
