@@ -19,6 +19,8 @@ from accesslens.sources.readers import add_optional_columns, require_columns
 
 KEY = "entity_id"
 ORDER = ["_us", "event_id"]
+#: Durations before they are summed or squared; the square has 38 digits.
+WIDE = "decimal(19,0)"
 DIGIT_BITS = 4
 DIGITS = 1 << DIGIT_BITS
 # value column -> name of its prior-occurrence count
@@ -83,7 +85,7 @@ def _prior(part: list[str]):
 
 
 def _sum0(value: Column, window) -> Column:
-    return F.coalesce(F.sum(value).over(window), F.lit(0).cast("long"))
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
 
 
 def _value_counts(df: DataFrame, part: list[str]) -> DataFrame:
@@ -108,14 +110,23 @@ def _below(sums: list[str], digit: str, inclusive: bool) -> Column:
     return F.expr(f"element_at(array(0L, {', '.join(sums)}), {digit} + {2 if inclusive else 1})")
 
 
+def _levels(values: int) -> int:
+    """Digits of the ranks of so many values."""
+    return max(1, -(-max(values - 1, 1).bit_length() // DIGIT_BITS))
+
+
 def _prior_not_above(df: DataFrame, part: list[str], levels: int) -> DataFrame:
-    """``_le``: earlier rows in the partition whose ``_v`` is at most this row's.
+    """``_le``: earlier rows in the partition whose duration is at most this row's.
 
-    One pass per digit: earlier rows that agree on all higher digits and have a
+    Durations are replaced by their dense rank in the partition, so the number of
+    passes depends on how many there are, not on how large one is. One pass per
+    digit of the rank: earlier rows that agree on all higher digits and have a
     smaller digit here (or an equal one, at the lowest digit). The state is one
     counter per digit, so a long history needs neither an array nor a self-join.
     """
     found: Column = F.lit(0).cast("long")
+    place = F.dense_rank().over(Window.partitionBy(*part).orderBy("_x")) - 1
+    df = df.withColumn("_v", F.when(F.col("_x").isNotNull(), place.cast("long")))
     for level in range(levels):
         prefix, digit = _digit(level)
         df = df.withColumns({f"_p{level}": prefix, f"_d{level}": digit})
@@ -126,7 +137,7 @@ def _prior_not_above(df: DataFrame, part: list[str], levels: int) -> DataFrame:
         df = df.withColumn(f"_c{level}", _below(sums, f"_d{level}", level == 0))
         found = found + F.col(f"_c{level}")
     drop = [f"_{letter}{level}" for level in range(levels) for letter in "pdc"]
-    return df.withColumn("_le", found).drop(*drop)
+    return df.withColumn("_le", found).drop("_v", *drop)
 
 
 def _lookback(df: DataFrame, part: list[str], config: FeatureConfig) -> DataFrame:
@@ -137,7 +148,7 @@ def _lookback(df: DataFrame, part: list[str], config: FeatureConfig) -> DataFram
         # Offsets are kept per row; a sliding frame would be summed anew for every row.
         return [F.lag(value, i).over(at) for i in range(1, rows + 1)]
 
-    recent = F.array_compact(F.array(*back("_x", config.moving_average_window)))
+    recent = F.array_compact(F.array(*back(F.col("_x").cast(WIDE), config.moving_average_window)))
     fresh = F.array_compact(F.array(*back((F.col("_n_resource") == 0).cast("long"), config.drift_window)))
     used = F.array_compact(F.array(*back("resource_accessed", config.drift_window)))
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
@@ -147,7 +158,7 @@ def _lookback(df: DataFrame, part: list[str], config: FeatureConfig) -> DataFram
         F.lag("geo_location").over(at).alias("_prev_geo"),
         F.lag("_country").over(at).alias("_prev_country"),
         F.lag("resource_accessed").over(at).alias("previous_resource"),
-        total(recent).alias("_ma_sum"),
+        F.aggregate(recent, F.lit(0).cast("decimal(38,0)"), lambda a, v: (a + v).cast("decimal(38,0)")).alias("_ma_sum"),
         F.size(recent).cast("long").alias("_ma_n"),
         # A resource is outside the older baseline exactly when its first use lies in the window.
         total(fresh).alias("_drift_new"),
@@ -162,8 +173,10 @@ def _additive() -> dict[str, Column]:
         "_s_mfa": (F.col("auth_method") == "mfa").cast("long"),
         "_s_city": F.coalesce(F.col("geo_location") != F.col("_prev_geo"), F.lit(False)).cast("long"),
         "_s_res": (F.col("_n_resource") == 0).cast("long"),
-        "_s_x": F.col("_x"),
-        "_s_xx": (F.col("_x") * F.col("_x")).cast("decimal(38,0)"),
+        # An unknown duration counts nowhere: neither in sums nor in the number they are divided by.
+        "_n_x": F.col("_x").isNotNull().cast("long"),
+        "_s_x": F.col("_x").cast(WIDE),
+        "_s_xx": F.col("_x").cast(WIDE) * F.col("_x").cast(WIDE),
     }
 
 
@@ -183,7 +196,7 @@ def _older(df: DataFrame, part: list[str], config: FeatureConfig) -> DataFrame:
 
 
 def _single_pass(
-    df: DataFrame, entities: DataFrame, config: FeatureConfig, skew: SkewConfig, levels: int
+    df: DataFrame, entities: DataFrame, config: FeatureConfig, skew: SkewConfig, longest: int
 ) -> DataFrame:
     """All raw quantities for entities that fit one task.
 
@@ -192,7 +205,7 @@ def _single_pass(
     """
     part = [KEY]
     df = join_entity_static(df.repartition(KEY), entities, skew, None)
-    df = _prior_not_above(_value_counts(df, part), part, levels)
+    df = _prior_not_above(_value_counts(df, part), part, _levels(longest))
     at = Window.partitionBy(*part).orderBy(*ORDER)
     df = df.withColumn("_rn", F.row_number().over(at).cast("long"))
     return _older(_totals(_lookback(df, part, config), part), part, config)
@@ -202,7 +215,7 @@ def _carry(blocks: DataFrame, keys: list[str], names: list[str], agg=F.sum) -> D
     """Totals of all earlier blocks, per key and block."""
     window = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.select(
-        *keys, "_block", *[F.coalesce(agg(n).over(window), F.lit(0).cast("long")).alias(f"_b{n}") for n in names]
+        *keys, "_block", *[F.coalesce(agg(n).over(window), F.lit(0)).alias(f"_b{n}") for n in names]
     )
 
 
@@ -233,15 +246,22 @@ def _blocked_value_counts(rows: DataFrame) -> DataFrame:
     return df
 
 
-def _blocked_not_above(df: DataFrame, rows: DataFrame, levels: int) -> DataFrame:
-    """``_le`` for blocked entities: inside the block, plus earlier blocks by digit counts.
+def _blocked_not_above(df: DataFrame, rows: DataFrame, longest: int, skew: SkewConfig) -> DataFrame:
+    """``_le`` for blocked entities: inside the block by ranks in the block, plus earlier blocks by digit counts.
 
-    The second part works on (entity, block, value) counts; a window there spans
-    the blocks of one entity and value prefix, never its rows.
+    The second part works on (entity, block, duration) counts, with the duration
+    replaced by its rank among the entity's, which is a running count over its
+    distinct durations. A window there spans the blocks of one entity and prefix
+    of the rank, never its rows.
     """
-    df = _prior_not_above(df, [KEY, "_block"], levels)
-    cells = written(rows.groupBy(KEY, "_block", "_v").agg(F.count("*").alias("_cell")), "cells")
-    found = cells.select(KEY, "_block", "_v", F.lit(0).cast("long").alias("_earlier"))
+    df = _prior_not_above(df, [KEY, "_block"], _levels(min(longest, skew.block_rows)))
+    counts = written(rows.filter(F.col("_x").isNotNull()).groupBy(KEY, "_block", "_x").agg(F.count("*").alias("_cell")), "cells")
+    place = running_totals(counts.select(KEY, "_x").distinct(), [F.col("_x")], {"_v": F.lit(1)}, (KEY,))
+    at = slot(KEY, "_x").alias("_slot")
+    placed = counts.select("*", at).join(place.select(at, (F.col("_v") - 1).alias("_v")), "_slot")
+    cells = written(placed.select(KEY, "_block", "_x", "_v", "_cell"), "cells")
+    levels = _levels(longest)
+    found = cells.select(KEY, "_block", "_x", "_v", F.lit(0).cast("long").alias("_earlier"))
     for level in range(levels):
         prefix, digit = _digit(level)
         placed = cells.select(KEY, "_block", prefix.alias("_p"), digit.alias("_d"), "_cell")
@@ -255,10 +275,10 @@ def _blocked_not_above(df: DataFrame, rows: DataFrame, levels: int) -> DataFrame
             .withColumn(
                 "_earlier", F.col("_earlier") + _below([f"_b{n}" for n in names], "_d", level == 0)
             )
-            .select(KEY, "_block", "_v", "_earlier")
+            .select(KEY, "_block", "_x", "_v", "_earlier")
         )
-    joined = _join_blocks(df, found, [KEY, "_v"])
-    return joined.withColumn("_le", F.col("_le") + F.col("_earlier")).drop("_earlier")
+    joined = _join_blocks(df, found.drop("_v"), [KEY, "_x"])
+    return joined.withColumn("_le", F.col("_le") + F.coalesce("_earlier", F.lit(0))).drop("_earlier")
 
 
 def _blocked_older(df: DataFrame, config: FeatureConfig) -> DataFrame:
@@ -272,11 +292,11 @@ def _blocked_older(df: DataFrame, config: FeatureConfig) -> DataFrame:
     return df.join(counted.filter(F.col("_kind") == 0).select("event_id", "_older"), "event_id")
 
 
-def _blocked_pass(df: DataFrame, config: FeatureConfig, skew: SkewConfig, levels: int) -> DataFrame:
+def _blocked_pass(df: DataFrame, config: FeatureConfig, skew: SkewConfig, longest: int) -> DataFrame:
     """The same quantities for hot entities, in blocks of consecutive events with carried totals."""
     rows = running_totals(df, [F.col(c) for c in ORDER], {"_rn": F.lit(1)}, (KEY,))
     rows = written(with_context(rows, "_rn", skew).drop("_copy").repartition(KEY, "_block"), "blocks")
-    df = written(_blocked_not_above(_blocked_value_counts(rows), rows, levels), "blocks")
+    df = written(_blocked_not_above(_blocked_value_counts(rows), rows, longest, skew), "blocks")
     spread = with_context(df.drop("_block"), "_rn", skew, before=config.lookback).repartition(KEY, "_block")
     df = written(_lookback(spread, [KEY, "_block"], config).filter(~F.col("_copy")).drop("_copy"), "blocks")
     local = _totals(df, [KEY, "_block"])
@@ -292,14 +312,15 @@ def _blocked_pass(df: DataFrame, config: FeatureConfig, skew: SkewConfig, levels
 
 def feature_columns(config: FeatureConfig) -> dict[str, Column]:
     c = F.col
-    h = c("_rn") - 1
+    h, known = c("_rn") - 1, c("_n_x")
     zone = F.coalesce(c("timezone"), F.lit("UTC"))
     local = F.from_utc_timestamp("timestamp", zone)
     hour, start, end = F.hour(local), c("working_hours_start"), c("working_hours_end")
     off_hours = F.least(F.pmod(start - hour, F.lit(24)), F.pmod(hour - end, F.lit(24)))
-    std = sample_std(h, c("_s_x"), c("_s_xx"))
-    spread = (h >= 2) & (sample_variance_numerator(h, c("_s_x"), c("_s_xx")) > 0)
-    mean = c("_s_x") / F.when(h > 0, h)
+    std = sample_std(known, c("_s_x"), c("_s_xx"))
+    spread = (known >= 2) & (sample_variance_numerator(known, c("_s_x"), c("_s_xx")) > 0)
+    total = c("_s_x").cast("double")
+    mean = total / F.when(known > 0, known)
     zscore = F.when(spread, round_dp((c("_x") - mean) / F.when(spread, std), 4))
     elapsed = (c("_us") - c("_prev_us")) / F.lit(1e6)
     hours = elapsed / F.lit(3600.0)
@@ -348,11 +369,11 @@ def feature_columns(config: FeatureConfig) -> dict[str, Column]:
         "behaviour_drift_score": ratio(c("_drift_new"), c("_drift_all"), 4),
         "privilege_change_indicator": F.coalesce(above, F.lit(False)),
         "sensitive_resource_access": dims.is_sensitive(c("resource_accessed")),
-        "rolling_mean_session_duration": ratio(c("_s_x"), h, 2),
+        "rolling_mean_session_duration": ratio(total, known, 2),
         "rolling_std_session_duration": round_dp(std, 2),
-        "moving_avg_session_duration": ratio(c("_ma_sum"), c("_ma_n"), 2),
-        "historical_percentile_session_duration": F.when(h == 0, F.lit(50.0)).when(
-            c("_x").isNotNull(), round_dp(F.lit(100.0) * c("_le") / F.when(h > 0, h), 2)  # an unknown duration has no place
+        "moving_avg_session_duration": ratio(c("_ma_sum").cast("double"), c("_ma_n"), 2),
+        "historical_percentile_session_duration": F.when(known == 0, F.lit(50.0)).when(
+            c("_x").isNotNull(), round_dp(F.lit(100.0) * c("_le") / F.when(known > 0, known), 2)  # an unknown duration has no place
         ),
         "history_length": h.cast("int"),
         "new_entity_flag": h == 0,
@@ -371,21 +392,16 @@ def engineer_features(
     """
     config, skew = config or FeatureConfig(), skew or SkewConfig()
     events = add_optional_columns(require_columns(events, schemas.REQUIRED_EVENT_COLUMNS, "events"))
-    counts = events.groupBy(KEY).agg(
-        F.count("*").alias("_rows"), F.min("session_duration").alias("_low"), F.max("session_duration").alias("_high")
-    )
-    span = counts.agg(F.max("_rows"), F.min("_low"), F.max("_high")).first()
-    longest, low, high = (value or 0 for value in span)
-    levels = max(1, -(-max(int(high - low).bit_length(), 1) // DIGIT_BITS))
+    longest = events.groupBy(KEY).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0
     hot = hot_keys(events, KEY, skew) if longest > skew.hot_rows else None
-    rows = prepared(events).withColumn("_v", F.col("_x") - F.lit(int(low)))
+    rows = prepared(events)
     if hot is None:
-        raw = _single_pass(rows, entities, config, skew, levels)
+        raw = _single_pass(rows, entities, config, skew, longest)
     else:
         cold_rows, hot_rows = split_hot(rows, KEY, hot)
         hot_rows = join_entity_static(hot_rows, entities, skew, hot)
-        raw = _single_pass(cold_rows, entities, config, skew, levels).unionByName(
-            _blocked_pass(hot_rows, config, skew, levels)
+        raw = _single_pass(cold_rows, entities, config, skew, min(longest, skew.hot_rows)).unionByName(
+            _blocked_pass(hot_rows, config, skew, longest)
         )
     return raw.select(
         *events.columns,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -34,6 +34,11 @@ class StreamConfig:
     expiry_ms: int | None = None
     files: int = 16
 
+    @property
+    def bucket_ms(self) -> int:
+        """Event time of the waiting rows that are stored, and come out, together."""
+        return max(1000, int(pd.Timedelta(self.late).total_seconds() * 1000) // 64)
+
 
 #: Entity of the row that ends a finite stream (see ``closing_row``); it never appears in an output.
 END_ENTITY = "\x7fend-of-stream"
@@ -43,15 +48,18 @@ class InOrder(StatefulProcessor):
     """Hands each entity's rows to ``advance`` in (timestamp, event_id) order, however they arrive.
 
     Rows wait in state until the watermark has passed them: then no accepted row can come before them any
-    more, so the result does not depend on arrival order or on how files fall into micro-batches.
+    more, so the result does not depend on arrival order or on how files fall into micro-batches. They wait
+    in buckets of event time and come out a bucket at a time, so a row is stored once and read once, however
+    long the lateness and however many rows wait behind it.
     """
 
-    def __init__(self, expiry_ms: int | None) -> None:
-        self.expiry_ms = expiry_ms
+    def __init__(self, config: StreamConfig) -> None:
+        self.expiry_ms, self.bucket_ms = config.expiry_ms, config.bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "low bigint, high bigint, rows binary")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "rows binary")
+        self.parts = handle.getValueState("parts", "next bigint")
         self.newest = handle.getValueState("newest", "ms bigint")
         self.open_state(handle)
 
@@ -69,39 +77,32 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        chunk = _chunk(batch)
-        self.waiting.appendList([chunk])
-        self.handle.registerTimer(_due(chunk[0]))
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        bucket = (_micros(batch) // (1000 * self.bucket_ms)).to_numpy()
+        for b in np.unique(bucket).tolist():
+            self.waiting.updateValue((b, part), (_packed(batch[bucket == b]),))
+            self.handle.registerTimer((b + 1) * self.bucket_ms)
+        self.parts.update((part + 1,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        ready, rest = [], []
-        for low, high, data in self.waiting.get():
-            if low > passed * 1000:
-                rest.append((low, high, data))
-                continue
-            rows = pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
-            if high > passed * 1000:
-                due = _micros(rows) <= passed * 1000
-                rest.append(_chunk(rows[~due]))
-                rows = rows[due]
-            ready.append(rows)
-        if ready:
-            batch = pd.concat(ready, ignore_index=True).sort_values(["timestamp", "event_id"], ignore_index=True)
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(_due(min(r[0] for r in rest)))
-            else:
-                self.waiting.clear()
+        held = list(self.waiting.keys())
+        due = sorted((b, part) for b, part in held if (b + 1) * self.bucket_ms <= passed)
+        if due:
+            ready = pd.concat([pa.ipc.open_stream(bytes(self.waiting.getValue(k)[0])).read_all().to_pandas() for k in due], ignore_index=True)
+            for k in due:
+                self.waiting.removeKey(k)
+            batch = ready.sort_values(["timestamp", "event_id"], ignore_index=True)
             for part in self._between_silences(batch):
                 yield self.advance(part)
             newest = int(_micros(batch).iloc[-1] // 1000)
             self.newest.update((newest,))
             if self.expiry_ms is not None:
                 self.handle.registerTimer(newest + self.expiry_ms + 1)
-        elif self.expiry_ms is not None and not rest and self.newest.exists() and self.newest.get()[0] + self.expiry_ms < passed:
+        elif self.expiry_ms is not None and not held and self.newest.exists() and self.newest.get()[0] + self.expiry_ms < passed:
             self.newest.clear()
+            self.parts.clear()
             self.clear_state()
 
     def _between_silences(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -126,18 +127,13 @@ def _micros(rows: pd.DataFrame) -> pd.Series:
     return rows["timestamp"].astype("datetime64[us]").astype("int64")
 
 
-def _due(us: int) -> int:
-    """The first millisecond at which a watermark has passed ``us``."""
-    return int(-(-us // 1000)) + 1
-
-
-def _chunk(rows: pd.DataFrame) -> tuple[int, int, bytes]:
-    """Rows as a state entry: their time span, and themselves as an Arrow stream."""
-    data, us = pa.Table.from_pandas(rows, preserve_index=False), _micros(rows)
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as an Arrow stream."""
+    data = pa.Table.from_pandas(rows, preserve_index=False)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, data.schema) as writer:
         writer.write_table(data)
-    return int(us.min()), int(us.max()), sink.getvalue().to_pybytes()
+    return sink.getvalue().to_pybytes()
 
 
 class PreviousResource(InOrder):
@@ -157,107 +153,208 @@ class PreviousResource(InOrder):
         self.last.clear()
 
 
+#: Sums that may pass 64 bits leave the worker as two words: high and low, with so many bits in the low one.
+WIDE_BITS = {"_s_x": 30, "_s_xx": 60, "_ma_sum": 30}
 RAW_FEATURES = {
     "_rn": "bigint", "_n_device": "bigint", "_n_resource": "bigint", "_n_geo": "bigint", "_n_os": "bigint", "_n_mac": "bigint",
     "_le": "bigint", "_prev_us": "bigint", "_prev_geo": "string", "_prev_country": "string", "previous_resource": "string",
-    "_ma_sum": "bigint", "_ma_n": "bigint", "_drift_new": "bigint", "_drift_all": "int", "_s_ok": "bigint", "_s_mfa": "bigint",
-    "_s_city": "bigint", "_s_res": "bigint", "_s_x": "bigint", "_s_xx": "bigint", "_last_ok": "bigint", "_older": "bigint",
+    "_ma_n": "bigint", "_drift_new": "bigint", "_drift_all": "bigint", "_s_ok": "bigint", "_s_mfa": "bigint",
+    "_s_city": "bigint", "_s_res": "bigint", "_n_x": "bigint", "_last_ok": "bigint", "_older": "bigint",
+    **{f"{name}_{word}": "bigint" for name in WIDE_BITS for word in ("high", "low")},
 }
-TOTALS = ("_s_ok", "_s_mfa", "_s_city", "_s_res", "_s_x", "_s_xx")
+#: Running counts, in the order in which the state holds them.
+COUNTS = ("_s_ok", "_s_mfa", "_s_city", "_s_res", "_n_x")
+LIMB = 30
+MASK = (1 << LIMB) - 1
+
+
+def _carried(limbs: list[np.ndarray]) -> list[np.ndarray]:
+    """The same numbers with every limb but the last below 2^30."""
+    limbs = [limb.copy() for limb in limbs]
+    for low, high in zip(limbs[:-1], limbs[1:]):
+        high += low >> LIMB
+        low &= MASK
+    return limbs
+
+
+def square_limbs(x: np.ndarray) -> list[np.ndarray]:
+    """The squares of 64-bit integers as five limbs of 30 bits, lowest first."""
+    a = np.abs(x).astype(np.uint64)  # the smallest integer stays negative, and is its own size without a sign
+    low, mid, top = ((a >> np.uint64(LIMB * k)).astype(np.int64) & MASK for k in range(3))
+    return _carried([low * low, 2 * low * mid, 2 * low * top + mid * mid, 2 * mid * top, top * top])
+
+
+def _running(start: list[int], steps: list[np.ndarray]) -> list[np.ndarray]:
+    """Limbs of the running sums, the start included; one entry more than there are steps."""
+    return _carried([np.cumsum(np.concatenate(([before], step))) for before, step in zip(start, steps, strict=True)])
+
+
+def _window(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the ``width`` values before each position."""
+    upto = np.concatenate(([0], np.cumsum(values)))
+    return upto[at] - upto[np.maximum(0, at - width)]
+
+
+class DigitCounts:
+    """Order statistics of 64-bit integers in state: a radix tree of counts.
+
+    Integers are classed by sign and number of base-16 digits; ``classes`` holds a count per class. Within a
+    class there is a node for every run of leading digits that occurs, with a count for each digit that may
+    follow. An integer touches one node per digit, so what a micro-batch reads and writes is proportional to
+    its own integers, whatever the state holds.
+    """
+
+    ZERO = 16
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str) -> None:
+        self.classes = handle.getValueState(f"{name}Classes", "n array<bigint>")
+        self.nodes = handle.getMapState(f"{name}Nodes", "class int, level int, lead bigint", "n array<bigint>")
+
+    def clear(self) -> None:
+        self.classes.clear()
+        self.nodes.clear()
+
+    @classmethod
+    def class_of(cls, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, the digits as a number that is not negative); a negative integer is taken as its complement."""
+        z = np.where(x < 0, ~x, x)
+        digits = np.ones(len(x), np.int64)
+        for k in range(1, 16):
+            digits += z >> (4 * k) > 0
+        return np.where(x < 0, cls.ZERO - digits, cls.ZERO + digits), z
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        """How many stored integers are at most each of ``x``; stores them afterwards."""
+        totals = np.array(self.classes.get()[0] if self.classes.exists() else [0] * (2 * self.ZERO + 1), np.int64)
+        kind, z = self.class_of(x)
+        found = np.concatenate(([0], np.cumsum(totals)))[kind]
+        for c in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == c)
+            below = self._below_and_add(c, z[own], inclusive=c > self.ZERO)
+            # Of negative integers the complements run the other way.
+            found[own] += below if c > self.ZERO else totals[c] - below
+        self.classes.update(((totals + np.bincount(kind, minlength=len(totals))).tolist(),))
+        return found
+
+    def _below_and_add(self, kind: int, z: np.ndarray, inclusive: bool) -> np.ndarray:
+        found = np.zeros(len(z), np.int64)
+        for level in range(abs(kind - self.ZERO)):
+            lead = z >> (4 * level + 4) if level < 15 else np.zeros_like(z)
+            digit = (z >> (4 * level)) & 15
+            leads, node = np.unique(lead, return_inverse=True)
+            counts = np.zeros((len(leads), 16), np.int64)
+            for i, one in enumerate(leads.tolist()):
+                if (stored := self.nodes.getValue((kind, level, one))) is not None:
+                    counts[i] = stored[0]
+            before = np.cumsum(counts, axis=1)
+            if not (inclusive and level == 0):
+                before = before - counts
+            found += before[node, digit]
+            np.add.at(counts, (node, digit), 1)
+            for one, row in zip(leads.tolist(), counts.tolist(), strict=True):
+                self.nodes.updateValue((kind, level, one), (row,))
+        return found
 
 
 class PriorTotals(InOrder):
     """Adds to each event the raw prior quantities the feature expressions need.
 
-    State per entity: totals, the last event, the tail the short windows look at,
-    the counts of each seen value, and a histogram of whole-second durations.
-    Within a micro-batch everything is vectorised.
+    State per entity: totals, the last event, the tail the short windows look at, the counts of each seen
+    value, and digit counts of the durations. Within a micro-batch everything is vectorised; durations of any
+    size are summed and squared without loss, and an unknown one counts nowhere.
     """
 
-    def __init__(self, config: fe.FeatureConfig, expiry_ms: int | None) -> None:
-        super().__init__(expiry_ms)
-        self.config = config
+    def __init__(self, features: fe.FeatureConfig, config: StreamConfig) -> None:
+        super().__init__(config)
+        self.features = features
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
-        totals = ", ".join(f"{name} bigint" for name in TOTALS)
         self.totals = handle.getValueState(
-            "totals", f"n bigint, last_ok bigint, dropped bigint, us bigint, geo string, country string, {totals}"
-        )
-        self.tail = handle.getValueState(
-            "tail", "x array<bigint>, resource array<string>, fresh array<bigint>, us array<bigint>"
+            "totals",
+            "n bigint, last_ok bigint, dropped bigint, us bigint, geo string, country string, counts array<bigint>, x array<bigint>, xx array<bigint>",
         )
-        self.histogram = handle.getValueState("histogram", "x array<bigint>, n array<bigint>")
+        self.tail = handle.getValueState("tail", "x array<bigint>, known array<bigint>, resource array<string>, fresh array<bigint>, us array<bigint>")
+        self.durations = DigitCounts(handle, "durations")
         self.seen = handle.getMapState("seen", "value string", "n bigint")
 
     def _occurrences(self, column: str, values: pd.Series) -> np.ndarray:
         """Earlier rows with the same value, before and within this batch."""
         counts = values.groupby(values).cumcount().astype("int64")
         sizes = values.value_counts()
-        known = {v: self.seen.getValue((f"{column}|{v}",))[0] if self.seen.containsKey((f"{column}|{v}",)) else 0 for v in sizes.index}
+        stored = {v: self.seen.getValue((f"{column}|{v}",)) for v in sizes.index}
+        known = {v: n[0] if n is not None else 0 for v, n in stored.items()}
         for value, size in sizes.items():
             self.seen.updateValue((f"{column}|{value}",), (int(known[value] + size),))
         return (counts + values.map(known).astype("int64")).to_numpy()
 
-    def _not_above(self, x: np.ndarray) -> np.ndarray:
-        """Earlier durations that are at most this one."""
-        stored = self.histogram.get() if self.histogram.exists() else ([], [])
-        bounds, sizes = np.array(stored[0], dtype="int64"), np.array(stored[1], dtype="int64")
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        found = upto[np.searchsorted(bounds, x, side="right")]
-        found = found + _earlier_not_above(x)
-        merged = pd.Series(np.concatenate((sizes, np.ones(len(x), dtype="int64")))).groupby(np.concatenate((bounds, x))).sum()
-        self.histogram.update((merged.index.tolist(), merged.tolist()))
-        return found
-
     def advance(self, batch: pd.DataFrame) -> pd.DataFrame:
-        cfg, m = self.config, len(batch)
-        start = self.totals.get() if self.totals.exists() else None
-        n, last_ok, dropped = (start[0], start[1], start[2]) if start else (0, 0, 0)
-        before = dict(zip(TOTALS, start[6:])) if start else dict.fromkeys(TOTALS, 0)
-        tail = self.tail.get() if self.tail.exists() else ([], [], [], [])
-        us, x = batch["s_us"].to_numpy("int64"), batch["s_x"].to_numpy("int64")
+        cfg, m = self.features, len(batch)
+        start = self.totals.get() if self.totals.exists() else (0, 0, 0, None, None, None, [0] * len(COUNTS), [0, 0], [0] * 5)
+        n, last_ok, dropped, last_us, last_geo, last_country, before_counts, before_x, before_xx = start
+        tail = self.tail.get() if self.tail.exists() else ([], [], [], [], [])
+        us, x, known = batch["s_us"].to_numpy("int64"), batch["s_xv"].to_numpy("int64"), batch["s_xk"].to_numpy(bool)
         ok = batch["s_ok"].to_numpy(bool)
         out = {"_rn": n + 1 + np.arange(m)}
         for column, name in fe.TRACKED.items():
             out[name] = self._occurrences(column, batch[column].where(batch[column].notna(), "\0"))
         fresh = (out["_n_resource"] == 0).astype("int64")
         geo, country, resource = (batch[c].tolist() for c in ("geo_location", "s_country", "resource_accessed"))
-        out["_prev_us"] = pd.array([start[3] if start else None, *us[:-1].tolist()], dtype="Int64")
-        out["_prev_geo"] = [start[4] if start else None, *geo[:-1]]
-        out["_prev_country"] = [start[5] if start else None, *country[:-1]]
-        out["previous_resource"] = [tail[1][-1] if tail[1] else None, *resource[:-1]]
+        out["_prev_us"] = pd.array([last_us, *us[:-1].tolist()], dtype="Int64")
+        out["_prev_geo"] = [last_geo, *geo[:-1]]
+        out["_prev_country"] = [last_country, *country[:-1]]
+        out["previous_resource"] = [tail[2][-1] if tail[2] else None, *resource[:-1]]
         # Short windows: the stored tail in front of the batch.
-        all_x, all_r, all_f = [*tail[0], *x.tolist()], [*tail[1], *resource], [*tail[2], *fresh.tolist()]
         at = len(tail[0]) + np.arange(m)
-        ma = [all_x[max(0, i - cfg.moving_average_window):i] for i in at]
-        out["_ma_sum"], out["_ma_n"] = [sum(w) for w in ma], [len(w) for w in ma]
-        lows = [max(0, i - cfg.drift_window) for i in at]
-        out["_drift_new"] = [sum(all_f[low:i]) for low, i in zip(lows, at)]
-        out["_drift_all"] = [len(set(all_r[low:i])) for low, i in zip(lows, at)]
-        moved = np.array([p is not None and p != g for p, g in zip(out["_prev_geo"], geo)])
-        steps = {
-            "_s_ok": ok, "_s_mfa": batch["auth_method"].to_numpy() == "mfa", "_s_city": moved, "_s_res": fresh, "_s_x": x, "_s_xx": x * x,
-        }
-        after = {}
-        for name, step in steps.items():
-            running = before[name] + np.concatenate(([0], np.cumsum(step.astype("int64"))))
-            out[name], after[name] = running[:-1], int(running[-1])
+        all_x, all_known = np.concatenate((np.array(tail[0], "int64"), x)), np.concatenate((np.array(tail[1], "int64"), known))
+        all_resources, all_fresh = [*tail[2], *resource], np.concatenate((np.array(tail[3], "int64"), fresh))
+        low, high = (_window(word, at, cfg.moving_average_window) for word in (all_x & MASK, all_x >> LIMB))
+        out["_ma_sum_low"], out["_ma_sum_high"] = _carried([low, high])
+        out["_ma_n"] = _window(all_known, at, cfg.moving_average_window)
+        out["_drift_new"] = _window(all_fresh, at, cfg.drift_window)
+        out["_drift_all"] = _distinct_before(all_resources, at, cfg.drift_window)
+        moved = np.array([p is not None and p != g for p, g in zip(out["_prev_geo"], geo)], bool)
+        steps = {"_s_ok": ok, "_s_mfa": batch["auth_method"].to_numpy() == "mfa", "_s_city": moved, "_s_res": fresh, "_n_x": known}
+        counts = [_running([begin], [np.asarray(steps[name], "int64")])[0] for name, begin in zip(COUNTS, before_counts, strict=True)]
+        for name, count in zip(COUNTS, counts, strict=True):
+            out[name] = count[:-1]
+        sums = _running(before_x, [x & MASK, x >> LIMB])
+        squares = _running(before_xx, square_limbs(x))
+        if squares[4][-1] >= 8:
+            raise OverflowError("the squares of an entity's durations pass 123 bits")
+        out["_s_x_low"], out["_s_x_high"] = (word[:-1] for word in sums)
+        out["_s_xx_low"] = (squares[0] + (squares[1] << LIMB))[:-1]
+        out["_s_xx_high"] = (squares[2] + (squares[3] << LIMB) + (squares[4] << 2 * LIMB))[:-1]
         ok_at = np.maximum.accumulate(np.concatenate(([last_ok], np.where(ok, out["_rn"], 0))))
         out["_last_ok"] = ok_at[:-1]
-        recent = np.concatenate((np.array(tail[3], dtype="int64"), us))
+        recent = np.concatenate((np.array(tail[4], dtype="int64"), us))
         out["_older"] = dropped + np.searchsorted(recent, us - cfg.burst_us, side="left")
-        out["_le"] = self._not_above(x)
+        out["_le"] = np.zeros(m, np.int64)
+        if known.any():
+            out["_le"][known] = self.durations.add(x[known]) + _earlier_not_above(x[known])
         cut = int(np.searchsorted(recent, us[-1] - cfg.burst_us, side="left"))
         keep = cfg.lookback
-        self.totals.update((n + m, int(ok_at[-1]), dropped + cut, int(us[-1]), geo[-1], country[-1], *[after[t] for t in TOTALS]))
-        self.tail.update((all_x[-keep:], all_r[-keep:], all_f[-keep:], recent[cut:].tolist()))
+        last = [[int(word[-1]) for word in words] for words in (counts, sums, squares)]
+        self.totals.update((n + m, int(ok_at[-1]), dropped + cut, int(us[-1]), geo[-1], country[-1], *last))
+        self.tail.update((all_x[-keep:].tolist(), all_known[-keep:].tolist(), all_resources[-keep:], all_fresh[-keep:].tolist(), recent[cut:].tolist()))
         return batch.assign(**{_shown(name): out[name] for name in RAW_FEATURES})
 
     def clear_state(self) -> None:
-        for state in (self.totals, self.tail, self.histogram, self.seen):
+        for state in (self.totals, self.tail, self.durations, self.seen):
             state.clear()
 
 
+def _distinct_before(values: list, at: np.ndarray, width: int) -> np.ndarray:
+    """How many different values, nulls apart, stand on the ``width`` places before each position."""
+    codes = pd.factorize(pd.Series(values, dtype=object))[0]
+    last = pd.Series(np.arange(len(codes))).groupby(codes).shift(1).fillna(-1).to_numpy("int64")
+    found = np.zeros(len(at), np.int64)
+    for back in range(1, width + 1):
+        place = np.maximum(at - back, 0)
+        # The first of its value in the window.
+        found += (at >= back) & (codes[place] >= 0) & (last[place] < np.maximum(at - width, 0))
+    return found
+
+
 def _earlier_not_above(x: np.ndarray) -> np.ndarray:
     """How many earlier elements are at most each element: merging sorted halves, bottom up."""
     n = len(x)
@@ -282,6 +379,11 @@ def _shown(name: str) -> str:
     return f"s{name}" if name.startswith("_") else name
 
 
+def _joined_words(name: str, bits: int) -> Column:
+    wide = "decimal(38,0)"
+    return F.col(_shown(f"{name}_high")).cast(wide) * F.lit(1 << bits).cast("decimal(19,0)") + F.col(_shown(f"{name}_low")).cast(wide)
+
+
 def _with(schema: T.StructType, columns: dict[str, str]) -> T.StructType:
     extra = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
     return T.StructType([*schema.fields, *extra.fields])
@@ -309,7 +411,7 @@ def stream_detect(
     config = config or StreamConfig()
     columns = [c for c in de.EVENT_COLUMNS if c != "previous_resource"]
     rows = _stateful(
-        engineered.select(*columns), PreviousResource(config.expiry_ms), {"previous_resource": "string"}, config
+        engineered.select(*columns), PreviousResource(config), {"previous_resource": "string"}, config
     )
     return de.score(de.join_profile(rows, latest, SkewConfig(), None), detection or de.DetectConfig())
 
@@ -320,10 +422,17 @@ def stream_features(
     """Engineer the features of a stream of access events; only the prior quantities come from state."""
     features, config = features or fe.FeatureConfig(), config or StreamConfig()
     prepared = fe.prepared(events)
-    shown = prepared.select(*[F.col(c).alias(_shown(c)) for c in prepared.columns])
+    # Pandas has no null among integers: a duration travels as a number and whether it is known.
+    plain = [c for c in prepared.columns if c not in ("_x", "session_duration")]
+    shown = prepared.select(*[F.col(c).alias(_shown(c)) for c in plain], F.coalesce("_x", F.lit(0)).alias("s_xv"), F.col("_x").isNotNull().alias("s_xk"))
     raw = {_shown(name): kind for name, kind in RAW_FEATURES.items()}
-    rows = _stateful(shown, PriorTotals(features, config.expiry_ms), raw, config)
-    rows = rows.select(*[F.col(_shown(c)).alias(c) for c in (*prepared.columns, *RAW_FEATURES)])
+    rows = _stateful(shown, PriorTotals(features, config), raw, config)
+    duration = F.when(F.col("s_xk"), F.col("s_xv"))
+    kind = prepared.schema["session_duration"].dataType
+    rows = rows.select(
+        *[F.col(_shown(c)).alias(c) for c in (*plain, *RAW_FEATURES)], duration.alias("_x"), duration.cast(kind).alias("session_duration"),
+        *[_joined_words(name, bits).alias(name) for name, bits in WIDE_BITS.items()],
+    )
     joined = fe.join_entity_static(rows, entities, SkewConfig(), None)
     return joined.select(
         *REQUIRED_EVENT_COLUMNS, *OPTIONAL_EVENT_COLUMNS,
@@ -333,6 +442,7 @@ def stream_features(
 
 def run_available(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Process what the source holds now, into parquet, and stop. The checkpoint makes a restart resume."""
+    stream.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", REPORTS)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start(target)
@@ -341,6 +451,18 @@ def run_available(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
     return query
 
 
+#: Progress reports a query keeps, so that ``late_count`` sees all micro-batches of a run.
+REPORTS = 100_000
+
+
+def late_count(query: StreamingQuery) -> int:
+    """How many rows a query has left out because they came after the watermark had passed them, over all its micro-batches."""
+    reports = query.recentProgress
+    if len(reports) >= REPORTS:
+        raise RuntimeError(f"only the last {REPORTS} micro-batches are known")
+    return sum(op.numRowsDroppedByWatermark for report in reports for op in report.stateOperators)
+
+
 def replay(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream from a fresh state (a new checkpoint location) and read its output."""
     spark = stream.sparkSession
@@ -360,7 +482,7 @@ def closing_row(df: DataFrame, after: str = "1 day") -> DataFrame:
 def late_rows(source: DataFrame, output: DataFrame) -> DataFrame:
     """The side output: rows of a closed stream's source that came after the watermark had passed them.
 
-    Progress reports keep only the newest batches, so rows are compared instead, by entity and event.
+    ``late_count`` tells how many there are; rows are compared by entity and event.
     """
     keys = [KEY, "event_id"]
     return source.filter(F.col(KEY) != END_ENTITY).join(output.select(*keys), keys, "left_anti")
