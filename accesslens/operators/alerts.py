@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from accesslens import schemas
 from accesslens.operators.explain import topk_contributors
 from accesslens.operators.profiles import KEY, Profiles
-from accesslens.operators.scan import SkewConfig, running_totals, with_context
+from accesslens.operators.scan import running_totals, slot
 
 # Report sizes.
 ALERTS_PER_TYPE = 45
@@ -34,26 +34,23 @@ def topk_alerts_per_type(classified: DataFrame, k: int = ALERTS_PER_TYPE) -> Dat
     return classified.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).drop("_place")
 
 
-def alert_history_window(
-    engineered: DataFrame, wanted: DataFrame, skew: SkewConfig | None = None, events: int = HISTORY_EVENTS
-) -> DataFrame:
-    """For each wanted event id, its entity's last events up to and including it, oldest first.
+def alert_history_window(engineered: DataFrame, wanted: DataFrame, events: int = HISTORY_EVENTS) -> DataFrame:
+    """For each wanted event (entity_id, event_id), its entity's last events up to and including it, oldest first.
 
-    ``history_length`` is the event's position, so an entity of any length is cut
-    into blocks with ``events`` − 1 rows of overlap and no range join is needed.
+    ``history_length`` is an event's position in its entity, so a wanted event names the positions it needs, and
+    these meet the events in one equi-join on entity and position. Entities of any length spread over all tasks,
+    no history is sorted, and a small ``wanted`` lets Spark send it to the events instead of moving them.
     """
-    skew = skew or SkewConfig()
     columns = tuple(HISTORY_FIELDS.values())
-    involved = engineered.join(wanted.select("event_id"), "event_id", "left_semi").select(KEY).distinct()
-    rows = (
-        engineered.select(KEY, "event_id", *columns, (F.col("history_length") + 1).alias("_rn"))
-        .join(involved, KEY, "left_semi")
-    )
-    # Placed by block explicitly: rows already placed by entity would otherwise stay together.
-    blocks = with_context(rows, "_rn", skew, before=events - 1).repartition(KEY, "_block")
-    recent = Window.partitionBy(KEY, "_block").orderBy("timestamp", "event_id").rowsBetween(-(events - 1), 0)
-    listed = blocks.select("event_id", "_copy", F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in HISTORY_FIELDS.items()])).over(recent).alias("history"))
-    return listed.filter(~F.col("_copy")).drop("_copy").join(wanted.select("event_id"), "event_id", "left_semi")
+    if "history_length" not in wanted.columns:
+        wanted = wanted.select(KEY, "event_id").join(engineered.select(KEY, "event_id", "history_length"), [KEY, "event_id"])
+    first = F.greatest(F.col("history_length") - (events - 1), F.lit(0))
+    needed = wanted.select(KEY, "event_id", F.explode(F.sequence(first, F.col("history_length"))).alias("_at"))
+    # One column for both keys: rows placed by entity must not count as placed by position.
+    needed = needed.select(KEY, "event_id", "_at", slot(KEY, "_at").alias("_slot"))
+    shown = engineered.select(slot(KEY, "history_length").alias("_slot"), F.struct(*[F.col(c).alias(n) for n, c in HISTORY_FIELDS.items()]).alias("_shown"))
+    listed = needed.join(shown, "_slot").groupBy(KEY, "event_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_shown"))).alias("_rows"))
+    return listed.select(KEY, "event_id", F.transform("_rows", lambda r: r["_shown"]).alias("history"))
 
 
 def alert_profile_baseline(core: DataFrame) -> DataFrame:
@@ -69,21 +66,21 @@ def join_entity_meta(alerts: DataFrame, entities: DataFrame) -> DataFrame:
 def join_alert_inputs(
     classified: DataFrame, detection: DataFrame, explained: DataFrame, engineered: DataFrame
 ) -> DataFrame:
-    """Classification with deviations, explanation and features, all by event id."""
+    """Classification with deviations, explanation and features, all by entity and event."""
     feature_columns = (
         "login_result", "login_hour", "session_duration", "resource_accessed", "device_fingerprint", "geo_location",
-        "consecutive_failures", "geo_velocity_kmh", "auth_method", "sensitive_resource_access",
+        "consecutive_failures", "geo_velocity_kmh", "auth_method", "sensitive_resource_access", "history_length",
     )
     return (
         classified.join(detection.select(KEY, "event_id", *schemas.DEVIATION_COLUMNS), [KEY, "event_id"], "left")
         .join(
             explained.select(
-                "event_id", "confidence_level", "contributions", "confidence_narrative", "actions",
+                KEY, "event_id", "confidence_level", "contributions", "confidence_narrative", "actions",
                 F.concat_ws(
                     " ", "behaviour_deviation", "historical_comparison", "feature_impact", "attack_indicators"
                 ).alias("evidence_summary"),
             ),
-            "event_id",
+            [KEY, "event_id"],
             "left",
         )
         .join(engineered.select(KEY, "event_id", *feature_columns), [KEY, "event_id"], "left")
@@ -103,12 +100,12 @@ def alert_contributions(contributions: Column) -> Column:
 
 def build_alerts(
     classified: DataFrame, detection: DataFrame, explained: DataFrame, engineered: DataFrame, entities: DataFrame,
-    latest: Profiles, skew: SkewConfig | None = None, per_type: int | None = None,
+    latest: Profiles, per_type: int | None = None,
 ) -> DataFrame:
     """The alert feed: every flagged event, or the riskiest ``per_type`` of each type, before the wide joins."""
     sample = classified if per_type is None else topk_alerts_per_type(classified, per_type)
     df = join_entity_meta(join_alert_inputs(sample, detection, explained, engineered), entities)
-    df = df.join(alert_history_window(engineered, sample, skew), "event_id", "left")
+    df = df.join(alert_history_window(engineered, df), [KEY, "event_id"], "left")
     df = df.join(alert_profile_baseline(latest.core), KEY, "left")
     camel = {
         "eventId": "event_id", "entityId": "entity_id", "entityType": "entity_type", "department": "department",

@@ -225,9 +225,9 @@ def dq_contribution_sum(explained: DataFrame, tolerance: float = 0.05) -> DataFr
 
 
 def dq_confidence_consistent(explained: DataFrame, classified: DataFrame) -> DataFrame:
-    source = classified.select("event_id", F.col("confidence").alias("_source"))
+    source = classified.select(KEY, "event_id", F.col("confidence").alias("_source"))
     rules = _ranges(("confidence",), UNIT) | {"confidence differs from classification": F.col("confidence") != F.col("_source")}
-    return violations(explained.join(source, "event_id"), "confidence_level_consistency", rules, "event_id")
+    return violations(explained.join(source, [KEY, "event_id"]), "confidence_level_consistency", rules, "event_id")
 
 
 def dq_recommendations_present(explained: DataFrame) -> DataFrame:

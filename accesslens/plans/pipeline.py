@@ -146,7 +146,6 @@ class Pipeline:
         return self.stage(
             "alerts",
             lambda: al.build_alerts(
-                self.classified(), self.detection(), self.explained(), self.engineered(), self.entities(),
-                self.latest(), self.skew,
+                self.classified(), self.detection(), self.explained(), self.engineered(), self.entities(), self.latest(),
             ),
         )

@@ -211,11 +211,23 @@ def test_pages_are_clamped(pipeline):
     assert al.paginate_alerts(alerts, 1).count() == min(n, al.PAGE_SIZE)
 
 
-def test_alert_history_is_cut_by_blocks_without_loss(pipeline):
-    wanted = pipeline.engineered().select("event_id")
-    whole = al.alert_history_window(pipeline.engineered(), wanted)
-    blocks = al.alert_history_window(pipeline.engineered(), wanted, SkewConfig(hot_rows=16, block_rows=16))
-    assert whole.count() == 1000 and whole.exceptAll(blocks).isEmpty()
+def test_alert_history_is_found_by_position(pipeline):
+    engineered = pipeline.engineered()
+    found = {r.event_id: r.history for r in al.alert_history_window(engineered, engineered.select("entity_id", "event_id")).collect()}
+    by_entity = {}
+    for r in engineered.orderBy("entity_id", "timestamp", "event_id").collect():
+        by_entity.setdefault(r.entity_id, []).append(r)
+    assert len(found) == sum(map(len, by_entity.values())) == 1000
+    for rows in by_entity.values():
+        for i, r in enumerate(rows):
+            assert [tuple(h) for h in found[r.event_id]] == [tuple(q[c] for c in al.HISTORY_FIELDS.values()) for q in rows[max(0, i - 11) : i + 1]]
+
+
+def test_alerts_move_no_events_by_event_alone(pipeline):
+    p = pipeline
+    plan = al.build_alerts(p.classified(), p.detection(), p.explained(), p.engineered(), p.entities(), p.latest())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" not in text and "Window" not in text
 
 
 def test_blank_search_finds_all(pipeline):
