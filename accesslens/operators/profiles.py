@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from accesslens.functions.numeric import cosine_gap, ratio, round_dp, sample_std, scaled
 from accesslens.functions.text import blank_to_null, split_list
 from accesslens.operators.scan import SkewConfig, hot_keys, ranked, with_context
-from accesslens.session import listing, written
+from accesslens.session import listing, remove, written
 
 KEY = "entity_id"
 SHARE_DP = 4
@@ -37,14 +37,21 @@ class Profiles:
     values       entity × (resource, device, location) value with its share
     transitions  entity × (command, resource) state pair with its probability
     sequences    the entity's most frequent resource trigrams
+    departments  the common resources of each department at the time of a build
+    build        name of the build, from its time
+    snapshot     of a store: the newest version of each entity, kept apart
     """
 
     core: DataFrame
     values: DataFrame
     transitions: DataFrame
     sequences: DataFrame
+    departments: DataFrame | None = None
+    build: str | None = None
+    snapshot: Profiles | None = None
 
     def parts(self) -> dict[str, DataFrame]:
+        """What is kept by entity and version."""
         return {
             "core": self.core, "values": self.values, "transitions": self.transitions, "sequences": self.sequences,
         }
@@ -85,16 +92,17 @@ def with_share(uses: DataFrame, group: list[str], name: str) -> DataFrame:
 
 def statistical(normal: DataFrame) -> DataFrame:
     """Counts, moments and rates per entity, through per-day partial sums."""
-    hour, x = F.col("login_hour").cast("long"), F.col("session_duration").cast("long")
+    # Wide before they are multiplied: one bogus duration must not overflow. An unknown one counts nowhere.
+    hour, x = F.col("login_hour").cast("long"), F.col("session_duration").cast("decimal(19,0)")
     daily = normal.groupBy(KEY, F.to_date("timestamp").alias("day")).agg(
         F.count("*").alias("n"),
         F.sum(hour).alias("h"), F.sum((hour * hour).cast("decimal(38,0)")).alias("hh"),
-        F.sum(x).alias("x"), F.sum((x * x).cast("decimal(38,0)")).alias("xx"),
+        F.count(x).alias("known"), F.sum(x).alias("x"), F.sum(x * x).alias("xx"),
         F.count_if(F.col("login_result") == "failure").alias("failures"),
         F.count_if(F.col("working_hours_deviation") == 0.0).alias("inside"),
     )
     sums = daily.groupBy(KEY).agg(
-        *[F.sum(c).alias(c) for c in ("n", "h", "hh", "x", "xx", "failures", "inside")], F.count("day").alias("days")
+        *[F.sum(c).alias(c) for c in ("n", "h", "hh", "known", "x", "xx", "failures", "inside")], F.count("day").alias("days")
     )
     n = F.col("n")
     return sums.select(
@@ -102,8 +110,8 @@ def statistical(normal: DataFrame) -> DataFrame:
         n.alias("sample_count"),
         ratio(F.col("h"), n, 4).alias("avg_login_hour"),
         round_dp(sample_std(n, F.col("h"), F.col("hh")), 4).alias("login_hour_std"),
-        ratio(F.col("x"), n, 4).alias("avg_session_duration"),
-        round_dp(sample_std(n, F.col("x"), F.col("xx")), 4).alias("session_duration_std"),
+        ratio(F.col("x").cast("double"), F.col("known"), 4).alias("avg_session_duration"),
+        round_dp(sample_std(F.col("known"), F.col("x"), F.col("xx")), 4).alias("session_duration_std"),
         ratio(n, F.greatest(F.col("days"), F.lit(1)), 4).alias("authentication_frequency_per_day"),
         ratio(F.col("failures"), n, 4).alias("failure_rate"),
         ratio(F.col("inside"), n, 4).alias("working_hour_ratio"),
@@ -331,10 +339,16 @@ def build_profiles(
         values.join(versions, KEY),
         transitions.join(versions, KEY),
         common_sequences(steps, config.top_sequences).join(versions, KEY),
+        index.select("department", "resource", "uses", "rank", stamp.alias("updated_at")),
+        str(round(now.timestamp() * 1_000_000)),
     )
 
 
-# ---- the store: one directory per part, partitioned by version, append only ----
+# ---- the store: a log of builds, and a snapshot of the newest versions ----
+#
+#   builds/<part>/build=<name>/version=<n>/   what a build holds; never changed afterwards
+#   latest/build=<name>/<part>/               the newest version of every entity after that build
+#   commits/<name>/                           one row (number, build), written last: the build counts from then on
 
 STORE_DDL = {
     "core": "entity_id string, entity_type string, created_at timestamp, updated_at timestamp, sample_count bigint, "
@@ -347,35 +361,97 @@ STORE_DDL = {
     "transitions": "entity_id string, kind string, from_state string, to_state string, uses bigint, "
     "probability double, version int",
     "sequences": "entity_id string, first string, second string, third string, uses bigint, rank int, version int",
+    "departments": "department string, resource string, uses bigint, rank int, updated_at timestamp",
 }
 
 
-def sink_profiles_append(profiles: Profiles, path: str) -> str:
-    """Append a build; earlier versions stay as they are.
+def commits(spark: SparkSession, path: str) -> list[str]:
+    """Names of the builds a store holds, oldest first; one row each."""
+    if not listing(spark, f"{path}/commits"):
+        return []
+    rows = spark.read.schema("number int, build string").option("recursiveFileLookup", True).parquet(f"{path}/commits")
+    return [r.build for r in sorted(rows.collect(), key=lambda r: r.number)]
 
-    What a part already holds of an (entity, version) is not written again, so
-    a build that broke off or runs twice can be appended again. ``core`` is
-    written last: readers see a version when all its parts are there.
+
+def sink_profiles_append(profiles: Profiles, path: str, build: str | None = None, keep: int = 2) -> str:
+    """Append a build; earlier versions stay as they are, and no row of an earlier build is read for it.
+
+    A build has a name (its time, unless given). One that is committed is not written again; one that broke off
+    is overwritten. The newest versions are the build's own and, of entities it does not hold, those of the
+    snapshot before; of older snapshots the last ``keep`` stay, for readers that still use them. One writer at a time.
     """
-    parts = profiles.parts()
-    for name in sorted(parts, key=lambda n: n == "core"):
-        part, target = parts[name], f"{path}/{name}"
-        if listing(part.sparkSession, target):
-            there = part.sparkSession.read.schema(STORE_DDL[name]).parquet(target).select(KEY, "version").distinct()
-            part = part.join(there, [KEY, "version"], "left_anti").select(*part.columns)
-        part.write.mode("append").partitionBy("version").parquet(target)
+    spark = profiles.core.sparkSession
+    build = build or profiles.build or str(profiles.core.agg(F.max(F.unix_micros("updated_at"))).first()[0] or 0)
+    done = commits(spark, path)
+    if build in done:
+        return path
+    departments = profiles.departments
+    if departments is None:
+        departments = spark.createDataFrame([], STORE_DDL["departments"])
+    for name, part in (profiles.parts() | {"departments": departments}).items():
+        writer = part.write.mode("overwrite")
+        (writer if name == "departments" else writer.partitionBy("version")).parquet(f"{path}/builds/{name}/build={build}")
+    own = {name: spark.read.schema(ddl).parquet(f"{path}/builds/{name}/build={build}") for name, ddl in STORE_DDL.items()}
+    before = scan_snapshot(spark, path, done[-1]) if done else None
+    for name, rows in own.items():
+        if before is not None:
+            rows = _carried_over(before, name, own["core"].select(KEY)).unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{path}/latest/build={build}/{name}")
+    spark.createDataFrame([(len(done) + 1, build)], "number int, build string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{build}")
+    for old in done[: max(0, len(done) + 1 - keep)]:
+        remove(spark, f"{path}/latest/build={old}")
     return path
 
 
+def _carried_over(before: Profiles, name: str, mine: DataFrame) -> DataFrame:
+    """Rows of a snapshot that belong to entities a new build does not hold."""
+    if name != "departments":
+        return before.parts()[name].join(mine, KEY, "left_anti")
+    used = before.core.join(mine, KEY, "left_anti").select("updated_at").distinct()
+    return before.departments.join(used, "updated_at", "left_semi")
+
+
+def scan_snapshot(spark: SparkSession, path: str, build: str) -> Profiles:
+    """The newest version of each entity after a build."""
+    parts = {name: spark.read.schema(ddl).parquet(f"{path}/latest/build={build}/{name}") for name, ddl in STORE_DDL.items()}
+    return Profiles(**parts, build=build)
+
+
 def scan_store(spark: SparkSession, path: str) -> Profiles:
     """Every stored version."""
-    return Profiles(*[spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in STORE_DDL.items()])
+    done = commits(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no profile build in {path}")
+
+    def of(name: str) -> DataFrame:
+        rows = spark.read.schema(f"{STORE_DDL[name]}, build string").parquet(f"{path}/builds/{name}")
+        return rows.filter(F.col("build").isin(done)).drop("build")
+
+    return Profiles(**{name: of(name) for name in STORE_DDL}, snapshot=scan_snapshot(spark, path, done[-1]))
 
 
 def scan_profiles_latest(store: Profiles) -> Profiles:
-    """The newest version of each entity."""
+    """The newest version of each entity: a store keeps it apart, of other rows it is found."""
+    if store.snapshot is not None:
+        return store.snapshot
     newest = store.core.groupBy(KEY).agg(F.max("version").alias("version"))
-    return Profiles(*[part.join(newest, [KEY, "version"]) for part in store.parts().values()])
+    return Profiles(*[part.join(newest, [KEY, "version"]) for part in store.parts().values()], store.departments)
+
+
+def department_common_resources(profiles: Profiles) -> DataFrame:
+    """For every profile, the resources common in its department when it was built: one row each, by rank."""
+    at = profiles.core.select(KEY, "version", "department", "updated_at")
+    return at.join(profiles.departments, ["department", "updated_at"]).select(KEY, "version", "department", "resource", "uses", "rank")
+
+
+def relationship(profiles: Profiles) -> DataFrame:
+    """Per entity: its department with the resources common there, how much it shares of them, and how many values it uses itself."""
+    used = profiles.values.groupBy(KEY).agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in VALUE_KINDS])
+    common = department_common_resources(profiles).groupBy(KEY, "version").agg(F.array_sort(F.collect_list(F.struct("rank", "resource"))).alias("common"))
+    named = F.coalesce(F.transform("common", lambda r: r["resource"]), F.array().cast("array<string>"))
+    core = profiles.core.select(KEY, "version", F.coalesce("department", F.lit("-")).alias("department"), "resource_sharing_score")
+    return core.join(used, KEY).join(common, [KEY, "version"], "left").select(
+        KEY, "department", "resource_sharing_score", *[f"{k}s" for k in VALUE_KINDS], named.alias("department_common_resources"))
 
 
 def scan_profile_history(store: Profiles) -> DataFrame:
@@ -424,7 +500,8 @@ def behaviour_summary(entities: DataFrame, events: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(F.weekday("timestamp") >= 5).alias("weekend"),
         F.count_if(F.col("login_result") == "failure").alias("failures"),
-        F.sum(F.col("session_duration").cast("long")).alias("seconds"),
+        F.sum(F.col("session_duration").cast("decimal(19,0)")).alias("seconds"),
+        F.count("session_duration").alias("known"),
         F.min("timestamp").alias("first_event_at"),
         F.max("timestamp").alias("last_event_at"),
     )
@@ -439,7 +516,7 @@ def behaviour_summary(entities: DataFrame, events: DataFrame) -> DataFrame:
 
     summary = cells.groupBy(KEY).agg(
         F.sum("n").alias("total_events"), F.sum("weekend").alias("weekend"), F.sum("failures").alias("failures"),
-        F.sum("seconds").alias("seconds"), F.min("first_event_at").alias("first_event_at"),
+        F.sum("seconds").alias("seconds"), F.sum("known").alias("known"), F.min("first_event_at").alias("first_event_at"),
         F.max("last_event_at").alias("last_event_at"),
     )
     span = cells.agg(
@@ -459,7 +536,7 @@ def behaviour_summary(entities: DataFrame, events: DataFrame) -> DataFrame:
             F.col("devices").alias("unique_devices_used"), "most_common_hour",
             ratio(F.col("weekend"), n, 6).alias("weekend_event_ratio"),
             ratio(F.col("failures"), n, 6).alias("login_failure_rate"),
-            ratio(F.col("seconds"), n, 6).alias("avg_session_duration_seconds"),
+            ratio(F.col("seconds").cast("double"), F.col("known"), 6).alias("avg_session_duration_seconds"),
             "first_event_at", "last_event_at",
             ratio(n, span, 6).alias("avg_events_per_day"),
         ),

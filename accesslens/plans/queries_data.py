@@ -195,7 +195,10 @@ add(
 )
 add(
     "sink_profiles_append",
-    lambda p: tagged(**{name: part.groupBy("version").agg(F.count("*").alias("rows")) for name, part in p.store().parts().items()}),
+    # The newest build is appended once more, which must change nothing.
+    lambda p: tagged(**{
+        name: part.groupBy("version").agg(F.count("*").alias("rows"))
+        for name, part in pr.scan_store(p.spark, pr.sink_profiles_append(p.latest(), p.store_path())).parts().items()}),
     " UNION ALL ".join(
         f"SELECT '{name}' AS source, {v} AS version, count(*) AS rows FROM {table}{v}"
         for v in (1, 2) for name, table in (("core", "core"), ("values", "val"), ("transitions", "tr"), ("sequences", "seq"))),
@@ -598,8 +601,8 @@ add(
 
 
 def _history(p: Pipeline) -> DataFrame:
-    wanted = p.alerts().select(F.col("eventId").alias("event_id"))
-    return al.alert_history_window(p.engineered(), wanted, p.skew)
+    wanted = p.alerts().select(F.col("entityId").alias("entity_id"), F.col("eventId").alias("event_id"))
+    return al.alert_history_window(p.engineered(), wanted)
 
 
 add(

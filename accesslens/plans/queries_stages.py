@@ -112,12 +112,12 @@ add("profile_department_index", lambda p: pr.department_index(pr.value_frequency
 add("topk_department_resources", lambda p: pr.department_index(p.latest().values, p.entities(), 10), INDEX_SQL, "didx2")
 add(
     "profile_relationship",
-    lambda p: p.latest().core.select("entity_id", F.coalesce("department", F.lit("-")).alias("department"), "resource_sharing_score").join(
-        p.latest().values.groupBy("entity_id").agg(
-            *[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in pr.VALUE_KINDS]), "entity_id"),
-    "SELECT entity_id, coalesce(department, '-') AS department, resource_sharing_score, resources, devices, locations FROM core2 JOIN ("
+    lambda p: pr.relationship(p.latest()).withColumn("department_common_resources", F.array_join("department_common_resources", "|")),
+    "SELECT entity_id, coalesce(department, '-') AS department, resource_sharing_score, resources, devices, locations, "
+    "coalesce(common, '') AS department_common_resources FROM core2 JOIN ("
     "SELECT entity_id, count(DISTINCT resource_accessed) AS resources, count(DISTINCT device_fingerprint) AS devices, "
-    "count(DISTINCT geo_location) AS locations FROM nrm2 GROUP BY 1) USING (entity_id)", "core2", "nrm2",
+    "count(DISTINCT geo_location) AS locations FROM nrm2 GROUP BY 1) USING (entity_id) LEFT JOIN ("
+    "SELECT department, string_agg(resource, '|' ORDER BY rank) AS common FROM didx2 GROUP BY 1) USING (department)", "core2", "nrm2", "didx2",
 )
 add(
     "profile_drift",
@@ -342,7 +342,7 @@ add(
 
 add(
     "build_alerts",
-    lambda p: alert_brief(al.build_alerts(p.classified(), p.detection(), p.explained(), p.engineered(), p.entities(), p.latest(), p.skew)),
+    lambda p: alert_brief(al.build_alerts(p.classified(), p.detection(), p.explained(), p.engineered(), p.entities(), p.latest())),
     ALERT_BRIEF_SQL, "alr", "hist",
 )
 add(

@@ -75,6 +75,12 @@ def listing(spark: SparkSession, folder: str) -> str:
     return "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files.listStatus(target)))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables."""
+    target, files = _file_system(spark, folder)
+    files.delete(target, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; call it when its results are stored elsewhere."""
     target, files = _file_system(spark, f"{shared_folder(spark)}/accesslens/{spark.sparkContext.applicationId}")

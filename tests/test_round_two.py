@@ -73,7 +73,8 @@ def test_appending_a_build_twice_changes_nothing(pipeline, tmp_path):
 
 def test_a_build_that_broke_off_is_completed(pipeline, tmp_path):
     path, latest = str(tmp_path / "store"), pipeline.latest()
-    latest.parts()["values"].write.partitionBy("version").parquet(f"{path}/values")
+    broken = latest.parts()["values"].limit(3)
+    broken.write.partitionBy("version").parquet(f"{path}/builds/values/build={latest.build}")
     pr.sink_profiles_append(latest, path)
     assert pr.scan_store(pipeline.spark, path).values.count() == latest.values.count()
 
