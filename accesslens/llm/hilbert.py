@@ -65,15 +65,16 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def lead(column: Column) -> Column:
-    """The first seven bytes of a string as a number that orders like the string; 0 for null and blank."""
-    head = F.rpad(F.hex(F.substring(F.coalesce(column, F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def default_dimensions() -> dict[str, Column]:
+    """Source, language, length and id; a text counts by its rank among the values that occur."""
+    return {"source": F.col("source"), "lang": F.col("lang"), "length": F.octet_length(text_of()).cast("long"), "id": F.col("doc_id").cast("long")}
 
 
-def default_dimensions() -> dict[str, Column]:
-    """Source, language, length and id."""
-    return {"source": lead(F.col("source")), "lang": lead(F.col("lang")), "length": F.octet_length(text_of()).cast("long"), "id": F.col("doc_id").cast("long")}
+def by_rank(rows: DataFrame, dim: str) -> DataFrame:
+    """``rows``, a written table, with the texts of a column replaced by their rank; null and blank come first, as one."""
+    named = F.coalesce(F.col(dim), F.lit(""))
+    ranks = running_totals(rows.groupBy(named.alias("_value")).agg(F.lit(1).alias("_one")), [F.col("_value")], {"_place": F.lit(1)})
+    return rows.withColumn("_value", named).join(ranks.select("_value", "_place"), "_value").drop("_value", dim).withColumnRenamed("_place", dim)
 
 
 def with_index(rows: DataFrame, dims: list[str], config: HilbertConfig) -> DataFrame:
@@ -109,6 +110,11 @@ def hilbert_shards(docs: DataFrame, config: HilbertConfig = HilbertConfig(), dim
         "metadata",
     )
     total = rows.count()
+    texts = [c for c, kind in rows.dtypes if c.startswith("_d_") and kind == "string"]
+    if texts:
+        for dim in texts:
+            rows = by_rank(rows, dim)
+        rows = written(rows, "metadata")
     placed = with_index(rows, [f"_d_{n}" for n in dims], config).drop(*[f"_d_{n}" for n in dims])
     order = [F.col("_hilbert"), F.col("text_crc32"), F.col("doc_id"), F.col("_tag")]
     ranked = running_totals(placed, order, {"_rank": F.lit(1)}).withColumn("_at", F.col("_rank") - 1)

@@ -35,7 +35,8 @@ from accesslens.operators.scan import running_totals
 @dataclass(frozen=True)
 class MixConfig:
     """weights: of the sources in code point order, repeating; budget: words of the mix per word of the input;
-    most: copies of a document at most; steps, tolerance: of the Newton iteration; corrections: single copies moved per source."""
+    most: copies of a document at most; steps, tolerance: of the Newton iteration; corrections: single copies moved per source;
+    spread: copies of equal rows that are made at once."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     budget: float = 1.5
@@ -43,6 +44,7 @@ class MixConfig:
     steps: int = 40
     tolerance: float = 1e-7
     corrections: int = 4
+    spread: int = 1000
 
 
 EXACT = "decimal(38,10)"
@@ -154,6 +156,11 @@ def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix`` takes it, with the columns it came with."""
     wanted = written(mix(docs, config).groupBy("_key").agg(F.sum("copies").alias("_n")).filter("_n > 0"), "wanted")
     once = docs.select(F.struct("*").alias("_row"), row_key(docs).alias("_key")).join(wanted, "_key")
-    # Equal rows have one key; together they share its copies.
+    # Equal rows have one key; together they share its copies. Many copies are made by many tasks, some at a time.
     first = once.dropDuplicates(["_key"])
-    return first.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_row.*")
+    few = first.filter(F.col("_n") <= config.spread)
+    if not wanted.filter(F.col("_n") > config.spread).isEmpty():
+        parts = F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {config.spread}"))).alias("_part")
+        many = first.filter(F.col("_n") > config.spread).select("_row", "_key", "_n", parts).repartition("_key", "_part")
+        few = few.select("_row", "_n").unionByName(many.select("_row", F.least(F.lit(config.spread), F.col("_n") - F.col("_part") * config.spread).alias("_n")))
+    return few.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_row.*")

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from accesslens.llm.exact_dedup import HeavyHitters, exact_dedup, frequent_digests, digests, survivors
 from accesslens.llm.hilbert import HilbertConfig, hilbert_index, hilbert_shards, write_shards
@@ -71,6 +72,16 @@ def test_shards_differ_by_one_row_and_have_no_gaps(hostile, hostile_rows):
     assert [r.hilbert for r in order] == sorted(r.hilbert for r in order)
 
 
+def test_sources_with_a_common_beginning_have_bins_of_their_own(spark):
+    rows = [(i, "w", ["dataset_a", "dataset_b", "dataset_c", None][i % 4], "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = hilbert_shards(docs, HilbertConfig(shards=4), {"source": F.col("source")}).collect()
+    held = defaultdict(set)
+    for r in out:
+        held[r.shard].add(r.row.source)
+    assert [held[k] for k in range(4)] == [{None}, {"dataset_a"}, {"dataset_b"}, {"dataset_c"}]
+
+
 def test_fewer_rows_than_shards(hostile):
     out = hilbert_shards(hostile.limit(3), HilbertConfig(shards=16), whole_rows=False).collect()
     assert len({r.shard for r in out}) == 3 and all(r.slot == 0 for r in out)

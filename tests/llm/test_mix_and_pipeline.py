@@ -115,7 +115,17 @@ def test_pipeline_on_awkward_rows(spark, folder, hostile_rows):
         if name == "decontamination":
             assert not any(r[0] == 14 for r in rows)
         before = after
-    assert "slot" in after.columns
+    # The input has a column of that name, which stays as it is.
+    assert after.columns == [*docs.columns, "shard_", "slot"]
+    assert {r.shard for r in after.select("shard").collect()} == {"sh"}
+
+
+def test_many_copies_of_one_row_are_made_in_parts(spark):
+    rows = [(1, "hot words here", "a")] * 300 + [(2 + i, f"w{i} " * (1 + i % 9), "a") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    config = MixConfig(spread=7)
+    out, want = (sorted(map(tuple, mixed(docs, c).collect())) for c in (config, MixConfig()))
+    assert out == want and out.count((1, "hot words here", "a")) > 300
 
 
 def test_pipeline_of_an_empty_table(spark, empty, folder, tmp_path):
@@ -126,5 +136,5 @@ def test_pipeline_of_an_empty_table(spark, empty, folder, tmp_path):
 
 
 def test_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
