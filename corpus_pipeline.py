@@ -12,6 +12,7 @@ through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from accesslens.llm import quality
 from accesslens.llm.chosen_path import PathConfig, one_of_each
@@ -45,10 +46,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its place in it."""
+    """Every document with its shard and its place in it; where a column has such a name already, ours get a longer one."""
     placed = hilbert_shards(docs)
-    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return placed.select(*[placed["row"][c].alias(c) for c in own], "shard", "slot")
+    taken = {c.lower() for c in docs.columns}
+    ours = []
+    for name in ("shard", "slot"):
+        new = name
+        while new in taken:
+            new += "_"
+        ours.append(F.col(name).alias(new))
+    return placed.select(*[placed["row"][c].alias(c) for c in docs.columns], *ours)
 
 
 STAGES = [
