@@ -40,11 +40,10 @@ from pyspark.sql import functions as F
 
 from accesslens.llm.chosen_path import grouped
 from accesslens.llm.common import text_of, written
-from accesslens.llm.wordhash import batches, hash_words, mixed, pieces
+from accesslens.llm.wordhash import PIECE, batches, hash_words, mixed, pieces
 from accesslens.operators.scan import running_totals
-
-#: Bytes read at once; what a task holds meanwhile is some fifty times as much.
-PIECE = 1_000_000
+#: Texts taken from a batch at once.
+TEXTS = 500
 
 
 @dataclass(frozen=True)
@@ -57,8 +56,8 @@ class PhraseConfig:
     least: int = 10
     within: int = 50
     top: int = 2000
-    budget: int = 500_000
-    held: int = 1_000_000
+    budget: int = 250_000
+    held: int = 500_000
     most_bits: int = 1 << 27
 
 
@@ -96,6 +95,13 @@ def scanned(texts: list[bytes], langs: np.ndarray, seed: int, carry: int) -> Ite
             before = data[starts[-min(carry, len(starts))] : last].tobytes() + (b"\n" if cuts[-1] > cuts[last] else b" ")
 
 
+def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that few texts are held as Python objects."""
+    for part in parts:
+        for lo in range(0, part.num_rows, TEXTS):
+            yield part.slice(lo, TEXTS)
+
+
 def suffixes(key: np.ndarray, opens: np.ndarray, k: int) -> np.ndarray:
     """Positions at which k words of one piece begin."""
     m = len(key) - k + 1
@@ -138,7 +144,7 @@ def count_words(docs: DataFrame, config: PhraseConfig) -> tuple[DataFrame, int]:
                     names=["lang", "word", "_key", "_c"],
                 )
 
-            for part in parts:
+            for part in sliced(parts):
                 langs = part.column("lang").to_pylist()
                 marks = part.column("_lang").to_numpy().view(np.uint64)
                 names.update(zip(marks.tolist(), langs, strict=True))
@@ -153,7 +159,7 @@ def count_words(docs: DataFrame, config: PhraseConfig) -> tuple[DataFrame, int]:
                             held[k] = [int(marks[seen[at]]), low[starts[at] : stops[at]], c]
                         else:
                             known[2] += c
-                    if len(held) > config.held // 4:
+                    if len(held) > config.held // 2:
                         yield out()
                         held.clear()
             if held:
@@ -261,7 +267,7 @@ def frequent_suffixes(docs: DataFrame, k: int, seed: int, before: np.ndarray, gr
                 hi = lo + 500_000
                 yield pa.RecordBatch.from_arrays([pa.array(group[lo:hi]), *[pa.array(w[lo:hi].view(np.int64)) for w in words], pa.array(counts[lo:hi])], names=["_group", *names, "_c"])
 
-        for part in parts:
+        for part in sliced(parts):
             marks = part.column("_lang").to_numpy().view(np.uint64)
             for _, _, _, key, opens, seen in scanned(part.column("_text").to_pylist(), marks, seed, config.longest):
                 at = suffixes(key, opens, k)
@@ -279,7 +285,7 @@ def frequent_suffixes(docs: DataFrame, k: int, seed: int, before: np.ndarray, gr
             yield from out()
 
     def subtrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(parts, "_group", 200_000):
+        for part in grouped(parts, "_group", 100_000):
             words, counts = summed([part.column(n).to_numpy() for n in names], part.column("_c").to_numpy(), exact=True)
             keep = counts >= config.least
             if keep.any():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes tokenised at once; a longer text is cut where a word ends.
-PIECE = 4_000_000
+PIECE = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
