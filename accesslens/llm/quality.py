@@ -8,9 +8,10 @@ maximum over the chunks are combined into one probability. Nothing but the
 text is an input.
 
 The network is fitted in one task on a bounded sample of the labelled rows:
-``sample`` rows per class in expectation, chosen by hash of the id, and at
-most ``sample_chunks`` chunks of each, spread evenly over the whole text. The
-fitted tables (some 150 kB) go to the tasks, which score whole texts row by row.
+``sample`` rows per class in expectation, chosen by hash of the id, as far as
+their whole texts fit in ``sample_bytes``. All chunks of a sampled text count,
+as they do in scoring. The fitted tables (some 150 kB) go to the tasks, which
+score whole texts row by row.
 
 Defined results: null and empty texts are scored from one blank chunk; labels
 of one id are averaged, ties count as good; without labels every score is 0.5,
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accesslens.llm.common import sized, text_of, written
@@ -35,15 +36,15 @@ from accesslens.llm.common import sized, text_of, written
 
 @dataclass(frozen=True)
 class ConvConfig:
-    """width: bytes a filter sees; chunk, overlap: of the text, in bytes; sample, sample_chunks: bounds of the fit;
-    steps: gradient steps on ``batch`` texts each."""
+    """width: bytes a filter sees; chunk, overlap: of the text, in bytes; sample, sample_bytes: bounds of the fit, rows a class and
+    bytes of whole texts together; steps: gradient steps on ``batch`` texts each."""
 
     filters: int = 24
     width: int = 6
     chunk: int = 1024
     overlap: int = 128
     sample: int = 2000
-    sample_chunks: int = 6
+    sample_bytes: int = 48 << 20
     steps: int = 600
     batch: int = 64
     rate: float = 0.02
@@ -56,10 +57,8 @@ def chunk_starts(length: int, config: ConvConfig) -> range:
     return range(0, max(length - config.overlap, 1), step)
 
 
-def chunk_rows(data: bytes, config: ConvConfig, most: int | None = None) -> list[bytes]:
+def chunk_rows(data: bytes, config: ConvConfig) -> list[bytes]:
     starts = chunk_starts(len(data), config)
-    if most is not None and len(starts) > most:
-        starts = [starts[i * (len(starts) - 1) // max(most - 1, 1)] for i in range(most)]
     # A filter may look past the end of its chunk; past the end of the text there are zeros.
     reach = config.chunk + config.width - 1
     return [data[s : s + reach].ljust(reach, b"\0") for s in starts]
@@ -172,24 +171,24 @@ def train(docs: DataFrame, labels: DataFrame, held_out, config: ConvConfig = Con
     share = {k: min(1.0, config.sample / n) for k, n in counts.items()}
     spread = F.pmod(F.xxhash64(F.col("_id"), F.lit(config.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = written(known.distinct().filter(spread < F.when(F.col("_good") == 1, share[1]).otherwise(share[0])), "sample")
-
-    @F.arrow_udf("array<binary>")
-    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in batches:
-            yield pa.array([chunk_rows(t, config, config.sample_chunks) for t in part.to_pylist()], pa.list_(pa.binary()))
-
-    texts = docs.filter(~held_out).select(F.col("doc_id").alias("_id"), text_of().cast("binary").alias("_text")).join(sized(chosen), "_id")
-    # Only the chosen chunks travel: some 6 kB a row, however long the text is.
-    rows = texts.select("_id", "_good", pieces("_text").alias("_pieces"), F.xxhash64("_text").alias("_hash"))
+    text = docs.filter(~held_out).select(F.col("doc_id").alias("_id"), text_of().cast("binary").alias("_text"), F.xxhash64(text_of()).alias("_hash"))
+    # Whole rows, in the order of a hash, until their texts fill the bound: some thousand narrow rows in one window.
+    measured = text.join(sized(chosen), "_id").select("_id", "_good", "_hash", F.octet_length("_text").cast("long").alias("_bytes"), spread.alias("_spread"))
+    upto = F.sum("_bytes").over(Window.orderBy("_spread", "_id", "_hash").rowsBetween(Window.unboundedPreceding, 0))
+    kept = written(measured.withColumn("_upto", upto).filter(F.col("_upto") <= config.sample_bytes).select("_id", "_good", "_hash").distinct(), "fitted")
+    taken = {r._good: r.n for r in kept.groupBy("_good").agg(F.count("*").alias("n")).collect()}
+    weight = {k: n / max(1, taken.get(k, 0)) for k, n in counts.items()}
+    rows = text.join(sized(kept), ["_id", "_hash"]).select("_id", "_hash", "_good", "_text")
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_id", "_hash"])
         good = part["_good"].to_numpy()
-        weights = np.where(good == 1, 1 / share[1], 1 / share[0])
-        return pd.DataFrame({"model": [to_bytes(fit([list(x) for x in part["_pieces"]], good.astype(np.float32), weights.astype(np.float32), config))]})
+        weights = np.where(good == 1, weight[1], weight[0])
+        return pd.DataFrame({"model": [to_bytes(fit([chunk_rows(t, config) for t in part["_text"]], good.astype(np.float32), weights.astype(np.float32), config))]})
 
     found = rows.groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "model binary")
-    return from_bytes(written(found, "model").first().model)
+    fitted = written(found, "model").first()
+    return from_bytes(fitted.model) if fitted else 0.5
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float, config: ConvConfig = ConvConfig()) -> DataFrame:
