@@ -95,6 +95,25 @@ add(
         p.spark, p.once("truth.csv", lambda path: sinks.sink_csv(backwards(p.truth()), path)))),
     TRUTH_SQL, "lab",
 )
+def _with_bad_values(p: Pipeline) -> str:
+    """The events as CSV, some of them with a duration or timestamp that is none."""
+    duration = F.when(F.col("event_id").endswith("00"), F.lit("12.5")).otherwise(F.col("session_duration").cast("string"))
+    when = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    stamp = F.when(F.col("event_id").endswith("50"), F.lit("yesterday")).otherwise(when)
+    return p.once("bad.csv", lambda path: sinks.sink_csv(p.events().withColumns({"session_duration": duration, "timestamp": stamp}), path))
+
+
+def _quarantined(p: Pipeline) -> DataFrame:
+    good, bad = readers.scan_events_quarantined(p.spark, _with_bad_values(p))
+    return good.select("event_id", "session_duration", F.lit("").alias("bad_columns")).unionByName(
+        bad.select("values.event_id", F.lit(None).cast("long").alias("session_duration"), F.array_join("bad_columns", ",").alias("bad_columns")))
+
+
+add(
+    "scan_events_quarantine", _quarantined,
+    "SELECT event_id, CASE WHEN right(event_id, 2) NOT IN ('00', '50') THEN session_duration END AS session_duration, "
+    "CASE right(event_id, 2) WHEN '00' THEN 'session_duration' WHEN '50' THEN 'timestamp' ELSE '' END AS bad_columns FROM lab", "lab",
+)
 add(
     "scan_by_suffix",
     lambda p: tagged(parquet=_events_from(p, ".parquet"), csv=_events_from(p, ".csv")).groupBy("source", "entity_id").agg(

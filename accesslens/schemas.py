@@ -116,6 +116,7 @@ TRIAGE_STATES = ("open", "investigating", "resolved", "false_positive")
 DIMENSIONS = ("temporal", "device", "resource", "geographic", "authentication", "session")
 DEVIATION_COLUMNS = tuple(f"deviation_{name}" for name in DIMENSIONS)
 
+# Features that are shares.
 RATIO_FEATURES = (
     "success_ratio", "failure_ratio", "mfa_usage_frequency", "resource_diversity", "city_change_frequency",
     "confidence_score", "command_sequence_complexity", "device_familiarity_score", "behaviour_drift_score",

@@ -9,20 +9,45 @@ from pyspark.sql import types as T
 from accesslens import schemas
 
 
+#: The raw line of a row with a value that its type cannot hold.
+RAW = "_raw_line"
+CSV_OPTIONS = {"header": True, "enforceSchema": False, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "multiLine": False, "escape": '"'}
+
+
+def header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """The columns of the files' header, with the types of ``schema`` where it knows them."""
+    header = spark.read.csv(path, header=True).columns
+    return T.StructType([schema[name] if name in schema.names else T.StructField(name, T.StringType()) for name in header])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
     """CSV with a header; columns are matched to ``schema`` by name in any order, blanks read as null.
 
     Columns that ``schema`` does not know are not read. A missing column is an
     error, or null if it is ``optional``; every file must have the same header.
+    A value that its type cannot hold ends the read with an error; see ``quarantined``.
     """
-    header = spark.read.csv(path, header=True).columns
-    found = T.StructType([schema[name] if name in schema.names else T.StructField(name, T.StringType()) for name in header])
-    rows = spark.read.schema(found).csv(
-        path, header=True, enforceSchema=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", multiLine=False, escape='"'
-    )
+    rows = spark.read.schema(header_schema(spark, path, schema)).csv(path, mode="FAILFAST", **CSV_OPTIONS)
     return matched(rows, schema, optional, path)
 
 
+def quarantined(spark: SparkSession, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """CSV rows that can be read, and those that cannot: their file, line, bad columns and all values as text.
+
+    Both are plain scans of the files; no row is lost and none is nulled in silence.
+    """
+    found = header_schema(spark, path, schema)
+    marked = T.StructType([*found.fields, T.StructField(RAW, T.StringType())])
+    rows = spark.read.schema(marked).option("columnPruning", False).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, **CSV_OPTIONS)
+    good = matched(rows.filter(F.col(RAW).isNull()), schema, optional, path)
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in found.fields])
+    line = F.from_csv(F.col(RAW), texts.toDDL(), {"escape": '"'})
+    bad = rows.filter(F.col(RAW).isNotNull()).select(F.input_file_name().alias("file"), F.col(RAW).alias("line"), line.alias("values"), F.struct(*found.names).alias("_typed"))
+    # A column is bad where a value stands in the line that did not become one; none is where the line has too few or too many values.
+    columns = F.array(*[F.when(F.col(f"values.{n}").isNotNull() & F.col(f"_typed.{n}").isNull(), F.lit(n)) for n in found.names if n in schema.names])
+    return good, bad.select("file", "line", F.array_compact(columns).alias("bad_columns"), "values")
+
+
 def matched(rows: DataFrame, schema: T.StructType, optional: tuple[str, ...] = (), what: str = "table") -> DataFrame:
     """``rows`` with the columns of ``schema``, matched by name; raises for missing ones that are not ``optional``."""
     require_columns(rows, tuple(name for name in schema.names if name not in optional), what)
@@ -42,6 +67,11 @@ def scan_events(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.event_schema(), schemas.OPTIONAL_EVENT_COLUMNS)
 
 
+def scan_events_quarantined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The events of CSV files, and the lines with a duration, timestamp or shape that cannot be read."""
+    return quarantined(spark, path, schemas.event_schema(), schemas.OPTIONAL_EVENT_COLUMNS)
+
+
 def scan_entities(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.entity_schema())
 
