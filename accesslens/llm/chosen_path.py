@@ -67,7 +67,7 @@ class PathConfig:
     percent: int = 85
     width: int = 5
     tokens: int = 64
-    small: int = 64
+    small: int = 512
     leaders: int = 4
     depth: int = 16
     miss: float = 0.002
@@ -212,7 +212,7 @@ def node_edges(config: PathConfig):
     """Compare all rows of a node with each other; one edge to a leader per gathered row."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(parts, "_node", 20_000):
+        for part in grouped(parts, "_node", 4_000):
             node = part.column("_node").to_numpy()
             tokens = np.frombuffer(b"".join(part.column("_bytes").to_pylist()), np.uint8).reshape(len(node), -1)
             a, b = [], []
