@@ -289,7 +289,7 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
     level = rows.select("_set", "_tokens", trees).select("_set", F.explode(children(F.xxhash64("_tree"), config)).alias("_node"))
     # The leaders of a node are the classes with the least value of one of some hashes.
     own = {f"_h{k}": F.xxhash64("_node", "_set", F.lit(k)) for k in range(config.leaders)}
-    edges = None
+    leaves, stars = [], []
     for depth in range(1, config.depth + 1):
         # Narrow rows find the nodes with several classes; most classes are alone in theirs.
         busy = written(level.groupBy("_node").agg(F.count("*").alias("_m"), *[F.min(h).alias(name) for name, h in own.items()]).filter("_m > 1"), "nodes")
@@ -297,27 +297,25 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
         if depth == 1:
             met = written(met, "met").join(rows, "_set")
         met = written(met.select("_node", "_m", *own, "_set", "_tokens", "_bytes"), "met")
-        many = (busy.agg(F.max("_m")).first()[0] or 0) > config.small
-        leaf = met.filter(F.col("_m") <= config.small).select("_node", "_set", "_bytes")
+        leaves.append(met.filter(F.col("_m") <= config.small).select("_node", "_set", "_bytes"))
+        if (busy.agg(F.max("_m")).first()[0] or 0) <= config.small:
+            break
         crowd = met.filter(F.col("_m") > config.small)
-        if many and depth == config.depth:
+        if depth == config.depth:
             dealt = crowd.withColumn("_pair", F.explode(meetings(F.xxhash64("_set", "_node"), F.col("_m"), config.block)))
-            leaf = leaf.unionByName(dealt.select(F.xxhash64("_node", "_pair").alias("_node"), "_set", "_bytes"))
-        found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config), "a binary, b binary")
-        if many:
-            is_lead = reduce(lambda a, b: a | b, [h == F.col(name) for name, h in own.items()])
-            lead = crowd.filter(is_lead).groupBy("_node").agg(F.collect_list(F.struct("_set", "_bytes")).alias("_leads"))
-            facing = crowd.join(lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_leads")
-            crowded = written(facing.mapInArrow(nearest_leaders(config), "_node long, _set binary, _tokens binary, _bytes binary, _near double, _with array<binary>"), "crowded")
-            found = found.unionByName(crowded.select(F.col("_set").alias("a"), F.explode("_with").alias("b")))
-        found = written(found.distinct(), "near")
-        edges = found if edges is None else edges.unionByName(found)
-        if not many:
-            break
+            leaves.append(dealt.select(F.xxhash64("_node", "_pair").alias("_node"), "_set", "_bytes"))
+        is_lead = reduce(lambda a, b: a | b, [h == F.col(name) for name, h in own.items()])
+        lead = crowd.filter(is_lead).groupBy("_node").agg(F.collect_list(F.struct("_set", "_bytes")).alias("_leads"))
+        facing = crowd.join(lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_leads")
+        crowded = written(facing.mapInArrow(nearest_leaders(config), "_node long, _set binary, _tokens binary, _bytes binary, _near double, _with array<binary>"), "crowded")
+        stars.append(crowded.select(F.col("_set").alias("a"), F.explode("_with").alias("b")))
         # What is close to a leader is gathered with it and leaves the tree; the rest branches on.
         rest = crowded.filter(F.col("_near") < config.close)
         level = rest.select("_set", "_tokens", "_bytes", F.explode(children(F.col("_node"), config)).alias("_node"))
-    return edges
+    # A node's name is a hash of its path, so the small nodes of all levels are compared in one go.
+    leaf = reduce(DataFrame.unionByName, leaves)
+    found = leaf.repartition("_node").sortWithinPartitions("_node").mapInArrow(node_edges(config), "a binary, b binary")
+    return written(reduce(DataFrame.unionByName, stars, found).distinct(), "near")
 
 
 def exact_links(config: PathConfig):
