@@ -8,7 +8,7 @@ from llm_rows import prose, row, shingles
 
 from accesslens.llm import induced
 from accesslens.llm.chosen_path import PathConfig, linked_sets, near_duplicates, one_of_each
-from accesslens.llm.components import components
+from accesslens.llm.components import components, is_star_forest
 from accesslens.llm.decontam import contained, decontaminate
 from accesslens.llm.suffix_dedup import RepeatConfig, without_repeats
 
@@ -152,3 +152,14 @@ def test_repeats_match_brute_force(hostile, hostile_rows, empty, config):
     assert all(r.kept is None or hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
     if config == RepeatConfig():
         assert without_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("edges, stars", [([], True), ([(2, 1), (3, 1), (5, 4)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False), ([(2, 1), (2, 1)], False)])
+def test_components_end_at_stars(spark, edges, stars):
+    assert is_star_forest(spark.createDataFrame(edges, "a long, b long")) is stars
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert found == least
