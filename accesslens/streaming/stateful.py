@@ -48,17 +48,21 @@ class InOrder(StatefulProcessor):
     """Hands each entity's rows to ``advance`` in (timestamp, event_id) order, however they arrive.
 
     Rows wait in state until the watermark has passed them: then no accepted row can come before them any
-    more, so the result does not depend on arrival order or on how files fall into micro-batches. They wait
-    in buckets of event time and come out a bucket at a time, so a row is stored once and read once, however
-    long the lateness and however many rows wait behind it.
+    more, so the result does not depend on arrival order or on how files fall into micro-batches. They come
+    out in buckets of event time. A bucket with many rows is a piece of its own, stored once and read once,
+    however long the lateness and however many rows wait behind it; small neighbouring ones share a piece,
+    of which the rows that are not due are put back. A piece has one timer, for its first bucket.
     """
 
+    #: Rows of a piece of several buckets, at most: reading so many takes hardly longer than reading one.
+    PIECE_ROWS = 512
+
     def __init__(self, config: StreamConfig) -> None:
         self.expiry_ms, self.bucket_ms = config.expiry_ms, config.bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "rows binary")
+        self.waiting = handle.getMapState("waiting", "first bigint, last bigint, part bigint", "rows binary")
         self.parts = handle.getValueState("parts", "next bigint")
         self.newest = handle.getValueState("newest", "ms bigint")
         self.open_state(handle)
@@ -76,24 +80,36 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        part = self.parts.get()[0] if self.parts.exists() else 0
-        bucket = (_micros(batch) // (1000 * self.bucket_ms)).to_numpy()
-        for b in np.unique(bucket).tolist():
-            self.waiting.updateValue((b, part), (_packed(batch[bucket == b]),))
-            self.handle.registerTimer((b + 1) * self.bucket_ms)
-        self.parts.update((part + 1,))
+        self._wait(pd.concat(list(rows), ignore_index=True))
         return iter([])
 
+    def _bucket(self, rows: pd.DataFrame) -> np.ndarray:
+        return (_micros(rows) // (1000 * self.bucket_ms)).to_numpy()
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        """Store rows in pieces: a bucket each, or neighbouring buckets with few rows in all."""
+        bucket = self._bucket(rows)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows.take(order), bucket[order]
+        found = self.parts.get()
+        part = found[0] if found is not None else 0
+        for low, high in _pieces(bucket, self.PIECE_ROWS):
+            self.waiting.updateValue((int(bucket[low]), int(bucket[high - 1]), part), (_packed(rows.iloc[low:high]),))
+            self.handle.registerTimer((int(bucket[low]) + 1) * self.bucket_ms)
+        self.parts.update((part + 1,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = list(self.waiting.keys())
-        due = sorted((b, part) for b, part in held if (b + 1) * self.bucket_ms <= passed)
+        held = [tuple(k) for k in self.waiting.keys()]
+        due = sorted(k for k in held if (k[0] + 1) * self.bucket_ms <= passed)
         if due:
-            ready = pd.concat([pa.ipc.open_stream(bytes(self.waiting.getValue(k)[0])).read_all().to_pandas() for k in due], ignore_index=True)
+            rows = pd.concat([pa.ipc.open_stream(bytes(self.waiting.getValue(k)[0])).read_all().to_pandas() for k in due], ignore_index=True)
             for k in due:
                 self.waiting.removeKey(k)
-            batch = ready.sort_values(["timestamp", "event_id"], ignore_index=True)
+            ready = (self._bucket(rows) + 1) * self.bucket_ms <= passed
+            if not ready.all():
+                self._wait(rows[~ready])
+            batch = rows[ready].sort_values(["timestamp", "event_id"], ignore_index=True)
             for part in self._between_silences(batch):
                 yield self.advance(part)
             newest = int(_micros(batch).iloc[-1] // 1000)
@@ -123,6 +139,18 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _pieces(bucket: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Slices of ordered buckets that hold one bucket, or several with ``most`` rows in all at most."""
+    edges = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    found, low, before = [], 0, 0
+    for edge in edges:
+        if before > low and edge - low > most:
+            found.append((low, before))
+            low = before
+        before = edge
+    return [*found, (low, len(bucket))]
+
+
 def _micros(rows: pd.DataFrame) -> pd.Series:
     return rows["timestamp"].astype("datetime64[us]").astype("int64")
 
