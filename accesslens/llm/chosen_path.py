@@ -53,10 +53,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.llm.common import sized, text_of, written
+from accesslens.llm.common import BROADCAST_ROWS, sized, text_of, written
 from accesslens.llm.components import components
 from accesslens.llm.wordhash import batches, shingles, words_of
 
+#: Crowds whose leaders may be broadcast.
+LEADING = 10_000
+
 
 @dataclass(frozen=True)
 class PathConfig:
@@ -289,24 +292,27 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
     level = rows.select("_set", "_tokens", trees).select("_set", F.explode(children(F.xxhash64("_tree"), config)).alias("_node"))
     # The leaders of a node are the classes with the least value of one of some hashes.
     own = {f"_h{k}": F.xxhash64("_node", "_set", F.lit(k)) for k in range(config.leaders)}
-    leaves, stars = [], []
+    leaves, stars, few = [], [], False
     for depth in range(1, config.depth + 1):
         # Narrow rows find the nodes with several classes; most classes are alone in theirs.
-        busy = written(level.groupBy("_node").agg(F.count("*").alias("_m"), *[F.min(h).alias(name) for name, h in own.items()]).filter("_m > 1"), "nodes")
-        met = level.join(busy, "_node")
+        busy = level.groupBy("_node").agg(F.count("*").alias("_m"), *[F.min(h).alias(name) for name, h in own.items()]).filter("_m > 1")
+        met = level.join(F.broadcast(busy) if few else written(busy, "nodes"), "_node")
         if depth == 1:
-            met = written(met, "met").join(rows, "_set")
+            met = met.join(rows, "_set")
         met = written(met.select("_node", "_m", *own, "_set", "_tokens", "_bytes"), "met")
         leaves.append(met.filter(F.col("_m") <= config.small).select("_node", "_set", "_bytes"))
-        if (busy.agg(F.max("_m")).first()[0] or 0) <= config.small:
-            break
         crowd = met.filter(F.col("_m") > config.small)
+        large = crowd.count()
+        if not large:
+            break
         if depth == config.depth:
             dealt = crowd.withColumn("_pair", F.explode(meetings(F.xxhash64("_set", "_node"), F.col("_m"), config.block)))
             leaves.append(dealt.select(F.xxhash64("_node", "_pair").alias("_node"), "_set", "_bytes"))
         is_lead = reduce(lambda a, b: a | b, [h == F.col(name) for name, h in own.items()])
         lead = crowd.filter(is_lead).groupBy("_node").agg(F.collect_list(F.struct("_set", "_bytes")).alias("_leads"))
-        facing = crowd.join(lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_leads")
+        # There are fewer than large / small crowds, and the next level has at most ``large`` nodes with several classes.
+        few = large <= BROADCAST_ROWS
+        facing = crowd.join(F.broadcast(lead) if large <= LEADING * config.small else lead, "_node").select("_node", "_set", "_tokens", "_bytes", "_leads")
         crowded = written(facing.mapInArrow(nearest_leaders(config), "_node long, _set binary, _tokens binary, _bytes binary, _near double, _with array<binary>"), "crowded")
         stars.append(crowded.select(F.col("_set").alias("a"), F.explode("_with").alias("b")))
         # What is close to a leader is gathered with it and leaves the tree; the rest branches on.
@@ -319,7 +325,7 @@ def gathered(sets: DataFrame, config: PathConfig) -> DataFrame:
 
 
 def exact_links(config: PathConfig):
-    """Within each group, the components of the pairs whose full sets are similar enough: one edge per class to the first of its component."""
+    """Within each group, the components of the pairs whose full sets are similar enough: one edge per class to the smallest of its component."""
 
     def link(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(parts, "_group", 256):
@@ -329,9 +335,9 @@ def exact_links(config: PathConfig):
             a, b = [], []
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 own = dict(zip(names[lo:hi], members[lo:hi], strict=True))  # a class given twice counts once
-                sets = [np.frombuffer(s, np.uint64) for s in own.values()]
-                root, keys = linked_sets(sets, config.percent), list(own)
-                for i in np.flatnonzero(root != np.arange(len(sets))):
+                keys = sorted(own)  # so that the first of a component is the smallest
+                root = linked_sets([np.frombuffer(own[k], np.uint64) for k in keys], config.percent)
+                for i in np.flatnonzero(root != np.arange(len(keys))):
                     a.append(keys[i])
                     b.append(keys[root[i]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
