@@ -62,7 +62,8 @@ add(
 
 
 def features_stream(p: Pipeline) -> DataFrame:
-    events = p.events()
+    # Slicing reads its rows a dozen times; the events are a join.
+    events = p.stage("stream_source", p.events)
     path = sliced(p, "stream_events", events)
     return st.stream_features(st.read_events(p.spark, path, events.schema, CONFIG), p.entities(), config=CONFIG)
 
