@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens import schemas
+from accesslens.operators import detect as de
 from accesslens.operators.quality import dq_determinism
 from accesslens.plans.oracle_base import FEATURE_SQL
 from accesslens.plans.pipeline import Pipeline
@@ -36,7 +37,8 @@ def sliced(p: Pipeline, name: str, df: DataFrame, arrival: tuple[int, ...] = ARR
 
 
 def detect_stream(p: Pipeline) -> DataFrame:
-    engineered = p.engineered()
+    # The columns the stream reads.
+    engineered = p.engineered().select(*[c for c in de.EVENT_COLUMNS if c != "previous_resource"])
     path = sliced(p, "stream_engineered", engineered)
     return st.stream_detect(st.read_events(p.spark, path, engineered.schema, CONFIG), p.latest(), config=CONFIG)
 

@@ -121,3 +121,11 @@ def test_silent_entities_are_forgotten_alone(inline):
         at = handle.timers.pop()
         list(stream.handleExpiredTimer((0,), Clock(at + 90 * DAY), None))
     assert not any(handle.cells[name].held for name in ("records", "newest", "seen", "durationsNodes", "waiting"))
+
+
+def test_previous_resources_of_a_group():
+    data = rows(6, 60).sort_values("s_us", ignore_index=True)
+    stream, handle = st.PreviousResource(st.StreamConfig(late="1 hour")), Groups()
+    stream.init(handle)
+    out = run(stream, handle, data, [0, 150, 151, 360])
+    assert out["previous_resource"].where(out["previous_resource"].notna(), None).tolist() == brute(data)["previous_resource"].where(brute(data)["previous_resource"].notna(), None).tolist()
